@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import exact_dedup, mixing
+from framelake.llm import bpe, exact_dedup, mixing
 from framelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,15 @@ select doc_id, source, size, source_size, target,
        cast(whole * size + greatest(0, least(size, cast(floor(target) as bigint) - whole * source_size - before)) as bigint) as taken
 from placed
 """
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file of op7; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_query
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path()))
