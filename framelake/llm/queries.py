@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import bpe, exact_dedup, mixing
+from framelake.llm import bpe, exact_dedup, flac, mixing
 from framelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def tokenizer_path() -> str:
 @_query
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+@_query
+def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.digest(table(spark, sf_dir, "documents"))
