@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import bpe, exact_dedup, flac, mixing
+from framelake.llm import bpe, exact_dedup, flac, mixing, nbsvm
 from framelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digest(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
