@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import bpe, exact_dedup, fixed_blocks, flac, hyperminhash, mixing, nbsvm
+from framelake.llm import bpe, exact_dedup, fixed_blocks, flac, hyperminhash, licenses, mixing, nbsvm
 from framelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,8 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed_blocks.digest(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
