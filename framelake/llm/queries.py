@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import bpe, exact_dedup, fixed_blocks, flac, hyperminhash, licenses, mixing, nbsvm
+from framelake.llm import bpe, exact_dedup, fixed_blocks, flac, hyperminhash, licenses, mixing, nbsvm, warc
 from framelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+@_query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.archive(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
