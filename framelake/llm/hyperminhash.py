@@ -1,10 +1,11 @@
 """Near-duplicate documents by HyperMinHash.
 
 A document's set holds its distinct shingles of five words (A-Z lower-cased; a
-shorter document is one shingle). Its sketch has 64 buckets; each keeps the
+shorter document is one shingle). Its sketch has 256 buckets; each keeps the
 smallest hash that fell into it, compressed to a count of leading zeros and ten
-mantissa bits. Sketches are banded into 16 keys of four registers, empty ones
-filled from others by a fixed probing order. Pairs that share a key pass filters
+mantissa bits. Runs of four buckets are merged to 64 (the smallest hash again),
+and these are banded into 16 keys of four registers, empty ones filled from
+others by a fixed probing order. Pairs that share a key pass filters
 by size, by a bound from shingles that no other candidate has, and by a Jaccard
 estimate corrected for chance collisions, and are then verified on the full
 sets.
@@ -38,9 +39,11 @@ from framelake.llm.graph import components
 from framelake.llm.tokens import chunks, mix, split_words, window_hashes
 
 SHINGLE = 5
-BUCKET_BITS = 6
+BUCKET_BITS = 8
 BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
+#: Buckets merged for banding, and merged registers in a band.
+MERGE = 4
 BAND = 4
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
@@ -84,28 +87,34 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-_PROBES = (mix(np.arange(128 * BUCKETS, dtype=np.uint64)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64).reshape(128, BUCKETS)
+_MERGED_BITS = BUCKET_BITS - (MERGE - 1).bit_length()
+_MERGED = 1 << _MERGED_BITS
+_PROBES = (mix(np.arange(128 * _MERGED, dtype=np.uint64)) >> np.uint64(64 - _MERGED_BITS)).astype(np.int64).reshape(128, _MERGED)
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
     """(sets, bands) keys; meaningless for empty sets."""
-    full = regs.copy()
+    runs = regs.reshape(len(regs), _MERGED, MERGE)
+    first = (runs > 0).argmax(axis=2)
+    merged = np.take_along_axis(runs, first[:, :, None], 2)[:, :, 0].astype(np.uint64)
+    merged = np.where(merged > 0, merged | first.astype(np.uint64) << np.uint64(16), 0).astype(np.uint64)
+    full = merged.copy()
     for probe in _PROBES:
         row, col = np.nonzero(full == 0)
         if not len(row):
             break
-        full[row, col] = regs[row, probe[col]]
+        full[row, col] = merged[row, probe[col]]
     row, col = np.nonzero(full == 0)
-    full[row, col] = regs[row, (regs[row] > 0).argmax(axis=1)]
-    wide = full.reshape(len(regs), -1, BAND).astype(np.uint64)
-    keys = np.zeros(wide.shape[:2], dtype=np.uint64)
+    full[row, col] = merged[row, (merged[row] > 0).argmax(axis=1)]
+    wide = full.reshape(len(regs), -1, BAND)
+    keys = np.broadcast_to(np.arange(wide.shape[1], dtype=np.uint64), wide.shape[:2])
     for j in range(BAND):
-        keys = keys << np.uint64(16) | wide[:, :, j]
-    return mix(keys ^ mix(np.arange(keys.shape[1], dtype=np.uint64)))
+        keys = mix(keys ^ wide[:, :, j])
+    return keys
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, f1, f2, keys, regs): set size, fingerprint, band keys and registers of each row."""
+    """(doc_id, n, f1, f2, keys): set size, fingerprint and band keys of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,7 +129,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 yield _sketched(ids.slice(at), sets)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys array<long>, regs array<int>")
+    return rows.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys array<long>")
 
 
 def _fingerprint(s: np.ndarray) -> tuple[int, int]:
@@ -128,17 +137,15 @@ def _fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 
 def _sketched(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-    regs = registers(sets)
-    keys = band_keys(regs)
+    keys = band_keys(registers(sets))
     prints = [_fingerprint(s) for s in sets]
-    lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1), kind))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.view(np.int64).reshape(-1)))
     columns = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())]
-    columns += [lists(keys.view(np.int64), pa.int64()), lists(regs.astype(np.int32), pa.int32())]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "f1", "f2", "keys", "regs"])
+    return pa.RecordBatch.from_arrays([*columns, lists], ["doc_id", "n", "f1", "f2", "keys"])
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, n, shingles) of the classes wanted (id, f1, f2), from the text of one of their documents."""
+    """(id, n, shingles, regs: four registers in each long) of the classes wanted (id, f1, f2), from the text of one of their documents."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,26 +153,42 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             f1, f2 = b.column(2).to_pylist(), b.column(3).to_pylist()
             for i, s in enumerate(shingle_sets(b.column(1))):
                 if _fingerprint(s) == (f1[i], f2[i]):
-                    lists = pa.array([s.view(np.int64)], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([len(s)], pa.int64()), lists], ["id", "n", "shingles"])
+                    lists = [pa.array([s.view(np.int64)], pa.list_(pa.int64())), pa.array([registers([s])[0].view(np.int64)], pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([len(s)], pa.int64()), *lists], ["id", "n", "shingles", "regs"])
 
-    found = rows.select("id", F.coalesce("text", F.lit("")).alias("text"), "f1", "f2").mapInArrow(run, "id long, n long, shingles array<long>")
+    found = rows.select("id", F.coalesce("text", F.lit("")).alias("text"), "f1", "f2").mapInArrow(run, "id long, n long, shingles array<long>, regs array<long>")
     return found.dropDuplicates(["id"])
 
 
+def _lanes(x: Column) -> Column:
+    """How many of the four 16-bit lanes of a long aren't 0."""
+    for n in (8, 4, 2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, n))
+    return F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+
+
 def _possible(a: str, b: str, percent: int) -> Column:
     """False only for pairs that can't be links, by what is known without their sets."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     most = F.least(na - F.col(f"{a}.alone"), nb - F.col(f"{b}.alone"))
     by_size = 100 * most >= percent * (na + nb - most)
-    equal = F.zip_with(f"{a}.regs", f"{b}.regs", lambda x, y: F.when((x == y) & (x > 0), 1).otherwise(0))
-    used = F.zip_with(f"{a}.regs", f"{b}.regs", lambda x, y: F.when((x > 0) | (y > 0), 1).otherwise(0))
-    total = lambda x: F.aggregate(x, F.lit(0), lambda s, v: s + v)
+    total = lambda f: F.aggregate(F.zip_with(f"{a}.regs", f"{b}.regs", lambda x, y: _lanes(f(x, y))), F.lit(0), lambda s, v: s + v)
+    used = total(lambda x, y: x.bitwiseOR(y))
+    equal = used - total(lambda x, y: x.bitwiseXOR(y))
     ratio = na / nb
     chance = COLLISION * 2.0 ** (BUCKET_BITS - MANTISSA_BITS) * 4 * ratio / F.pow(1 + ratio, F.lit(2))
     t = percent / 100
-    slack = MARGIN * F.sqrt(F.lit(t * (1 - t)) / total(used))
-    return by_size & ((total(equal) - chance) / total(used) >= t - slack)
+    # The variance of one hash for all buckets, for a union of the size it has at the threshold.
+    union = F.greatest((na + nb) / (1 + t), F.lit(2.0))
+    variance = t * (1 - t) * ((1 + 1 / (union - 1)) / used - 1 / (union - 1))
+    slack = MARGIN * F.sqrt(F.greatest(variance, F.lit(0.0))) + 1 / used
+    return by_size & ((equal - chance) / used >= t - slack)
+
+
+def _once(a: str, b: str) -> Column:
+    """Whether the key at hand is the first that both have, so that a pair comes up once."""
+    common = F.filter(F.zip_with(f"{a}.keys", f"{b}.keys", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    return F.get(common, F.lit(0)) == F.col("key")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -178,7 +201,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _classes(sketched: DataFrame) -> DataFrame:
     of = sketched.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n")
-    return of.agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("regs").alias("regs"))
+    return of.agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -192,16 +215,16 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) ->
     # A shingle of one candidate only can be in no intersection.
     single = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id"))
     alone = single.where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    facts = pool.select("id", "n", "regs", "central").join(alone, "id", "left").fillna(0, ["alone"])
+    facts = pool.select("id", "n", "keys", "central").join(sets.select("id", "regs"), "id").join(alone, "id", "left").fillna(0, ["alone"])
     facts = written(facts.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")), "near-facts")
-    sets = written(sets.join(facts.select("id"), "id", "left_semi"), "near-sets")
+    sets = written(sets.drop("regs").join(facts.select("id"), "id", "left_semi"), "near-sets")
     member = written(member.select("key", "id").join(facts, "id"), "near-members")
     labels = facts.select("id", F.col("id").alias("label"))
     links = None
     for turn in range(CENTRAL_ROUNDS + 1):
         now = member.join(labels, "id")
         rank = F.struct("central", -F.col("id")) if turn == 0 else F.struct(F.xxhash64("id"), "id")
-        whole = F.struct("id", "label", "n", "alone", "regs")
+        whole = F.struct("id", "label", "n", "alone", "keys", "regs")
         open_keys = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by(whole, rank).alias("b"))
         open_keys = open_keys.where("low < high")
         mine = now.select("key", whole.alias("a"))
@@ -211,7 +234,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) ->
         else:
             still = mine.join(open_keys.select("key"), "key", "left_semi")
             other = still.select(F.col("key").alias("k"), F.col("a").alias("b"))
-            on = (F.col("key") == F.col("k")) & (F.col("a.label") < F.col("b.label")) & _possible("a", "b", percent)
+            on = (F.col("key") == F.col("k")) & (F.col("a.label") < F.col("b.label")) & _once("a", "b") & _possible("a", "b", percent)
             pairs = still.join(other, on)
         pairs = pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
         new = written(_verified(pairs, sets, percent), "near-links")
