@@ -11,7 +11,8 @@ by their own hashes.
 Probes travel packed: one binary value for all probes of a batch that go to the
 same part of the hash range, with 40 bits of hash and the gaps between
 positions. So a probe costs about seven bytes, and a hot hash is decided where
-it lies without pairing its documents. False meetings of 40-bit hashes only make
+it lies without pairing its documents. What is found travels back packed too, in
+one row for each part of the hash range and bucket of documents. False meetings of 40-bit hashes only make
 more windows to settle; those are compared by 64 bits.
 
 Defined cases: a null text has no words; a document shorter than WINDOW loses
@@ -27,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.common import partitions, written
@@ -40,8 +41,8 @@ PROBE_BYTES = 5
 WINDOW_BYTES = 8
 #: The top bits that choose a part; the hash bytes kept come from below them.
 PART_BITS = 16
-#: Parts of the hash range for each shuffle partition.
-PARTS_PER_PARTITION = 1
+#: The hash range has a part for each shuffle partition, and documents a few buckets for each part.
+BUCKETS_PER_PART = 2
 
 PACKED = "part int, docs binary, counts binary, gaps binary, hashes binary"
 
@@ -114,7 +115,8 @@ def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType],
 
 _PACKED_NAMES = ["part", "docs", "counts", "gaps", "hashes"]
 _PACKED_KINDS = [pa.int32(), *[pa.binary()] * 4]
-_HIT_NAMES, _HIT_KINDS = ["doc_id", "counts", "gaps"], [pa.int64(), pa.int32(), pa.binary()]
+_HIT_NAMES, _HIT_KINDS = ["bucket", "docs", "counts", "gaps"], [pa.int64(), *[pa.binary()] * 3]
+_HITS = "bucket long, docs binary, counts binary, gaps binary"
 #: Bytes of text whose probes are packed together; more make fewer and fuller rows.
 BATCH_BYTES = 8 << 20
 
@@ -146,55 +148,84 @@ def _probes(parts: int) -> Callable:
     return run
 
 
-def _grouped(doc: np.ndarray, position: np.ndarray) -> Iterator[tuple]:
-    """(doc, count, gaps) rows of entries in any order."""
-    order = np.lexsort((position, doc))
-    doc, position = doc[order], position[order]
-    fresh = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
-    edges = np.flatnonzero(fresh)
-    for a, b in zip(edges, [*edges[1:], len(doc)]):
-        one = np.zeros(b - a, bool)
-        one[0] = True
-        yield int(doc[a]), int(b - a), _gaps(position[a:b], one)
+def _bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
+    return (doc ^ doc >> 17) % buckets
 
 
-def _hits(rows: pa.Table) -> pa.Table:
-    """Where a block of one document meets a rolling window of another."""
-    doc, position, hashes = _unpack(rows, PROBE_BYTES)
-    order = np.argsort(hashes, kind="stable")
-    h, d, p = hashes[order], doc[order], position[order]
-    if not len(h):
-        return pa.table({k: pa.array([], t) for k, t in zip(_HIT_NAMES, _HIT_KINDS)})
-    edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    indexed = np.maximum.reduceat((p % BLOCK == 0).astype(np.int8), edge)
-    several = np.maximum.reduceat(d, edge) != np.minimum.reduceat(d, edge)
-    hit = np.repeat((indexed > 0) & several, np.diff([*edge, len(h)]))
-    return pa.Table.from_batches(_batches(_grouped(d[hit], p[hit]), _HIT_NAMES, _HIT_KINDS, 4096), pa.schema(list(zip(_HIT_NAMES, _HIT_KINDS))))
+def _bucket_column(buckets: int) -> Column:
+    doc = F.coalesce("doc_id", F.lit(0))
+    return F.pmod(doc.bitwiseXOR(F.shiftright(doc, 17)), F.lit(buckets)).cast("long")
+
+
+def _to_buckets(doc: np.ndarray, position: np.ndarray, buckets: int) -> pa.Table:
+    """Entries in any order to one row for each bucket of documents."""
+    bucket = _bucket(doc, buckets)
+    order = np.lexsort((position, doc, bucket))
+    bucket, doc, position = bucket[order], doc[order], position[order]
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(doc) else bucket
+
+    def rows() -> Iterator[tuple]:
+        for a, b in zip(edges, [*edges[1:], len(doc)]):
+            fresh = np.concatenate([[True], doc[a + 1 : b] != doc[a : b - 1]])
+            begin = np.flatnonzero(fresh)
+            yield int(bucket[a]), doc[a:b][begin].astype("<i8").tobytes(), np.diff([*begin, b - a]).astype("<u4").tobytes(), _gaps(position[a:b], fresh)
+
+    return pa.Table.from_batches(_batches(rows(), _HIT_NAMES, _HIT_KINDS, 4096), pa.schema(list(zip(_HIT_NAMES, _HIT_KINDS))))
 
 
-def _repeated(rows: pa.Table) -> pa.Table:
-    """Windows that also start in a document with a smaller doc_id."""
-    doc, position, hashes = _unpack(rows, WINDOW_BYTES)
+class _Found:
+    """The positions of a bucket's documents, from all parts."""
+
+    def __init__(self, rows: pa.Table):
+        doc, position = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for docs, counts, gaps in zip(*(rows.column(k).to_pylist() for k in ("docs", "counts", "gaps"))):
+            n = np.frombuffer(counts, "<u4").astype(np.int64)
+            doc.append(np.repeat(np.frombuffer(docs, "<i8"), n))
+            position.append(_positions(gaps, n))
+        doc, position = np.concatenate(doc), np.concatenate(position)
+        order = np.argsort(doc, kind="stable")
+        self.doc, self.position = doc[order], position[order]
+
+    def marks(self, doc: int | None, n: int) -> np.ndarray | None:
+        if doc is None:
+            return None
+        a, b = np.searchsorted(self.doc, doc), np.searchsorted(self.doc, doc, side="right")
+        if a == b:
+            return None
+        out = np.zeros(n, dtype=bool)
+        out[self.position[a:b]] = True
+        return out
+
+
+def _meetings(rows: pa.Table, n_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents and positions ordered by hash, the start of each hash and its number of entries."""
+    doc, position, hashes = _unpack(rows, n_bytes)
     order = np.argsort(hashes, kind="stable")
-    h, d, p = hashes[order], doc[order], position[order]
-    if not len(h):
-        return pa.table({k: pa.array([], t) for k, t in zip(_HIT_NAMES, _HIT_KINDS)})
+    h = hashes[order]
     edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    least = np.repeat(np.minimum.reduceat(d, edge), np.diff([*edge, len(h)]))
-    hit = d > least
-    return pa.Table.from_batches(_batches(_grouped(d[hit], p[hit]), _HIT_NAMES, _HIT_KINDS, 4096), pa.schema(list(zip(_HIT_NAMES, _HIT_KINDS))))
+    return doc[order], position[order], edge, np.diff([*edge, len(h)])
+
+
+def _hits(buckets: int) -> Callable:
+    def run(rows: pa.Table) -> pa.Table:
+        """Where a block of one document meets a rolling window of another."""
+        d, p, edge, n = _meetings(rows, PROBE_BYTES)
+        indexed = np.maximum.reduceat((p % BLOCK == 0).astype(np.int8), edge)
+        several = np.maximum.reduceat(d, edge) != np.minimum.reduceat(d, edge)
+        hit = np.repeat((indexed > 0) & several, n)
+        return _to_buckets(d[hit], p[hit], buckets)
 
+    return run
 
-def _by_document(hits: DataFrame) -> DataFrame:
-    """(doc_id, found): the packed positions of each document, gathered from all parts."""
-    return hits.groupBy("doc_id").agg(F.collect_list(F.struct("counts", "gaps")).alias("found"))
 
+def _repeated(buckets: int) -> Callable:
+    def run(rows: pa.Table) -> pa.Table:
+        """Windows that also start in a document with a smaller doc_id."""
+        d, p, edge, n = _meetings(rows, WINDOW_BYTES)
+        hit = d > np.repeat(np.minimum.reduceat(d, edge), n)
+        return _to_buckets(d[hit], p[hit], buckets)
 
-def _marks(found: list | None, n: int) -> np.ndarray:
-    out = np.zeros(n, dtype=bool)
-    for x in found or []:
-        out[_positions(x["gaps"], np.array([x["counts"]]))] = True
-    return out
+    return run
 
 
 def _spread(marks: np.ndarray, before: int, after: int) -> np.ndarray:
@@ -207,74 +238,69 @@ def _spread(marks: np.ndarray, before: int, after: int) -> np.ndarray:
 
 
 def _candidates(parts: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            held, size = [], 0
-            for b in batches:
-                ids, found = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_pylist()
-                for first, end, data, offsets in chunks(b.column(1)):
-                    words = split_words(data, offsets)
-                    hashes, counts = words.hashes(), words.counts
-                    for i in range(end - first):
-                        n = int(counts[i])
-                        if n < WINDOW:
-                            continue
-                        # Every window that holds the whole of a hit block.
-                        start = np.flatnonzero(_spread(_marks(found[first + i], n), WINDOW - BLOCK, 0)[: n - WINDOW + 1])
-                        at = start + words.first[i]
-                        held.append((np.full(len(at), ids[first + i]), start, window_hashes(hashes[words.first[i] : words.first[i + 1]], start, WINDOW)))
-                        size += n
-                    if size >= BATCH_BYTES // 6:
-                        yield from _pack(*(np.concatenate(x) for x in zip(*held)), parts, WINDOW_BYTES)
-                        held, size = [], 0
-            if held:
-                yield from _pack(*(np.concatenate(x) for x in zip(*held)), parts, WINDOW_BYTES)
-
-        yield from _batches(rows(), _PACKED_NAMES, _PACKED_KINDS)
+    def run(docs: pa.Table, hits: pa.Table) -> pa.Table:
+        """The windows that hold a whole hit block, packed by their hashes."""
+        found, held = _Found(hits), []
+        ids = docs.column("doc_id").to_pylist()
+        if len(found.doc):
+            for first, end, data, offsets in chunks(docs.column("text")):
+                words = split_words(data, offsets)
+                hashes, counts = words.hashes(), words.counts.tolist()
+                for i in range(end - first):
+                    marks = found.marks(ids[first + i], counts[i])
+                    if marks is not None:
+                        start = np.flatnonzero(_spread(marks, WINDOW - BLOCK, 0)[: counts[i] - WINDOW + 1])
+                        own = hashes[words.first[i] : words.first[i + 1]]
+                        held.append((np.full(len(start), ids[first + i]), start, window_hashes(own, start, WINDOW)))
+        rows = _pack(*(np.concatenate(x) for x in zip(*held)), parts, WINDOW_BYTES) if held else iter(())
+        return pa.Table.from_batches(_batches(rows, _PACKED_NAMES, _PACKED_KINDS), pa.schema(list(zip(_PACKED_NAMES, _PACKED_KINDS))))
 
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_words", "n_removed", "kept_text"]
-    for b in batches:
-        found = b.column(2).to_pylist()
-        for first, end, data, offsets in chunks(b.column(1)):
-            words = split_words(data, offsets)
-            gone = np.zeros(len(words.starts), dtype=bool)
-            for i in range(end - first):
-                if found[first + i]:
-                    a, z = words.first[i], words.first[i + 1]
-                    gone[a:z] = _spread(_marks(found[first + i], z - a), 0, WINDOW - 1)
-            total = np.concatenate([[0], np.cumsum(gone)])
-            removed = total[words.first[1:]] - total[words.first[:-1]]
-            # Copy the kept words, each with a blank before it, then drop a document's first blank.
-            starts, ends = words.starts[~gone], words.ends[~gone]
-            size = ends - starts + 1
-            stop = np.cumsum(size)
-            source = np.arange(int(stop[-1]) if len(stop) else 0) - np.repeat(stop - size, size) + np.repeat(starts - 1, size)
-            text = data[np.maximum(source, 0)]
-            text[stop - size] = 0x20
-            text = text.tobytes()
-            last = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(words.counts - removed)])].tolist()
-            kept = [text[a + 1 : z].decode() for a, z in zip(last[:-1], last[1:])]
-            columns = [b.column(0).slice(first, end - first), pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names)
+_CUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
+
+
+def _cut(docs: pa.Table, repeats: pa.Table) -> pa.Table:
+    found, out = _Found(repeats), []
+    ids = docs.column("doc_id").combine_chunks()
+    keys = ids.to_pylist()
+    for first, end, data, offsets in chunks(docs.column("text")):
+        words = split_words(data, offsets)
+        gone = np.zeros(len(words.starts), dtype=bool)
+        for i in range(end - first):
+            a, z = words.first[i], words.first[i + 1]
+            marks = found.marks(keys[first + i], z - a)
+            if marks is not None:
+                gone[a:z] = _spread(marks, 0, WINDOW - 1)
+        total = np.concatenate([[0], np.cumsum(gone)])
+        removed = total[words.first[1:]] - total[words.first[:-1]]
+        # Copy the kept words, each with a blank before it, then drop a document's first blank.
+        starts, ends = words.starts[~gone], words.ends[~gone]
+        size = ends - starts + 1
+        stop = np.cumsum(size)
+        source = np.arange(int(stop[-1]) if len(stop) else 0) - np.repeat(stop - size, size) + np.repeat(starts - 1, size)
+        text = data[np.maximum(source, 0)] if len(source) else data[:0]
+        text[stop - size] = 0x20
+        text = text.tobytes()
+        last = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(words.counts - removed)])].tolist()
+        kept = pa.array([text[a + 1 : z].decode() for a, z in zip(last[:-1], last[1:])], pa.string())
+        out.append(pa.RecordBatch.from_arrays([ids.slice(first, end - first), pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()), kept], schema=_CUT))
+    return pa.Table.from_batches(out, _CUT)
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) for every row."""
-    parts = partitions(docs.sparkSession) * PARTS_PER_PARTITION
+    parts = partitions(docs.sparkSession)
+    buckets = BUCKETS_PER_PART * parts + 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    known = rows.where("doc_id is not null")
-    hit = "doc_id long, counts int, gaps binary"
-    probes = known.mapInArrow(_probes(parts), PACKED)
-    hits = written(probes.groupBy("part").applyInArrow(_hits, hit), "block-hits")
-    near = known.join(_by_document(hits), "doc_id")
-    windows = near.select("doc_id", "text", "found").mapInArrow(_candidates(parts), PACKED)
-    repeats = written(windows.groupBy("part").applyInArrow(_repeated, hit), "repeats")
-    marked = rows.join(_by_document(repeats), "doc_id", "left").select("doc_id", "text", "found")
-    return marked.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    probes = rows.where("doc_id is not null").mapInArrow(_probes(parts), PACKED)
+    hits = written(probes.groupBy("part").applyInArrow(_hits(buckets), _HITS), "block-hits")
+    grouped = rows.withColumn("bucket", _bucket_column(buckets)).groupBy("bucket")
+    windows = grouped.cogroup(hits.groupBy("bucket")).applyInArrow(_candidates(parts), PACKED)
+    repeats = written(windows.groupBy("part").applyInArrow(_repeated(buckets), _HITS), "repeats")
+    cut = grouped.cogroup(repeats.groupBy("bucket")).applyInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    return cut
 
 
 def digest(docs: DataFrame) -> DataFrame:
