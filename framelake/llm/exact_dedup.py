@@ -38,6 +38,18 @@ class DigestIndex:
         self.spark = spark
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         self.buckets = buckets or partitions(spark)
+        if self.exists():
+            facts = spark.sql(f"describe extended {self.name}").where("col_name = 'Num Buckets'").first()
+            self.buckets = int(facts["data_type"])
+
+    @classmethod
+    def attach(cls, spark: SparkSession, name: str, location: str, buckets: int) -> DigestIndex:
+        """An index whose files an earlier session with another catalog left at ``location``."""
+        spark.sql(
+            f"create table if not exists {name} (digest binary, keep_id bigint, group_size bigint) using parquet "
+            f"clustered by (digest) sorted by (digest) into {int(buckets)} buckets location '{location}'"
+        )
+        return cls(spark, name)
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)

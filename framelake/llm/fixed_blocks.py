@@ -18,7 +18,9 @@ more windows to settle; those are compared by 64 bits.
 Defined cases: a null text has no words; a document shorter than WINDOW loses
 nothing; a window counts if it also starts in a document with a smaller doc_id,
 never for repeats within one document or between rows that share a doc_id;
-repeated rows give repeated results; a null doc_id is compared with nothing; an
+repeated rows give repeated results; rows that share a doc_id but not the text
+are versions of one document, and what goes at a place in one goes there in all;
+a null doc_id is compared with nothing; an
 empty table gives no rows. Other columns are not looked at.
 """
 
@@ -193,7 +195,8 @@ class _Found:
         if a == b:
             return None
         out = np.zeros(n, dtype=bool)
-        out[self.position[a:b]] = True
+        own = self.position[a:b]
+        out[own[own < n]] = True
         return out
 
 
@@ -249,7 +252,7 @@ def _candidates(parts: int) -> Callable:
                 for i in range(end - first):
                     marks = found.marks(ids[first + i], counts[i])
                     if marks is not None:
-                        start = np.flatnonzero(_spread(marks, WINDOW - BLOCK, 0)[: counts[i] - WINDOW + 1])
+                        start = np.flatnonzero(_spread(marks, WINDOW - BLOCK, 0)[: max(0, counts[i] - WINDOW + 1)])
                         own = hashes[words.first[i] : words.first[i + 1]]
                         held.append((np.full(len(start), ids[first + i]), start, window_hashes(own, start, WINDOW)))
         rows = _pack(*(np.concatenate(x) for x in zip(*held)), parts, WINDOW_BYTES) if held else iter(())

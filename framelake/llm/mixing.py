@@ -81,12 +81,12 @@ def mix(docs: DataFrame, seed: str = "mix-1", max_epochs: int = 3) -> DataFrame:
 
 def sample(docs: DataFrame, seed: str = "mix-1", max_epochs: int = 3) -> DataFrame:
     """The mixed documents themselves: whole copies, then the part of a last one, cut after a word."""
-    taken = mix(docs, seed, max_epochs).select(F.col("doc_id").alias("__id"), "size", "taken").where("taken > 0")
-    taken = taken.dropDuplicates(["__id"])
+    taken = mix(docs, seed, max_epochs).where("taken > 0")
+    taken = taken.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken")).dropDuplicates(["__id"])
     joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
-    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    copies = F.ceil(F.col("__taken") / F.col("__size")).cast("int")
     joined = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
-    rest = (F.col("taken") - (F.col("__copy") - 1) * F.col("size")).cast("int")
+    rest = (F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")).cast("int")
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.lit(1), rest), " ")
-    text = F.when(rest >= F.col("size"), F.col("text")).otherwise(part)
+    text = F.when(rest >= F.col("__size"), F.col("text")).otherwise(part)
     return joined.withColumn("text", text).select(*docs.columns)
