@@ -106,3 +106,29 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.digest(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+ORACLE_SQL["op5_near_dedup"] = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+s as (select distinct doc_id, array_to_string(words[i : i + 4], ' ') as g from (select doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) as i from w where len(words) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r as (select a as doc_id, a as other from e union select r.doc_id, e.b from r join e on e.a = r.other),
+m as (select doc_id, min(other) as component_id from r group by doc_id),
+classes as (select doc_id, min(doc_id) over (partition by (select string_agg(g, chr(10) order by g) from s where s.doc_id = w.doc_id)) as first_id from w)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, case when n.n is null then w.doc_id else c.first_id end as class_id, coalesce(m.component_id, w.doc_id) as component_id,
+       coalesce(m.component_id, w.doc_id) = w.doc_id as kept
+from w left join n using (doc_id) left join m using (doc_id) join classes c using (doc_id)
+"""
+
+ORACLE_SQL["op10_substring_dedup"] = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+win as (select doc_id, i, array_to_string(words[i : i + 49], ' ') as g from (select doc_id, words, unnest(range(1, len(words) - 48)) as i from w where len(words) >= 50)),
+first as (select g, min(doc_id) as d from win group by g),
+gone as (select distinct doc_id, unnest(range(i, i + 50)) as k from win join first using (g) where d < doc_id),
+kept as (select x.doc_id, string_agg(word, ' ' order by k) as t, count(*) as n from (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as k from w) x anti join gone using (doc_id, k) group by x.doc_id)
+select w.doc_id, len(words) as n_words, len(words) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept using (doc_id)
+"""
