@@ -122,6 +122,27 @@ def annotated_faces(faces: DataFrame, assigned: DataFrame, stitched: DataFrame,
     ).drop("scene_confidence", "video_confidence", "is_video_ambiguous")
 
 
+def identify(faces: DataFrame, keyframe: DataFrame, tracking: DataFrame | None = None, model_id: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """The whole operator: (annotated faces, video summary).
+
+    Observations of keyframes and of tracking samples are clustered together; the
+    source is part of their key, as both may use the same frame numbers.
+    """
+    seen = keyframe.withColumn("source", F.lit("keyframe"))
+    if tracking is not None:
+        seen = seen.unionByName(tracking.withColumn("source", F.lit("tracking")), allowMissingColumns=True)
+    assigned = scene_identities(seen)
+    stitched = video_identities(scene_clusters(assigned))
+    return annotated_faces(faces.withColumn("source", F.lit("keyframe")), assigned, stitched, model_id), video_summary(stitched)
+
+
+def crop_box(box, width, height):
+    """A box clamped to an image; null if nothing is left of it."""
+    x1, y1 = F.greatest(F.lit(0), box.x1), F.greatest(F.lit(0), box.y1)
+    x2, y2 = F.least(width, box.x2), F.least(height, box.y2)
+    return F.when((x2 > x1) & (y2 > y1), F.array(x1, y1, x2, y2))
+
+
 def scene_summary(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("job_id", "scene_id").agg(F.countDistinct("scene_person_id").alias("clusters"), F.count(F.lit(1)).alias("faces"))
 
