@@ -132,3 +132,36 @@ gone as (select distinct doc_id, unnest(range(i, i + 50)) as k from win join fir
 kept as (select x.doc_id, string_agg(word, ' ' order by k) as t, count(*) as n from (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as k from w) x anti join gone using (doc_id, k) group by x.doc_id)
 select w.doc_id, len(words) as n_words, len(words) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept using (doc_id)
 """
+
+
+ORACLE_SQL["op4_warc"] = """
+with p as (select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as h, max(page_id) over (partition by coalesce(html, '')) as top from pages),
+-- Base32: every five hex digits are twenty bits, and so four letters.
+b as (select *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        cast((cast(('0x' || substr(h, cast(5 * (i // 4) + 1 as bigint), 5)) as bigint) >> (15 - 5 * (i % 4))) & 31 as bigint) + 1, 1)), '') as digest from p)
+select page_id, n as payload_bytes, digest as payload_digest, case when page_id = top then 'response' else 'revisit' end as record_type, case when page_id <> top then top end as refers_to from b
+"""
+
+
+def _license_sql() -> str:
+    """The rules of op9 with the templates and phrases in place."""
+    listed = lambda text: "['" + "', '".join(text.split()) + "']"
+    phrases = ", ".join(f"({listed(t)}, '{label}')" for t, label in licenses.PHRASES)
+    templates = ", ".join(f"({listed(t)}, '{label}')" for t, label in licenses.TEMPLATES)
+    return rf"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
+phrases as (select * from (values {phrases}) v(phrase, label)),
+templates as (select list_distinct(t) as t, label from (values {templates}) v(t, label)),
+places as (select doc_id, i - 1 as start, label from (select doc_id, words, unnest(generate_series(1, len(words))) as i from w), phrases where words[i : i + len(phrase) - 1] = phrase),
+base as (select doc_id, count(*) as n, min(start) as first_word, max(start) as last_word, list(label) as labels from places group by doc_id),
+blocks as (select doc_id, words[i * {licenses.STRIDE} + 1 : i * {licenses.STRIDE} + {licenses.BLOCK}] as b from (select doc_id, words, unnest(range(0, (len(words) + {licenses.STRIDE - 1}) // {licenses.STRIDE})) as i from w)),
+met as (select doc_id, label, len(list_intersect(t, b)) / len(t) as share from blocks, templates where len(list_intersect(t, b)) >= ceil({licenses.THRESHOLD} * len(t) - 1e-9)),
+own as (select doc_id, list(label) as labels, max(share) as share from met group by doc_id)
+select w.doc_id, len(words) as n_words, coalesce(n, 0) as n_base, first_word, last_word, coalesce(array_to_string(list_sort(list_distinct(base.labels)), ','), '') as base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ','), '') as labels,
+       case when n > 0 then 1.0::double else coalesce(share, 0.0::double) end as score
+from w left join base using (doc_id) left join own using (doc_id)
+"""
+
+
+ORACLE_SQL["op9_licenses"] = _license_sql()
