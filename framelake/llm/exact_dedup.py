@@ -102,6 +102,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns; of repeated rows one."""
-    ids = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__keep_id")).distinct()
-    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__keep_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    stays = DigestIndex(docs.sparkSession).ingest(docs).where("kept")
+    stays = stays.select(F.col("doc_id").alias("__keep_id"), F.col("digest").alias("__keep_digest")).distinct()
+    own = docs.withColumn("__digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    on = (F.col("__digest") == F.col("__keep_digest")) & F.col("doc_id").eqNullSafe(F.col("__keep_id"))
+    return own.join(stays, on, "left_semi").dropDuplicates(["__digest"]).drop("__digest")

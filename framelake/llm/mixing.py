@@ -57,7 +57,13 @@ def _key(seed: str) -> Column:
 
 def mix(docs: DataFrame, seed: str = "mix-1", max_epochs: int = 3) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for every document."""
-    sized = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    placed = _placed(docs, seed, max_epochs)
+    return placed.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def _placed(docs: DataFrame, seed: str, max_epochs: int) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    sized = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"))
     sized = sized.withColumn("key", _key(seed)).withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
     sized = written(sized, "mix-sizes")
     # A hot source is summed slice by slice before its slices are added up.
@@ -76,14 +82,18 @@ def mix(docs: DataFrame, seed: str = "mix-1", max_epochs: int = 3) -> DataFrame:
     left = words - F.col("whole") * F.col("source_size") - F.col("slice_start") - F.col("before")
     placed = placed.withColumn("whole", whole)
     taken = F.col("whole") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return placed.withColumn("taken", taken)
 
 
 def sample(docs: DataFrame, seed: str = "mix-1", max_epochs: int = 3) -> DataFrame:
-    """The mixed documents themselves: whole copies, then the part of a last one, cut after a word."""
-    taken = mix(docs, seed, max_epochs).where("taken > 0")
-    taken = taken.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken")).dropDuplicates(["__id"])
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
+    """The mixed documents themselves: whole copies, then the part of a last one, cut after a word.
+
+    Rows that repeat both doc_id and text are all taken as often as one of them.
+    """
+    taken = _placed(docs, seed, max_epochs).where("taken > 0")
+    taken = taken.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
+    joined = docs.join(taken.dropDuplicates(["__id", "__hash"]), on)
     copies = F.ceil(F.col("__taken") / F.col("__size")).cast("int")
     joined = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
     rest = (F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")).cast("int")

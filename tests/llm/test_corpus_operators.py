@@ -109,6 +109,13 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_rows_without_doc_id_stay_apart(spark):
+    docs = frame(spark, [(None, "a b", "s"), (None, "c d", "s"), (None, "a b", "s"), (1, "c d", "s"), (2, "e", "s"), (2, "e", "s")])
+    kept = exact_dedup.keep_distinct(docs)
+    assert sorted(repr((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(repr, [(None, "a b"), (1, "c d"), (2, "e")]))
+    assert sorted(r.text for r in mixing.sample(docs.where("doc_id is null").distinct()).collect()) == ["a b", "c d"]
+
+
 def test_digest_index_is_persistent(spark):
     index = exact_dedup.DigestIndex(spark, buckets=4)
     first = frame(spark, [(1, "a", "s"), (2, "b", "s"), (3, "a", "s")])
