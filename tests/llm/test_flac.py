@@ -34,10 +34,8 @@ def test_round_trip_and_seek_offsets():
         (samples, blocks), = flac.decode_batch([media])
         assert (samples + 128).astype(np.uint8).tobytes() == raw
         assert sum(n for _, n, _ in blocks) == len(raw)
-        for first, _, at in blocks:
-            # the first frame starts after the metadata
-            start = flac._metadata(media)[4] + at if at < flac._metadata(media)[4] else at
-            assert media[start : start + 2] == b"\xff\xf8" or first == 0
+        assert [f for f, _, _ in blocks] == list(range(0, len(raw), flac.BLOCK))
+        assert all(media[at : at + 2] == b"\xff\xf8" for _, _, at in blocks)
 
 
 def test_streams_without_seek_table_decode_frame_by_frame():
