@@ -29,7 +29,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 #: Any white space before a space; also true of some characters that the pattern doesn't count as space.
 SPACE_RUN = re.compile(r"\s ").search
 #: Parts kept with their ids by each Python worker; the memory is emptied when full.
-MEMORY = 1 << 19
+MEMORY = 1 << 18
 #: Longer parts are encoded anew each time.
 MEMORY_CHARS = 64
 #: Bits of an id in the key of a pair; NONE is no id.
