@@ -78,18 +78,19 @@ def _positions(packed: bytes, counts: np.ndarray) -> np.ndarray:
 
 
 def _pack(doc: np.ndarray, position: np.ndarray, hashes: np.ndarray, parts: int, n_bytes: int) -> Iterator[tuple]:
-    """Entries, ordered by document and position, to one row for each part of the hash range."""
+    """Entries, ordered by row and position, to one row for each part of the hash range."""
     part = ((hashes >> np.uint64(64 - PART_BITS)) * np.uint64(parts) >> np.uint64(PART_BITS)).astype(np.uint16)
     order = np.argsort(part, kind="stable")
     part, doc, position, hashes = part[order], doc[order], position[order], hashes[order]
     edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else part
     raw = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n_bytes]
     for a, b in zip(edges, [*edges[1:], len(part)]):
-        d = doc[a:b]
-        fresh = np.concatenate([[True], d[1:] != d[:-1]])
+        d, p = doc[a:b], position[a:b]
+        # Rows that share a doc_id follow one another, so positions may fall within it; gaps can't.
+        fresh = np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] < p[:-1])])
         begin = np.flatnonzero(fresh)
         counts = np.diff([*begin, b - a]).astype("<u4")
-        yield int(part[a]), d[begin].astype("<i8").tobytes(), counts.tobytes(), _gaps(position[a:b], fresh), raw[a:b].tobytes()
+        yield int(part[a]), d[begin].astype("<i8").tobytes(), counts.tobytes(), _gaps(p, fresh), raw[a:b].tobytes()
 
 
 def _unpack(rows: pa.Table, n_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,33 @@ def test_substring_dedup_on_a_table(spark):
     same(fixed_blocks.digest(docs), plain.cut([(r.doc_id, r.text) for r in docs.collect()]))
 
 
+def test_packing_keeps_positions_of_repeated_rows():
+    import numpy as np
+
+    doc, position = np.array([5, 5, 5, 5, 5, 5, 9]), np.array([100, 300, 100, 300, 0, 70_000, 1])
+    hashes = np.arange(7, dtype=np.uint64)
+    rows = list(fixed_blocks._pack(doc, position, hashes, 1, 8))
+    got = fixed_blocks._unpack(pa.table([pa.array(c, k) for c, k in zip(zip(*rows), fixed_blocks._PACKED_KINDS)], fixed_blocks._PACKED_NAMES), 8)
+    assert [x.tolist() for x in got] == [doc.tolist(), position.tolist(), hashes.tolist()]
+
+
+@pytest.mark.parametrize("parts", [1, 2, 3])
+def test_substring_dedup_of_repeated_rows(spark, parts):
+    r = random.Random(3)
+    shared, own = sentence(r, 400), sentence(r, 1500)
+    long = " ".join(own[:300] + shared + own[300:])
+    docs = [(1, " ".join(shared)), (2, long), (2, long), (2, long), (2, " ".join(own[:700])), (3, long)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        same(fixed_blocks.digest(frame(spark, [(i, t, "s") for i, t in docs[:4]]).coalesce(1)), plain.cut(docs[:4]))
+        whole = [(i, n, gone) for i, n, gone, _ in plain.cut(docs[:4] + docs[5:])]
+        same(fixed_blocks.digest(frame(spark, [(i, t, "s") for i, t in docs[:4] + docs[5:]]).coalesce(1)).drop("kept_sha256"), whole)
+        assert fixed_blocks.digest(frame(spark, [(i, t, "s") for i, t in docs]).coalesce(1)).count() == len(docs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_exact_dedup(spark):
     rows = texts()
     docs = [(i, t) for i, t, _ in rows] + [(rows[3][0], rows[3][1]), (None, rows[3][1]), (None, "only here")]
