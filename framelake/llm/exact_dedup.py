@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm.common import partitions, written
 
-#: A digest is hot if it holds at least this share of the rows; so there are at most 1000.
+#: A digest is hot if at least one in so many of a batch's rows has it; so a batch has at most 1000.
 HOT_SHARE = 1000
 
 
@@ -65,6 +65,7 @@ class DigestIndex:
         """Adds a batch; returns (doc_id, digest, keep_id, group_size, kept) for each of its rows."""
         rows = written(digests(docs, id_col, text_col), "digests")
         groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        groups = written(groups, "groups")
         if not self.exists():
             self._append(groups)
             known = None
@@ -72,20 +73,21 @@ class DigestIndex:
             fresh = groups.hint("merge").join(self.read().select("digest"), "digest", "left_anti")
             known = written(groups.select("digest").join(self.read(), "digest", "left_semi").select("digest"), "known")
             self._append(written(fresh, "fresh"))
-        return self._verdicts(rows, known)
+        return self._verdicts(rows, groups, known)
 
-    def _verdicts(self, rows: DataFrame, known: DataFrame | None) -> DataFrame:
+    def _verdicts(self, rows: DataFrame, groups: DataFrame, known: DataFrame | None) -> DataFrame:
         index = self.read()
         if known is not None:
             earlier = known.withColumn("earlier", F.lit(True))
             index = index.join(earlier, "digest", "left")
         else:
             index = index.withColumn("earlier", F.lit(None).cast("boolean"))
-        # A digest with a large share of all rows would put them all into one task
-        # of a join; at most HOT_SHARE digests can have such a share.
+        # A digest with a large share of the batch would put its rows into one task
+        # of a join; at most HOT_SHARE digests can have such a share, however many
+        # the index has.
         total = rows.count()
-        hot = index.where(F.col("group_size") * HOT_SHARE >= total)
-        hot = hot.select("digest", "keep_id", "group_size", "earlier")
+        hot = groups.where(F.col("group_size") * HOT_SHARE >= total).select("digest")
+        hot = index.join(F.broadcast(hot), "digest").select("digest", "keep_id", "group_size", "earlier")
         marked = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "digest", "left")
         cold = marked.where("hot is null").select("doc_id", "digest").join(index, "digest")
         out = marked.where("hot").drop("hot").unionByName(cold.select("doc_id", "digest", "keep_id", "group_size", "earlier"))

@@ -159,6 +159,22 @@ def test_digest_index_is_persistent(spark):
     assert "Exchange hashpartitioning" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_digest_index_broadcasts_little_of_a_large_index(spark, monkeypatch):
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    first = index.ingest(frame(spark, [(i, f"t{i}", "s") for i in range(3000)]))
+    assert first.where("kept").count() == 3000
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df) or broadcast(df))
+    small = frame(spark, [(5000, "t7", "s"), (5001, "new", "s"), (5002, "new", "s")])
+    got = {r.doc_id: (r.keep_id, r.kept) for r in index.ingest(small).collect()}
+    assert got == {5000: (7, False), 5001: (5002, False), 5002: (5002, True)}
+    assert index.ingest(small.limit(0)).count() == 0
+    many = [(6000 + i, f"t{i % 7 if i < 40 else i}", "s") for i in range(2000)]
+    got = index.ingest(frame(spark, many)).collect()
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in got) == [(i, int(t[1:]), False) for i, t, _ in many]
+    assert sent and max(df.count() for df in sent) <= 7
+
+
 def test_mixing(spark):
     rows = texts()
     got = mixing.mix(frame(spark, rows))
