@@ -1,13 +1,16 @@
 """Licence scans: an exact set-similarity join of text blocks with templates.
 
-A text's words are cut into overlapping blocks of BLOCK words. A block meets a
-template if it holds at least THRESHOLD of the template's distinct words. All
-words of templates are ordered by their frequency in the whole corpus, rarest
-first. If a block holds enough of a template, it holds one of the template's
-first words in this order (prefix filter), has enough words of templates at all
-(length filter), and enough can still follow the first common one on both sides
-(positional filter); what passes is compared exactly. Phrases, whose words must
-stand consecutively, give labels of their own.
+A block starts at every word of a text. It has BLOCK words, or twice the words of
+the template where these are more, and meets the template if it holds at least
+THRESHOLD of the template's distinct words. All words of templates are ordered by
+their frequency in the whole corpus, rarest first. If a block holds enough of a
+template, it holds one of the template's first words in this order (prefix
+filter). The words that such blocks reach over must have enough words of
+templates at all (length filter), and enough must be able to follow the first
+common one on both sides (positional filter); in what passes, blocks are compared
+exactly, by counts that are carried from one start to the next. Blocks at
+consecutive starts that meet a template are one match, named by the first of the
+best. Phrases, whose words must stand consecutively, give labels of their own.
 
 The templates are a parameter of bounded size (MAX_WORDS words in all), which is
 checked before they are broadcast. Every text is searched whole.
@@ -44,7 +47,9 @@ TEMPLATES = (
     ("subject to the terms of the mozilla public license", "mpl"),
     ("all rights reserved", "reserved"),
 )
+#: Least words of a block.
 BLOCK = 32
+#: How far apart the blocks of the query's SQL start; the scan itself starts one at every word.
 STRIDE = 16
 THRESHOLD = 0.8
 MAX_WORDS = 100_000
@@ -105,33 +110,58 @@ class Index:
         rank = np.empty(len(frequency), np.int64)
         rank[np.lexsort((np.arange(len(frequency)), frequency))] = np.arange(len(frequency))
         self.rank = rank
-        self.labels, self.sets, self.needs = [], [], []
+        self.labels, self.sets, self.needs, self.lengths = [], [], [], []
         self.prefixes: dict[int, list[tuple[int, int]]] = {}
         for text, label in templates:
-            ordered = sorted({int(rank[number[w]]) for w in words(text)})
+            own = words(text)
+            ordered = sorted({int(rank[number[w]]) for w in own})
             need = max(1, int(np.ceil(threshold * len(ordered) - 1e-9)))
             for i in range(len(ordered) - need + 1):
                 self.prefixes.setdefault(ordered[i], []).append((len(self.sets), i))
-            self.labels.append(label), self.sets.append(frozenset(ordered)), self.needs.append(need)
+            self.labels.append(label), self.sets.append(np.array(ordered, np.int64)), self.needs.append(need)
+            self.lengths.append(max(BLOCK, 2 * len(own)))
         self.is_prefix = np.zeros(len(frequency) + 1, bool)
         self.is_prefix[list(self.prefixes)] = True
         self.phrases = [([number[w] for w in words(text)], label) for text, label in phrases]
 
-    def compare(self, block: np.ndarray) -> Iterator[tuple[int, float]]:
-        """(template, containment) of a block's ranks, for all that meet the threshold."""
-        own = np.unique(block[block >= 0]).tolist()
-        tried = set()
-        for j, token in enumerate(own):
-            for t, i in self.prefixes.get(token, ()):
-                if t in tried:
-                    continue
-                tried.add(t)
-                size, need = len(self.sets[t]), self.needs[t]
-                if len(own) < need or 1 + min(size - i - 1, len(own) - j - 1) < need:
-                    continue
-                common = len(self.sets[t].intersection(own))
-                if common >= need:
-                    yield t, common / size
+    def reaches(self, ranks: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(template, start, last start, end) of the words over which blocks with one of its prefix words reach."""
+        hits: dict[int, list[int]] = {}
+        for at in np.flatnonzero(self.is_prefix[ranks] & (ranks >= 0)).tolist():
+            for t, _ in self.prefixes[int(ranks[at])]:
+                hits.setdefault(t, []).append(at)
+        for t, places in hits.items():
+            length, first = self.lengths[t], 0
+            for k in range(1, len(places) + 1):
+                if k == len(places) or places[k] - places[k - 1] > length:
+                    yield t, max(0, places[first] - length + 1), places[k - 1], min(places[k - 1] + length, len(ranks))
+                    first = k
+
+    def compare(self, t: int, reach: np.ndarray, n_starts: int) -> Iterator[tuple[int, float]]:
+        """(start, containment) of each run of blocks that meet the template, for the first n_starts starts."""
+        ordered, need, length = self.sets[t], self.needs[t], self.lengths[t]
+        own = np.unique(reach[reach >= 0])
+        if len(own) < need:
+            return
+        i = int(np.isin(ordered, own).argmax())
+        j = int(np.searchsorted(own, ordered[i]))
+        if 1 + min(len(ordered) - i - 1, len(own) - j - 1) < need:
+            return
+        at = np.flatnonzero(np.isin(reach, ordered))
+        # A word counts for the starts after its previous place and up to its own, if they reach it.
+        order = np.argsort(reach[at], kind="stable")
+        sorted_at, token = at[order], reach[at][order]
+        again = np.concatenate([[False], token[1:] == token[:-1]])
+        previous = np.where(again, np.concatenate([[0], sorted_at[:-1]]), -1)
+        steps = np.zeros(len(reach) + 1, np.int64)
+        np.add.at(steps, np.maximum(previous, np.maximum(sorted_at - length, -1)) + 1, 1)
+        np.add.at(steps, sorted_at + 1, -1)
+        common = np.cumsum(steps)[:n_starts]
+        meets = np.concatenate([[False], common >= need, [False]])
+        edges = np.flatnonzero(meets[1:] != meets[:-1])
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            best = a + int(common[a:b].argmax())
+            yield best, int(common[best]) / len(ordered)
 
 
 def _scan_chunk(index: Index, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
@@ -150,18 +180,15 @@ def _scan_chunk(index: Index, data: np.ndarray, offsets: np.ndarray) -> Iterator
         for at in np.flatnonzero(hit):
             if text[at] == text[at + n - 1]:
                 places.setdefault(int(text[at]), []).append((label, int(at - w.first[text[at]])))
-    # Blocks with a prefix word: those that start STRIDE words apart and reach over it.
-    near = np.flatnonzero(index.is_prefix[ranks] & (ranks >= 0))
-    blocks = set()
-    for at, d in zip((near - w.first[:-1][text[near]]).tolist(), text[near].tolist()):
-        last = at // STRIDE
-        blocks.update((d, b) for b in range(max(0, last - BLOCK // STRIDE + 1), last + 1))
     matches: dict[int, list[tuple[str, int, int, float]]] = {}
-    for d, b in sorted(blocks):
-        start = int(w.first[d]) + b * STRIDE
-        end = min(start + BLOCK, int(w.first[d + 1]))
-        for t, share in index.compare(ranks[start:end]):
-            matches.setdefault(d, []).append((index.labels[t], b * STRIDE, end - int(w.first[d]), share))
+    near = np.flatnonzero(index.is_prefix[ranks] & (ranks >= 0))
+    for d in np.unique(text[near]).tolist():
+        own = ranks[w.first[d] : w.first[d + 1]]
+        for t, start, last, end in index.reaches(own):
+            for at, share in index.compare(t, own[start:end], last - start + 1):
+                matches.setdefault(d, []).append((index.labels[t], start + at, min(start + at + index.lengths[t], len(own)), share))
+    for found in matches.values():
+        found.sort(key=lambda m: m[1])
     for d, n in enumerate(w.counts.tolist()):
         yield n, places.get(d, []), matches.get(d, [])
 
