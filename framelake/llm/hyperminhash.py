@@ -3,9 +3,10 @@
 A document's set holds its distinct shingles of five words (A-Z lower-cased; a
 shorter document is one shingle). Its sketch has 256 buckets; each keeps the
 smallest hash that fell into it, compressed to a count of leading zeros and ten
-mantissa bits. Runs of four buckets are merged to 64 (the smallest hash again),
-and these are banded into 16 keys of four registers, empty ones filled from
-others by a fixed probing order. Pairs that share a key pass filters
+mantissa bits. Runs of buckets are merged (the smallest hash again), and these are
+banded into keys, empty ones filled from others by a fixed probing order. How
+many follows from the threshold: at 85 percent, runs of four and 16 keys of four
+registers. Pairs that share a key pass filters
 by size, by a bound from shingles that no other candidate has, and by a Jaccard
 estimate corrected for chance collisions, and are then verified on the full
 sets.
@@ -17,6 +18,7 @@ its size, while every link between components is still found.
 
 A pair at the threshold shares no key with probability below 1e-5, and an
 estimate five standard deviations too low is as rare; nothing else drops pairs.
+A threshold too low for that many keys is refused.
 
 Defined cases: a null or empty text, or one without words, has an empty set, is
 linked with nothing and is kept; repeated rows with the same doc_id are the same
@@ -27,6 +29,8 @@ looked at.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,9 +46,11 @@ SHINGLE = 5
 BUCKET_BITS = 8
 BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
-#: Buckets merged for banding, and merged registers in a band.
+#: Most buckets merged for banding, and most merged registers in a band.
 MERGE = 4
 BAND = 4
+#: Most of the pairs at the threshold that may share no key.
+MISSED = 1e-5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Rounds of comparing members with one member of their key.
@@ -87,34 +93,53 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-_MERGED_BITS = BUCKET_BITS - (MERGE - 1).bit_length()
-_MERGED = 1 << _MERGED_BITS
-_PROBES = (mix(np.arange(128 * _MERGED, dtype=np.uint64)) >> np.uint64(64 - _MERGED_BITS)).astype(np.int64).reshape(128, _MERGED)
+def banding(percent: int) -> tuple[int, int, int]:
+    """(buckets merged, registers in a band, bands) by which a pair at the threshold misses all bands with probability MISSED at most."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"a threshold of {percent} percent")
+    for band in range(BAND, 0, -1):
+        miss = 1 - (percent / 100) ** band
+        bands = math.ceil(math.log(MISSED) / math.log(miss)) if miss > 0 else 1
+        merge = MERGE
+        while merge > 1 and band * bands * merge > BUCKETS:
+            merge //= 2
+        if band * bands * merge <= BUCKETS:
+            return merge, band, bands
+    raise ValueError(f"{BUCKETS} registers are too few to find pairs at {percent} percent")
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
+@functools.cache
+def _probes(merged_bits: int) -> np.ndarray:
+    merged = 1 << merged_bits
+    return (mix(np.arange(128 * merged, dtype=np.uint64)) >> np.uint64(64 - merged_bits)).astype(np.int64).reshape(128, merged)
+
+
+def band_keys(regs: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """(sets, bands) keys; meaningless for empty sets."""
-    runs = regs.reshape(len(regs), _MERGED, MERGE)
+    merge, band, bands = banding(percent)
+    merged_bits = BUCKET_BITS - (merge - 1).bit_length()
+    runs = regs.reshape(len(regs), 1 << merged_bits, merge)
     first = (runs > 0).argmax(axis=2)
     merged = np.take_along_axis(runs, first[:, :, None], 2)[:, :, 0].astype(np.uint64)
     merged = np.where(merged > 0, merged | first.astype(np.uint64) << np.uint64(16), 0).astype(np.uint64)
     full = merged.copy()
-    for probe in _PROBES:
+    for probe in _probes(merged_bits):
         row, col = np.nonzero(full == 0)
         if not len(row):
             break
         full[row, col] = merged[row, probe[col]]
     row, col = np.nonzero(full == 0)
     full[row, col] = merged[row, (merged[row] > 0).argmax(axis=1)]
-    wide = full.reshape(len(regs), -1, BAND)
-    keys = np.broadcast_to(np.arange(wide.shape[1], dtype=np.uint64), wide.shape[:2])
-    for j in range(BAND):
+    wide = full[:, : band * bands].reshape(len(regs), bands, band)
+    keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), wide.shape[:2])
+    for j in range(band):
         keys = mix(keys ^ wide[:, :, j])
     return keys
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n, f1, f2, keys): set size, fingerprint and band keys of each row."""
+    banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,10 +148,10 @@ def sketches(docs: DataFrame) -> DataFrame:
             for s in shingle_sets(texts):
                 sets.append(s)
                 if len(sets) == 512:
-                    yield _sketched(ids.slice(at, 512), sets)
+                    yield _sketched(ids.slice(at, 512), sets, percent)
                     at, sets = at + 512, []
             if sets:
-                yield _sketched(ids.slice(at), sets)
+                yield _sketched(ids.slice(at), sets, percent)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys array<long>")
@@ -136,8 +161,8 @@ def _fingerprint(s: np.ndarray) -> tuple[int, int]:
     return int(s.sum().astype(np.int64)), int(mix(s).sum().astype(np.int64)) if len(s) else 0
 
 
-def _sketched(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-    keys = band_keys(registers(sets))
+def _sketched(ids: pa.Array, sets: list[np.ndarray], percent: int) -> pa.RecordBatch:
+    keys = band_keys(registers(sets), percent)
     prints = [_fingerprint(s) for s in sets]
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.view(np.int64).reshape(-1)))
     columns = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())]
@@ -247,7 +272,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) ->
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, kept) for every row."""
-    sketched = written(sketches(docs), "near-sketches")
+    sketched = written(sketches(docs, percent), "near-sketches")
     classes = written(_classes(sketched), "near-classes")
     labels = link_classes(docs, classes, percent)
     named = classes.select("f1", "f2", "n", F.col("id").alias("class_id")).join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")

@@ -89,6 +89,28 @@ def test_sketch_estimates():
     assert (one[1] == 0).all() and (one[0] > 0).sum() == 1
 
 
+def overlapping(r: random.Random, first_id: int, pairs: int, share: float) -> list[tuple]:
+    """Pairs of texts of 200 words, the second with the end replaced so that about this share of shingles is common."""
+    out = []
+    for i in range(pairs):
+        a = sentence(r, 200)
+        common = -int(-196 * 2 * share // (1 + share))
+        out += [(first_id + 2 * i, " ".join(a), "s"), (first_id + 2 * i + 1, " ".join(a[: common + 4] + sentence(r, 196 - common)), "s")]
+    return out
+
+
+def test_bands_follow_the_threshold(spark):
+    assert hyperminhash.banding(85) == (4, 4, 16)
+    for percent in range(5, 101):
+        merge, band, bands = hyperminhash.banding(percent)
+        assert band * bands * merge <= hyperminhash.BUCKETS and (1 - (percent / 100) ** band) ** bands <= 1e-5
+    for percent in (0, 1, 4, 101):
+        with pytest.raises(ValueError):
+            hyperminhash.near_dedup(frame(spark, []), percent)
+    got = hyperminhash.near_dedup(frame(spark, overlapping(random.Random(11), 0, 60, 0.52)), 50)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i // 2 * 2 for i in range(120)}
+
+
 def test_substring_dedup(spark):
     rows = texts()
     docs = [(i, t) for i, t, _ in rows] + [(None, rows[45][1]), (rows[45][0], rows[45][1])]
