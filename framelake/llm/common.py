@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -17,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    Only a session without ``spark.checkpoint.dir`` (tests in local mode) gets
-    a temporary folder of its own.
+    Only a local session without ``spark.checkpoint.dir`` (as in tests) gets a
+    temporary folder of its own; on a cluster, machines don't share such folders.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that the whole cluster shares")
         base = "file://" + tempfile.mkdtemp(prefix="spark-framelake-", dir="/tmp")
         spark.conf.set(CHECKPOINT_DIR, base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
@@ -48,3 +51,32 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions the cluster was sized for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+#: A key is hot if at least one in so many rows has it; so there are at most 1000.
+HOT_SHARE = 1000
+
+
+def joined_by_key(rows: DataFrame, facts: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Rows with the facts of their key; ``facts`` has one row for each key, and how many rows have it in ``size``.
+
+    Rows of hot keys stay where they are, as the facts of these keys, at most
+    HOT_SHARE, are broadcast; the others are shuffled. Keys aren't null.
+    """
+    total = facts.agg(F.sum(size)).first()[0] or 0
+    is_hot = F.col(size) * HOT_SHARE >= total
+    hot = F.broadcast(facts.where(is_hot))
+    cold = rows.join(F.broadcast(facts.where(is_hot).select(*keys)), keys, "left_anti").join(facts.where(~is_hot), keys)
+    return rows.join(hot, keys).unionByName(cold)
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those asked for that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        new = f"__{name}"
+        while new in taken:
+            new += "_"
+        found.append(new)
+    return found

@@ -11,20 +11,26 @@ by size, by a bound from shingles that no other candidate has, and by a Jaccard
 estimate corrected for chance collisions, and are then verified on the full
 sets.
 
-Equal sets form a class, compared once. Within a key, members are first compared
-with a central one and merged; only members of different components are compared
-with each other afterwards. So a large group of near copies costs a few times
-its size, while every link between components is still found.
+Equal sets form a class, compared once, with an id of its own. The members of a
+key with more than SMALL of them are dealt into chunks of about CHUNK. Within a
+chunk, members gather around leaders, and pairs of a leader and a follower are
+verified and merged; a second turn deals them anew, so that chunks merge too. Only
+then members outside a key's most frequent component are compared with all
+others of different components, chunk by chunk, so that every link between
+components is found while a large group of near copies neither meets in one task
+nor pairs up.
 
 A pair at the threshold shares no key with probability below 1e-5, and an
 estimate five standard deviations too low is as rare; nothing else drops pairs.
 A threshold too low for that many keys is refused.
 
 Defined cases: a null or empty text, or one without words, has an empty set, is
-linked with nothing and is kept; repeated rows with the same doc_id are the same
-document; a null doc_id is a document of its own that links with nothing
-(component_id null, kept); an empty table gives no rows; other columns are not
-looked at.
+linked with nothing and is kept; repeated rows (same doc_id and text) are the same
+document; rows that share a doc_id but not the text are documents of their own,
+each linked by its text, that bring the same number into their components; a null
+doc_id is a document of its own that links with nothing (component_id null,
+kept); a text of n bytes takes about 40 n of memory in a worker; an empty table
+gives no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -35,10 +41,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import written
+from framelake.llm.common import fresh_names, joined_by_key, written
 from framelake.llm.graph import components
 from framelake.llm.tokens import chunks, mix, split_words, window_hashes
 
@@ -53,8 +59,12 @@ BAND = 4
 MISSED = 1e-5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Rounds of comparing members with one member of their key.
-CENTRAL_ROUNDS = 2
+#: Keys with at most so many members compare them pair by pair at once.
+SMALL = 16
+#: Members of a larger key that are compared in one place, on average.
+CHUNK = 512
+#: Turns of gathering around leaders.
+TURNS = 2
 #: Standard deviations by which an estimate may be too low.
 MARGIN = 5.0
 #: Fixed value of the method: share of equal registers of independent sets, for one register of 2**-MANTISSA_BITS.
@@ -138,82 +148,176 @@ def band_keys(regs: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, f1, f2, keys): set size, fingerprint and band keys of each row."""
+    """(doc_id, h, n, f1, f2, keys): hash of the text, set size, fingerprint and band keys of each row."""
     banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0), b.column(1)
             at, sets = 0, []
-            for s in shingle_sets(texts):
+            for s in shingle_sets(b.column(2)):
                 sets.append(s)
                 if len(sets) == 512:
-                    yield _sketched(ids.slice(at, 512), sets, percent)
+                    yield _sketched(b.slice(at, 512), sets, percent)
                     at, sets = at + 512, []
             if sets:
-                yield _sketched(ids.slice(at), sets, percent)
+                yield _sketched(b.slice(at), sets, percent)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys array<long>")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, h long, n long, f1 long, f2 long, keys array<long>")
 
 
 def _fingerprint(s: np.ndarray) -> tuple[int, int]:
     return int(s.sum().astype(np.int64)), int(mix(s).sum().astype(np.int64)) if len(s) else 0
 
 
-def _sketched(ids: pa.Array, sets: list[np.ndarray], percent: int) -> pa.RecordBatch:
-    keys = band_keys(registers(sets), percent)
+def _longs(rows: np.ndarray) -> pa.ListArray:
+    """Rows of as many 64-bit values each."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.reshape(-1).view(np.int64)))
+
+
+def _sketched(rows: pa.RecordBatch, sets: list[np.ndarray], percent: int) -> pa.RecordBatch:
+    keys = _longs(band_keys(registers(sets), percent))
     prints = [_fingerprint(s) for s in sets]
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.view(np.int64).reshape(-1)))
-    columns = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())]
-    return pa.RecordBatch.from_arrays([*columns, lists], ["doc_id", "n", "f1", "f2", "keys"])
+    columns = [rows.column(0), rows.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())]
+    return pa.RecordBatch.from_arrays([*columns, keys], ["doc_id", "h", "n", "f1", "f2", "keys"])
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, n, shingles, regs: four registers in each long) of the classes wanted (id, f1, f2), from the text of one of their documents."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id")
+    """(id, n, shingles, regs: four registers in each long) of the classes wanted (id, doc_id, f1, f2), from the text of one of their documents."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f1, f2 = b.column(2).to_pylist(), b.column(3).to_pylist()
             for i, s in enumerate(shingle_sets(b.column(1))):
+                # A doc_id that occurs with several texts meets the classes of all of them.
                 if _fingerprint(s) == (f1[i], f2[i]):
-                    lists = [pa.array([s.view(np.int64)], pa.list_(pa.int64())), pa.array([registers([s])[0].view(np.int64)], pa.list_(pa.int64()))]
+                    lists = [_longs(s[None, :]), _longs(registers([s]).view(np.int64))]
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([len(s)], pa.int64()), *lists], ["id", "n", "shingles", "regs"])
 
-    found = rows.select("id", F.coalesce("text", F.lit("")).alias("text"), "f1", "f2").mapInArrow(run, "id long, n long, shingles array<long>, regs array<long>")
+    found = rows.select("id", "text", "f1", "f2").mapInArrow(run, "id long, n long, shingles array<long>, regs array<long>")
     return found.dropDuplicates(["id"])
 
 
-def _lanes(x: Column) -> Column:
-    """How many of the four 16-bit lanes of a long aren't 0."""
-    for n in (8, 4, 2, 1):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, n))
-    return F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
-
-
-def _possible(a: str, b: str, percent: int) -> Column:
-    """False only for pairs that can't be links, by what is known without their sets."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    most = F.least(na - F.col(f"{a}.alone"), nb - F.col(f"{b}.alone"))
-    by_size = 100 * most >= percent * (na + nb - most)
-    total = lambda f: F.aggregate(F.zip_with(f"{a}.regs", f"{b}.regs", lambda x, y: _lanes(f(x, y))), F.lit(0), lambda s, v: s + v)
-    used = total(lambda x, y: x.bitwiseOR(y))
-    equal = used - total(lambda x, y: x.bitwiseXOR(y))
-    ratio = na / nb
-    chance = COLLISION * 2.0 ** (BUCKET_BITS - MANTISSA_BITS) * 4 * ratio / F.pow(1 + ratio, F.lit(2))
-    t = percent / 100
-    # The variance of one hash for all buckets, for a union of the size it has at the threshold.
-    union = F.greatest((na + nb) / (1 + t), F.lit(2.0))
-    variance = t * (1 - t) * ((1 + 1 / (union - 1)) / used - 1 / (union - 1))
-    slack = MARGIN * F.sqrt(F.greatest(variance, F.lit(0.0))) + 1 / used
-    return by_size & ((equal - chance) / used >= t - slack)
+# --- comparing members of keys ---------------------------------------------
+
+#: What is known of a member where it is compared; members of one place are those with the same key and part.
+MEMBER = ["key", "part", "side", "rank", "band", "id", "label", "n", "alone", "keys", "regs"]
+
+
+class _Members:
+    """Members in the order of their places, as arrays."""
+
+    def __init__(self, t: pa.Table):
+        for name in MEMBER[:-2]:
+            setattr(self, name, t.column(name).to_numpy())
+        flat = lambda name: t.column(name).combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+        self.keys = flat("keys")
+        self.regs = np.ascontiguousarray(flat("regs")).view(np.uint16)
+        new = np.concatenate([[True], (self.key[1:] != self.key[:-1]) | (self.part[1:] != self.part[:-1])]) if len(t) else np.zeros(0, bool)
+        self.first = np.flatnonzero(new)
+        self.place = np.cumsum(new) - 1
+        self.size = np.diff([*self.first, len(t)])
+
+    def open(self, i, j, percent: int) -> np.ndarray:
+        """False only for pairs of one component and pairs that can't be links by their sizes and the shingles that no other candidate has."""
+        ni, nj = self.n[i], self.n[j]
+        most = np.minimum(ni - self.alone[i], nj - self.alone[j])
+        return (self.label[i] != self.label[j]) & (100 * most >= percent * (ni + nj - most))
+
+    def estimates(self, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Jaccard estimates corrected for chance collisions, and how far below the truth they may be."""
+        out, slack, t = np.zeros(len(i)), np.zeros(len(i)), percent / 100
+        for at in range(0, len(i), 4096):
+            a, b = i[at : at + 4096], j[at : at + 4096]
+            x, y = self.regs[a], self.regs[b]
+            used = np.count_nonzero(x | y, axis=1)
+            equal = used - np.count_nonzero(x != y, axis=1)
+            na, nb = self.n[a].astype(np.float64), self.n[b].astype(np.float64)
+            ratio = na / nb
+            chance = COLLISION * 2.0 ** (BUCKET_BITS - MANTISSA_BITS) * 4 * ratio / (1 + ratio) ** 2
+            out[at : at + 4096] = (equal - chance) / used
+            # The variance of one hash for all buckets, for a union of the size it has at the threshold.
+            union = np.maximum((na + nb) / (1 + t), 2.0)
+            variance = t * (1 - t) * ((1 + 1 / (union - 1)) / used - 1 / (union - 1))
+            slack[at : at + 4096] = MARGIN * np.sqrt(np.maximum(variance, 0.0)) + 1 / used
+        return out, slack
+
+    def likely(self, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that may be links, each only at the first key that both have."""
+        keep = self.open(i, j, percent)
+        i, j = i[keep], j[keep]
+        keep = (self.keys[i] == self.keys[j]).argmax(axis=1) == self.band[i] if len(i) else keep[:0]
+        i, j = i[keep], j[keep]
+        guess, slack = self.estimates(i, j, percent)
+        keep = guess >= percent / 100 - slack
+        return i[keep], j[keep]
+
+    def pairs(self, small: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Likely links within small places."""
+        for step in range(1, SMALL):
+            i = np.flatnonzero(small[self.place[:-step]] & (self.place[:-step] == self.place[step:])) if step < len(self.place) else np.zeros(0, np.int64)
+            if not len(i):
+                return
+            yield self.likely(i, i + step, percent)
+
+    def stars(self, place: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Leaders and followers within a place: a member that follows none leads those after it that resemble it."""
+        left = np.arange(self.first[place], self.first[place] + self.size[place])
+        while len(left) > 1:
+            lead, left = left[0], left[1:]
+            left = left[self.label[left] != self.label[lead]]
+            near = np.flatnonzero(self.open(lead, left, percent))
+            guess, _ = self.estimates(np.full(len(near), lead), left[near], percent)
+            near = near[guess >= percent / 100]
+            if len(near):
+                yield np.full(len(near), lead), left[near]
+                left = np.delete(left, near)
+
+    def across(self, place: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Likely links between the left and right members of a place; side is 0 for left ones, 1 for right ones that are left ones elsewhere, else 2."""
+        own = np.arange(self.first[place], self.first[place] + self.size[place])
+        left, right = own[self.side[own] == 0], own[self.side[own] > 0]
+        for i in left:
+            j = right[(self.side[right] == 2) | (self.id[right] > self.id[i])]
+            yield self.likely(np.full(len(j), i), j, percent)
+
+
+def _compared(members: DataFrame, percent: int, across: bool) -> DataFrame:
+    """(a, b) pairs that are likely links, of members dealt by key and part."""
+
+    def found(m: _Members) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if across:
+            for place in range(len(m.first)):
+                yield from m.across(place, percent)
+            return
+        yield from m.pairs(m.size <= SMALL, percent)
+        for place in np.flatnonzero(m.size > SMALL):
+            yield from m.stars(int(place), percent)
+
+    def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        m = _Members(t)
+        pairs = [(m.id[i], m.id[j]) for i, j in found(m) if len(i)]
+        if pairs:
+            i, j = (np.concatenate(x) for x in zip(*pairs))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            key, part = held.column("key").to_numpy(), held.column("part").to_numpy()
+            # The last place may go on in the next batch; no place has many more than CHUNK members a side.
+            whole = int(np.flatnonzero((key != key[-1]) | (part != part[-1]))[-1]) + 1 if len(key) and (key[0], part[0]) != (key[-1], part[-1]) else 0
+            if whole:
+                yield from emit(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None and len(held):
+            yield from emit(held)
 
-def _once(a: str, b: str) -> Column:
-    """Whether the key at hand is the first that both have, so that a pair comes up once."""
-    common = F.filter(F.zip_with(f"{a}.keys", f"{b}.keys", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-    return F.get(common, F.lit(0)) == F.col("key")
+    dealt = members.select(*MEMBER).repartition("key", "part").sortWithinPartitions("key", "part", "side", "rank", "id")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -225,66 +329,100 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _classes(sketched: DataFrame) -> DataFrame:
+    """(id, doc_id, f1, f2, n, keys, copies) of each set; the ids hold once they are written."""
     of = sketched.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n")
-    return of.agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
+    of = of.agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
+    return of.withColumn("id", F.monotonically_increasing_id())
+
+
+def _dealt(member: DataFrame, facts: DataFrame, turn: int) -> DataFrame:
+    """Members with what is known of them, in chunks that change from turn to turn."""
+    chunk = F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("size") / CHUNK))
+    rows = member.withColumn("part", chunk).withColumn("side", F.lit(0)).withColumn("rank", F.xxhash64("id", F.lit(-turn)))
+    return rows.join(facts, "id")
+
+
+def _sides(member: DataFrame, facts: DataFrame) -> DataFrame:
+    """Members outside their key's most frequent component, each chunk beside every chunk of all members."""
+    counts = member.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.first("size").alias("size"))
+    most = counts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("c"), F.first("size").alias("size"))
+    plan = written(most.select("key", "main", "size", F.ceil((F.col("size") - F.col("c")) / CHUNK).alias("lefts"), F.ceil(F.col("size") / CHUNK).alias("rights")), "near-sides")
+    rows = joined_by_key(member.drop("size"), plan, ["key"], "size").withColumn("minor", F.col("label") != F.col("main"))
+    own = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = rows.where("minor").withColumn("l", own("lefts", 7)).withColumn("r", every("rights")).withColumn("side", F.lit(0))
+    right = rows.withColumn("r", own("rights", 8)).withColumn("l", every("lefts")).withColumn("side", F.when(F.col("minor"), 1).otherwise(2))
+    both = left.unionByName(right).withColumn("part", F.col("l") * F.col("rights") + F.col("r")).withColumn("rank", F.lit(0).cast("long"))
+    return both.drop("main", "size", "lefts", "rights", "minor", "l", "r").join(facts, "id")
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(id, label) of every class linked with another; label is the smallest reachable."""
-    member = classes.select("id", F.explode("keys").alias("key")).distinct()
-    shared = member.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    member = written(member.join(shared, "key"), "near-members")
-    central = member.groupBy("id").agg(F.sum("size").alias("central"))
-    pool = written(classes.join(central, "id"), "near-pool")
-    sets = written(_sets(docs, pool.select("id", "f1", "f2")), "near-sets")
+    """(id, label) of every class that shares a key with another; label is the smallest reachable."""
+    every = classes.select("id", F.posexplode("keys").alias("band", "key"))
+    shared = written(every.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-keys")
+    member = written(joined_by_key(every, shared, ["key"], "size"), "near-members")
+    pool = written(classes.select("id", "doc_id", "f1", "f2", "n", "keys").join(member.select("id").distinct(), "id"), "near-pool")
+    sets = written(_sets(docs, pool.select("id", "doc_id", "f1", "f2")), "near-sets")
     # A shingle of one candidate only can be in no intersection.
     single = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id"))
     alone = single.where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    facts = pool.select("id", "n", "keys", "central").join(sets.select("id", "regs"), "id").join(alone, "id", "left").fillna(0, ["alone"])
+    facts = pool.select("id", "n", "keys").join(sets.select("id", "regs"), "id").join(alone, "id", "left").fillna(0, ["alone"])
     facts = written(facts.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")), "near-facts")
-    sets = written(sets.drop("regs").join(facts.select("id"), "id", "left_semi"), "near-sets")
-    member = written(member.select("key", "id").join(facts, "id"), "near-members")
+    member = member.join(facts.select("id"), "id", "left_semi")
     labels = facts.select("id", F.col("id").alias("label"))
-    links = None
-    for turn in range(CENTRAL_ROUNDS + 1):
-        now = member.join(labels, "id")
-        rank = F.struct("central", -F.col("id")) if turn == 0 else F.struct(F.xxhash64("id"), "id")
-        whole = F.struct("id", "label", "n", "alone", "keys", "regs")
-        open_keys = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by(whole, rank).alias("b"))
-        open_keys = open_keys.where("low < high")
-        mine = now.select("key", whole.alias("a"))
-        if turn < CENTRAL_ROUNDS:
-            joined = mine.join(open_keys.select("key", "b"), "key")
-            pairs = joined.where((F.col("a.label") != F.col("b.label")) & _possible("a", "b", percent))
-        else:
-            still = mine.join(open_keys.select("key"), "key", "left_semi")
-            other = still.select(F.col("key").alias("k"), F.col("a").alias("b"))
-            on = (F.col("key") == F.col("k")) & (F.col("a.label") < F.col("b.label")) & _once("a", "b") & _possible("a", "b", percent)
-            pairs = still.join(other, on)
-        pairs = pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
-        new = written(_verified(pairs, sets, percent), "near-links")
+    links, large = None, None
+    for turn in range(TURNS + 1):
+        now = (member if large is None else large).join(labels, "id")
+        if turn:
+            open_keys = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+            open_keys = written(open_keys.select("key", "size"), "near-open")
+            if open_keys.isEmpty():
+                break
+            now = joined_by_key(now.drop("size"), open_keys, ["key"], "size")
+        pairs = _compared(_sides(written(now, "near-left"), facts) if turn == TURNS else _dealt(now, facts, turn), percent, turn == TURNS)
+        new = _verified(pairs, sets, percent)
+        if turn == TURNS:
+            # One link between two components is enough.
+            a, b = (labels.select(F.col("id").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+            new = new.join(a, "a").join(b, "b").groupBy(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb"))
+            new = new.agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+        new = written(new, "near-links")
         links = new if links is None else links.union(new)
         found = components(links)
         labels = facts.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("label", "id").alias("label"))
         labels = written(labels, "near-labels")
+        large = member.where(F.col("size") > SMALL) if large is None else large
     return labels
 
 
-def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id, kept) for every row."""
+def _verdicts(docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, h, n, class_id, component_id) for every row."""
     sketched = written(sketches(docs, percent), "near-sketches")
     classes = written(_classes(sketched), "near-classes")
     labels = link_classes(docs, classes, percent)
-    named = classes.select("f1", "f2", "n", F.col("id").alias("class_id")).join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
-    out = sketched.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
+    labelled = classes.select("id", "doc_id", "f1", "f2", "n", "copies").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    labelled = written(labelled, "near-labelled")
+    lowest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("classes"))
+    named = joined_by_key(labelled, written(lowest, "near-lowest"), ["label"], "classes")
+    named = written(named.select("f1", "f2", "n", F.col("doc_id").alias("class_id"), "component_id", "copies"), "near-named")
+    rows = sketched.select("doc_id", "h", "n", "f1", "f2")
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    class_id = F.when(linked, F.col("class_id")).otherwise(F.col("doc_id"))
-    component = F.when(linked, F.coalesce("label", "class_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), class_id.alias("class_id"), component.alias("component_id"))
+    alone = rows.where(~linked).withColumns({"class_id": F.col("doc_id"), "component_id": F.col("doc_id")})
+    out = joined_by_key(rows.where(linked), named, ["f1", "f2", "n"], "copies")
+    columns = ["doc_id", "h", "n", "class_id", "component_id"]
+    return out.select(*columns).unionByName(alone.select(*columns))
+
+
+def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id, kept) for every row."""
+    out = _verdicts(docs, percent).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of one document of each group, with all their columns."""
-    ids = near_dedup(docs, percent).where("kept").select(F.col("doc_id").alias("__keep_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__keep_id")), "left_semi")
+    stays = _verdicts(docs, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    key, text = fresh_names(docs, "id", "text_hash")
+    stays = stays.select(F.col("doc_id").alias(key), F.col("h").alias(text)).distinct()
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(text))
+    return docs.join(stays, on, "left_semi")
