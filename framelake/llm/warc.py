@@ -1,6 +1,8 @@
 """Deterministic sharded WARC archives.
 
-Records are sorted by URL and page across shards (range partitions). A shard is
+Records are sorted by URL and page across shards. The bounds between shards are
+quantiles of a sample that is chosen by hashes of URL and page, so the same pages
+give the same shards, however they are dealt and whenever this runs. A shard is
 written as files that are rolled once their compressed size reaches a limit; each
 record is a gzip member of its own, and its headers and digests are made anew
 from the payload. A file is written under a temporary name and then renamed to
@@ -16,13 +18,15 @@ front of their pages, so that each page is shuffled once.
 
 Defined cases: a null payload is empty; a null URL is written as ``urn:null``;
 rows that repeat both page_id and payload are responses all; a null page_id is
-smaller than any; an empty table gives an archive without files. Other columns
-are not looked at.
+smaller than any; an empty table gives an archive without files; a payload is
+held whole in memory where it is written and read. Other columns, whatever their
+names, are not looked at.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import re
@@ -30,15 +34,19 @@ import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import partitions, shared_dir, written
+from framelake.llm.common import joined_by_key, partitions, shared_dir, written
 
 ROLL_BYTES = 32 << 20
+#: Sampled pages for each shard, in the mean, by which the bounds between shards are set.
+SAMPLED = 64
+#: Names of stores in Spark's and in Arrow's file systems.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs"}
 #: Records carry this date unless another is given, so that reruns agree.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -70,11 +78,17 @@ def record(page: int | None, url: str | None, payload: bytes, refers_to: int | N
     return _block([*fields, ("Content-Type", "application/http; msgtype=response")], body)
 
 
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, and the folder's path in it."""
+    scheme, colon, rest = uri.partition(":")
+    return fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
+
+
 class _Shard:
     """Writes the files of one shard."""
 
     def __init__(self, out: str, shard: int, roll: int, date: str):
-        self.files, self.base = fs.FileSystem.from_uri(out)
+        self.files, self.base = _store(out)
         self.shard, self.roll, self.date, self.sequence, self.stream = shard, roll, date, 0, None
 
     def _open(self) -> None:
@@ -103,31 +117,62 @@ class _Shard:
     def close(self) -> tuple:
         self.stream.close()
         final = f"{self.base}/{self.name}"
-        if self.files.get_file_info(final).type != fs.FileType.NotFound:
-            self.files.delete_file(final)  # of an earlier attempt, with the same bytes
-        self.files.move(self.temporary, final)
+        there = self.files.get_file_info(final)
+        if there.type == fs.FileType.File and there.size == self.size:
+            self.files.delete_file(self.temporary)  # an earlier attempt has left the same bytes
+        else:
+            self.files.move(self.temporary, final)
         self.stream, self.sequence = None, self.sequence + 1
         return self.name, self.shard, self.sequence - 1, self.records, self.size, self.sha.hexdigest()
 
 
+def _order(url: str | None, page: int | None) -> tuple:
+    """Pages in the order of Spark's sort."""
+    return (url is not None, url or "", page is not None, page or 0)
+
+
+def bounds(keys: DataFrame, shards: int) -> list[tuple]:
+    """The first page of every shard but the first, by (url, page_id); as few as there are shards."""
+    n = keys.count()
+    every = max(1, n // (shards * SAMPLED))
+    # Each page is in the sample by its own hash, whatever else is there; repeated rows count once.
+    sample = keys.where(F.pmod(F.xxhash64("url", "page_id"), F.lit(every)) == 0).distinct()
+    numbered = sample.orderBy("url", "page_id").collect() if n else []
+    found = [numbered[i * len(numbered) // shards] for i in range(1, shards)] if numbered else []
+    return sorted({_order(r.url, r.page_id) for r in found})
+
+
 def write(pages: DataFrame, out: str, shards: int | None = None, roll_bytes: int = ROLL_BYTES, revisit_bytes: int = 0, date: str = DATE) -> DataFrame:
     """Writes (page_id, url, html) below ``out``; returns the manifest, which is committed there too."""
+    spark, shards = pages.sparkSession, shards or partitions(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("html"))
-    narrow = rows.select("page_id", "url", F.sha1("html").alias("sha"), F.octet_length("html").alias("n"))
-    narrow = written(narrow.where(F.col("n") >= revisit_bytes), "warc-digests")
-    groups = narrow.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    revisits = narrow.join(groups, "sha").where("not page_id <=> refers_to").select("page_id", "url", "sha", "refers_to")
+    narrow = written(rows.select("page_id", "url", F.sha1("html").alias("sha"), F.octet_length("html").alias("n")), "warc-digests")
+    large = narrow.where(F.col("n") >= revisit_bytes)
+    groups = written(large.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("c")).where("c > 1"), "warc-groups")
+    revisits = joined_by_key(large, groups, ["sha"], "c").where("not page_id <=> refers_to")
     revisits = revisits.select("page_id", "url", F.lit(0).alias("kind"), F.unhex("sha").alias("html"), "refers_to").distinct()
     full = rows.select("page_id", "url", F.lit(1).alias("kind"), "html", F.lit(None).cast("long").alias("refers_to"))
-    sorted_rows = full.union(revisits).repartitionByRange(shards or partitions(pages.sparkSession), "url", "page_id")
-    sorted_rows = sorted_rows.sortWithinPartitions("url", "page_id", "kind", "html")
+    starts = bounds(narrow.select("url", "page_id"), shards)
+
+    @F.pandas_udf("int")
+    def shard_of(url: pd.Series, page: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(starts, _order(u, None if p is None else int(p))) for u, p in zip(url, page)], dtype="int32")
+
+    # Numbers travel as text, as pandas would make floats of a column with nulls.
+    shard = shard_of("url", F.col("page_id").cast("string"))
+    dealt = full.union(revisits).withColumn("shard", shard).repartitionById(shards, "shard")
+    sorted_rows = dealt.sortWithinPartitions("shard", "url", "page_id", "kind", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def lines() -> Iterator[tuple]:
-            shard, known = _Shard(out, TaskContext.get().partitionId(), roll_bytes, date), {}
+            shard, known = None, {}
             for b in batches:
                 for i in range(b.num_rows):
-                    page, url, kind, html, refers = (c[i].as_py() for c in b.columns)
+                    number, page, url, kind, html, refers = (c[i].as_py() for c in b.columns)
+                    if shard is None or shard.shard != number:
+                        if shard is not None and shard.stream is not None:
+                            yield shard.close()
+                        shard = _Shard(out, number, roll_bytes, date)
                     key = (url, page)
                     if kind == 0:
                         known = known if known.get("key") == key else {"key": key}
@@ -135,7 +180,7 @@ def write(pages: DataFrame, out: str, shards: int | None = None, roll_bytes: int
                     else:
                         to = known.get(hashlib.sha1(html).digest()) if known.get("key") == key else None
                         yield from shard.add(record(page, url, html, to, date))
-            if shard.stream is not None:
+            if shard is not None and shard.stream is not None:
                 yield shard.close()
 
         kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
@@ -143,9 +188,9 @@ def write(pages: DataFrame, out: str, shards: int | None = None, roll_bytes: int
         for line in lines():
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(line, kinds)], names)
 
-    manifest = sorted_rows.select("page_id", "url", "kind", "html", "refers_to").mapInArrow(run, MANIFEST)
+    manifest = sorted_rows.select("shard", "page_id", "url", "kind", "html", "refers_to").mapInArrow(run, MANIFEST)
     manifest.write.parquet(f"{out}/_manifest")
-    return pages.sparkSession.read.parquet(f"{out}/_manifest")
+    return spark.read.parquet(f"{out}/_manifest")
 
 
 def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -189,7 +234,7 @@ def read(spark: SparkSession, out: str) -> DataFrame:
     files = manifest.select("file", "bytes").repartition(partitions(spark), "file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(out)
+        store, base = _store(out)
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
         names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
         for b in batches:
