@@ -89,6 +89,39 @@ def test_sketch_estimates():
     assert (one[1] == 0).all() and (one[0] > 0).sum() == 1
 
 
+def near_group(r: random.Random, first_id: int, n: int) -> list[tuple]:
+    """Texts that grew from one by edits of two words each: some near to many others, some to none."""
+    out = [sentence(r, 120)]
+    while len(out) < n:
+        w = list(r.choice(out[-200:]))
+        for _ in range(r.choice([1, 1, 2, 4])):
+            w[r.randrange(len(w))] = sentence(r, 1)[0]
+        out.append(w)
+    return [(first_id + i, " ".join(w), "near") for i, w in enumerate(out)]
+
+
+def test_near_dedup_of_a_doc_id_with_two_texts(spark):
+    r = random.Random(8)
+    a, b = sentence(r, 100), sentence(r, 100)
+    docs = [(5, " ".join(a), "s"), (5, " ".join(b), "s"), (6, " ".join([*a[:99], "x"]), "s"), (7, " ".join([*b[:99], "y"]), "s"), (9, "alone", "s"), (5, " ".join(b), "s")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in hyperminhash.near_dedup(frame(spark, docs)).collect())
+    assert got == [(5, 5, True)] * 3 + [(6, 5, False), (7, 5, False), (9, 9, True)]
+    # The text that document 5 shares with 2 goes, its other one stays.
+    kept = hyperminhash.keep_one(frame(spark, [*docs[:4], (2, " ".join(a), "s")])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(2, docs[0][1]), (5, docs[1][1])]
+
+
+def test_near_dedup_misses_no_link(spark):
+    """Recall against all pairs: many pairs at and above the threshold, and a large group around one text."""
+    r = random.Random(12)
+    rows = [row for share in (0.855, 0.87, 0.9, 0.95) for row in overlapping(r, int(share * 1000) * 1000, 150, share)]
+    rows += [*near_group(random.Random(5), 10_000, 1500), *texts()]
+    want = plain.near([(i, t) for i, t, _ in rows])
+    same(hyperminhash.near_dedup(frame(spark, rows)).select("doc_id", "n_shingles", "component_id"), [(i, *w) for i, w in want.items()])
+    assert 50 < len({c for i, (_, c) in want.items() if 10_000 <= i < 11_500}) < 1400
+    assert sum(i != c for i, (_, c) in want.items() if i > 100_000) >= 550
+
+
 def overlapping(r: random.Random, first_id: int, pairs: int, share: float) -> list[tuple]:
     """Pairs of texts of 200 words, the second with the end replaced so that about this share of shingles is common."""
     out = []
@@ -181,6 +214,34 @@ def test_digest_index_is_persistent(spark):
     assert "Exchange hashpartitioning" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_batch_may_come_again(spark):
+    index = exact_dedup.DigestIndex(spark, buckets=3)
+    index.ingest(frame(spark, [(1, "a", "s")]), batch="first")
+    second = frame(spark, [(2, "a", "s"), (3, "b", "s"), (4, "b", "s"), (None, "c", "s")])
+    verdicts = lambda df: sorted(repr((r.doc_id, r.keep_id, r.group_size, r.kept)) for r in df.collect())
+    once = verdicts(index.ingest(second, batch="second"))
+    assert once == sorted(map(repr, [(2, 1, 1, False), (3, 4, 2, False), (4, 4, 2, True), (None, None, 1, True)]))
+    assert verdicts(index.ingest(second, batch="second")) == once
+    assert index.read().count() == 3
+    # A batch of which only a part had been appended is completed.
+    index.ingest(second.where("doc_id = 3"), batch="third")
+    third = frame(spark, [(8, "d", "s"), (9, "e", "s")])
+    index.add(exact_dedup.digests(third.where("doc_id = 8")), "fourth")
+    assert verdicts(index.ingest(third, batch="fourth")) == sorted(map(repr, [(8, 8, 1, True), (9, 9, 1, True)]))
+
+
+def test_the_query_probes_an_index_that_is_not_shuffled(spark, monkeypatch):
+    plans, unseen = [], exact_dedup.DigestIndex.unseen
+    monkeypatch.setattr(exact_dedup.DigestIndex, "unseen", lambda self, g: plans.append(self.read().count()) or plans.append(unseen(self, g)._jdf.queryExecution().executedPlan().toString()) or unseen(self, g))
+    tables = len(spark.catalog.listTables())
+    docs = frame(spark, [(i, f"t{i % 30}", "s") for i in range(100)])
+    assert exact_dedup.exact_dedup(docs).where("kept").count() == 30
+    assert plans[0] == 0 and plans[2] > 0
+    for plan in plans[1::2]:
+        assert "SortMergeJoin" in plan and "LeftAnti" in plan and plan.count("Exchange hashpartitioning") == 1
+    assert len(spark.catalog.listTables()) == tables
+
+
 def test_digest_index_broadcasts_little_of_a_large_index(spark, monkeypatch):
     index = exact_dedup.DigestIndex(spark, buckets=4)
     first = index.ingest(frame(spark, [(i, f"t{i}", "s") for i in range(3000)]))

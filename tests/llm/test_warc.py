@@ -4,6 +4,7 @@ import gzip
 from urllib.request import url2pathname
 
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 from framelake.llm import warc
 from framelake.llm.common import shared_dir
@@ -62,3 +63,35 @@ def test_files_are_sorted_rolled_and_reproducible(spark):
     back = {r.page_id: bytes(r.payload).decode() for r in warc.read(spark, out).collect() if r.record_type == "response"}
     want = {r.page_id: r.html for r in pages.collect()}
     assert all(want[k] == v for k, v in back.items())
+
+
+def test_the_same_pages_give_the_same_files(spark):
+    pages = spark.range(12_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.xxhash64("id") % 50, F.lit("/"), F.col("id") % 700).alias("url"), F.repeat(F.concat(F.lit("text "), (F.col("id") % 9000).cast("string")), 3).alias("html"))
+    manifests = []
+    for dealt in (pages, pages, pages.repartition(13), pages.repartition(5, "url")):
+        spark.range(100).groupBy((F.col("id") % 3).alias("k")).count().orderBy("k").collect()
+        manifests.append(sorted(map(tuple, warc.write(dealt, shared_dir(spark, "warc-test"), shards=4, roll_bytes=100_000).collect())))
+    assert all(m == manifests[0] for m in manifests)
+    assert len({m[1] for m in manifests[0]}) == 4 and max(m[2] for m in manifests[0]) > 0
+    records = [sum(m[3] for m in manifests[0] if m[1] == k) for k in range(4)]
+    assert sum(records) == 12_000 and max(records) < 1.5 * min(records)
+
+
+def test_short_payloads_are_never_revisits(spark):
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string, refers_to int")
+    out = shared_dir(spark, "warc-test")
+    warc.write(pages, out, revisit_bytes=5)
+    got = warc.read(spark, out).collect()
+    assert len(got) == len(ROWS)
+    assert all(r.record_type == "response" for r in got if r.payload_bytes < 5 or r.page_id in (4, 5, 6))
+    out = shared_dir(spark, "warc-test")
+    warc.write(pages, out, revisit_bytes=4)
+    assert {r.page_id for r in warc.read(spark, out).collect() if r.record_type == "revisit"} == {1, 2, None}
+
+
+def test_extreme_keys(spark):
+    top = (1 << 63) - 1
+    pages = spark.createDataFrame([(top, None, "a", "s"), (top - 1, "", "b", "s"), (None, None, None, "s"), (-top, "\U0001f600", "c" * 300_000, "s")], "page_id long, url string, html string, shard string")
+    out = shared_dir(spark, "warc-test")
+    warc.write(pages, out, shards=3)
+    assert {(r.page_id, r.payload_bytes) for r in warc.read(spark, out).collect()} == {(top, 1), (top - 1, 1), (None, 0), (-top, 300_000)}
