@@ -67,6 +67,55 @@ def test_edits_keep_counts_exact(library, own):
         assert all((x == y).all() for x, y in zip(tree.levels, again.levels))
 
 
+def apply(own, library, text: str, edits: list[tuple]) -> int:
+    """Edits a text, holding its counts against the library; the most characters that one edit encoded."""
+    counts = token_counts._Counts(own)
+    tree, most = token_counts.build(text, counts.__getitem__, own), 0
+    assert tree.total.tolist() == [len(text), len(ids(library, text)) // 4]
+    for start, end, insert in edits:
+        want = text[:start] + insert + text[end:]
+        text, encoded = token_counts.edit(text, tree, start, end, insert, counts.__getitem__, own)
+        assert text == want
+        assert tree.total.tolist() == [len(text), len(ids(library, text)) // 4], (start, end, insert)
+        most = max(most, encoded)
+    again = token_counts.Tree.unpack(tree.pack(), tree.levels[0].shape[1])
+    assert all((x == y).all() for x, y in zip(tree.levels, again.levels)) and (tree.goes_on == again.goes_on).all()
+    return most
+
+
+def test_edits_inside_earlier_insertions_encode_little(library, own):
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdeé") for _ in range(r.randint(1, 9))) for _ in range(20_000)]
+    bulk, counts = " ".join(words), token_counts._Counts(own)
+    tree = token_counts.build("start  end", counts.__getitem__, own)
+    text, _ = token_counts.edit("start  end", tree, 6, 6, bulk, counts.__getitem__, own)
+    assert tree.levels[0].shape[1] > 19_000
+    for at in (7, 50_000, len(text) - 8):
+        text, encoded = token_counts.edit(text, tree, at, at + 1, "x", counts.__getitem__, own)
+        assert encoded < 40 and tree.total.tolist() == [len(text), len(ids(library, text)) // 4]
+    typed = [(3 + k, 3 + k, c) for k, c in enumerate("word by word, it's typed here " * 20)]
+    assert apply(own, library, "abc def ghi", typed) < 40
+
+
+def test_edits_of_texts_without_blanks_encode_little(library, own):
+    r = random.Random(6)
+    cjk = "".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(20_000))
+    for text in (cjk, "ab" * 10_000, "a1" * 10_000, "".join(r.choice("abcdefgh'!=-019é") for _ in range(20_000)), "=" * 5000 + "'s" * 20 + "s" * 5000):
+        edits = [(p := r.randrange(len(text)), p + r.randint(0, 3), r.choice(["", "x", "'s", "b'", " ", "字", "<|endoftext|>", "1!"])) for _ in range(12)]
+        # Tokens of a run of one character all shift with its first one.
+        assert apply(own, library, text, edits) < (60_000 if text[0] == "=" else 1000), text[:20]
+
+
+def test_random_edits_near_cuts(library, own):
+    r = random.Random(9)
+    alphabet = ["a", "b", "the", "ing", "'", "'s", "'re", "!", "=", "1", "22", "é", "字", " ", "<|endoftext|>", "\x1c", "\n"]
+    for k in range(25):
+        text = "".join(r.choice(alphabet[: r.randint(2, len(alphabet))]) for _ in range(r.randint(200, 1200)))
+        n = len(text)
+        edits = [(p := r.randint(0, n // 2), p + r.randint(0, 40), "".join(r.choice(alphabet) for _ in range(r.randint(0, 6)))) for _ in range(10)]
+        apply(own, library, text, [e for e in edits if e[1] < n // 3])
+
+
 ROWS = [(1, "Hello, world! <|endoftext|> it's", 3), (2, None, 3), (3, "", 3), (4, "ü" * 9000, 3), (4, "ü" * 9000, 3), (None, "x  y\n\n z ", 3)]
 
 
