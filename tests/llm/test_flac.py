@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from framelake.llm import flac
+from framelake.llm.common import shared_dir
 
 
 def payload(text: str | None) -> bytes:
@@ -146,3 +147,39 @@ def test_query(spark):
     blocks = flac.pcm_blocks(flac.decode(flac.encode(docs.select("doc_id", flac.padded(docs.text).alias("p")), "p")))
     whole = blocks.where("doc_id is null").orderBy("block").collect()
     assert b"".join(bytes(b.pcm) for b in whole) == payload("é" * 5000)
+
+
+def test_frame_numbers_of_all_lengths():
+    for n, want in {0: b"\x00", 127: b"\x7f", 128: b"\xc2\x80", 2047: b"\xdf\xbf", 2048: b"\xe0\xa0\x80", 65535: b"\xef\xbf\xbf", 65536: b"\xf0\x90\x80\x80", 70_000: b"\xf0\x91\x85\xb0", (1 << 21) - 1: b"\xf7\xbf\xbf\xbf", 1 << 21: b"\xf8\x88\x80\x80\x80", 1 << 26: b"\xfc\x84\x80\x80\x80\x80", (1 << 31) - 1: b"\xfd\xbf\xbf\xbf\xbf\xbf"}.items():
+        columns = flac._utf8_number(np.array([n]))
+        assert bytes(int(v[0]) for v, bits in columns if bits[0]) == want, n
+    with pytest.raises(ValueError):
+        flac._utf8_number(np.array([1 << 31]))
+
+
+def test_frames_beyond_65535_are_read_back():
+    """A frame with a number of four bytes, decoded with its header's checksum."""
+    x = np.arange(192, dtype=np.int64).reshape(1, -1) % 50
+    for number in (65_535, 65_536, 70_000, 1 << 21, (1 << 31) - 1):
+        values, bits = flac._frames(x, np.array([number]))
+        ends = np.cumsum(bits, axis=1)
+        n = int(-(-ends[0, -1] // 8))
+        used = bits > 0
+        packed = flac._packed(values[used], ends[used], n)
+        crc = int(flac.crc16(packed, np.array([0]), np.array([n]))[0])
+        raw = np.concatenate([packed, np.array([crc >> 8, crc & 255], np.uint8)])
+        samples, numbers, _ = flac._decode_frames(flac._Bits(raw), np.array([0]), np.array([8]))
+        assert numbers[0] == number and (samples[0] == x[0]).all()
+
+
+def test_pcm_blocks_are_written_and_sought(spark):
+    payload = bytes(i * 7 % 251 for i in range(5000))
+    docs = spark.createDataFrame([(1, payload), (2, b"x" * 192), (3, None)], "doc_id long, payload binary")
+    path = shared_dir(spark, "pcm-blocks")
+    flac.write_pcm_blocks(flac.decode(flac.encode(docs, "payload")), path)
+    rows = spark.read.parquet(path)
+    assert rows.count() == 6
+    own = sorted(rows.where("doc_id = 1").collect(), key=lambda r: r.block)
+    assert b"".join(bytes(r.pcm) for r in own) == payload
+    found = rows.where("doc_id = 1 and first_sample <= 3000 and 3000 < first_sample + n_samples").first()
+    assert found.block == 2 and bytes(found.pcm)[3000 - found.first_sample] == payload[3000]
