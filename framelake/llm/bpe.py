@@ -7,7 +7,9 @@ they were queued are skipped. Decoding concatenates the vocabulary's strings.
 
 Defined cases: a null or empty text has no ids and decodes to the empty string;
 ids that don't form UTF-8 decode with replacement characters; unknown ids raise.
-Repeated rows and null doc_ids pass through; an empty table gives no rows.
+Repeated rows and null doc_ids pass through; an empty table gives no rows; a long
+text is held whole in a worker, as 4 bytes for each id and its queue for each
+pre-token. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

@@ -9,8 +9,10 @@ seeded hash until the target is met, the last of them in part.
 
 Defined cases: a null text has size 0; rows with a null source form a source of
 their own, ordered last; a source without words has target 0; a null doc_id
-hashes like the text 'null'; repeated rows are documents of their own; an empty
-table gives no rows. Other columns are not looked at.
+hashes like the text 'null'; repeated rows are documents of their own; texts are
+counted where they lie, however long; an empty table gives no rows. Sources are
+as many as fit one sort (one row each), documents of a source any number. Other
+columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import written
+from framelake.llm.common import fresh_names, written
 
 #: Words as Java's and RE2's regular expressions both understand them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -88,15 +90,16 @@ def _placed(docs: DataFrame, seed: str, max_epochs: int) -> DataFrame:
 def sample(docs: DataFrame, seed: str = "mix-1", max_epochs: int = 3) -> DataFrame:
     """The mixed documents themselves: whole copies, then the part of a last one, cut after a word.
 
-    Rows that repeat both doc_id and text are all taken as often as one of them.
+    Rows that repeat doc_id, text and source are all taken as often as the luckiest of them.
     """
-    taken = _placed(docs, seed, max_epochs).where("taken > 0")
-    taken = taken.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
-    joined = docs.join(taken.dropDuplicates(["__id", "__hash"]), on)
-    copies = F.ceil(F.col("__taken") / F.col("__size")).cast("int")
-    joined = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
-    rest = (F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")).cast("int")
+    key, text_hash, source, size, taken, copy = fresh_names(docs, "id", "hash", "source", "size", "taken", "copy")
+    found = _placed(docs, seed, max_epochs).where("taken > 0").groupBy("doc_id", "text_hash", "source", "size").agg(F.max("taken").alias("taken"))
+    found = found.select(F.col("doc_id").alias(key), F.col("text_hash").alias(text_hash), F.col("source").alias(source), F.col("size").alias(size), F.col("taken").alias(taken))
+    on = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(text_hash)) & F.col("source").eqNullSafe(F.col(source))
+    joined = docs.join(found, on)
+    copies = F.ceil(F.col(taken) / F.col(size)).cast("int")
+    joined = joined.withColumn(copy, F.explode(F.sequence(F.lit(1), copies)))
+    rest = (F.col(taken) - (F.col(copy) - 1) * F.col(size)).cast("int")
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.lit(1), rest), " ")
-    text = F.when(rest >= F.col("__size"), F.col("text")).otherwise(part)
+    text = F.when(rest >= F.col(size), F.col("text")).otherwise(part)
     return joined.withColumn("text", text).select(*docs.columns)

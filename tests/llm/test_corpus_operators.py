@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pyarrow as pa
@@ -297,6 +298,64 @@ def test_quality_edge_cases(spark):
     assert nbsvm.classify(docs.limit(0), labels).count() == 0
 
 
+def plain_nbsvm(rows: list[set], y: list[int], weight: dict) -> tuple[dict, list[float]]:
+    """Log-count ratios by counting, and margins of the hinge-loss optimum by projected gradient steps on the whole dual."""
+    import numpy as np
+
+    counts = {s: {f: nbsvm.SMOOTHING for f in range(nbsvm.SIZE)} for s in (1, -1)}
+    for found, s in zip(rows, y):
+        for f in found:
+            counts[s][f] += 1
+    total = {s: sum(c.values()) for s, c in counts.items()}
+    ratio = {f: math.log(counts[1][f] / total[1]) - math.log(counts[-1][f] / total[-1]) for found in rows for f in found}
+    norm = [math.sqrt(sum(ratio[f] ** 2 for f in found)) for found in rows]
+    gram = np.array([[1 + sum(ratio[f] ** 2 for f in a & b) / (na * nb) for b, nb in zip(rows, norm)] for a, na in zip(rows, norm)])
+    q = gram * np.outer(y, y)
+    cost, alpha, step = np.array([weight[s] for s in y]), np.zeros(len(y)), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(60_000):
+        alpha = np.clip(alpha - step * (q @ alpha - 1), 0, cost)
+    return ratio, list(gram @ (alpha * y))
+
+
+def test_quality_model_equals_plain_solution(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(nbsvm, "EPOCHS", 5000)
+    monkeypatch.setattr(nbsvm, "CLOSE", 1e-10)
+    r = random.Random(1)
+    words = sentence(r, 60)
+    docs = [" ".join(r.choice(words[:40] if k % 3 else words[20:]) for _ in range(12)) for k in range(24)]
+    y = np.array([1 if k % 3 else -1 for k in range(24)])
+    y[[4, 9]] *= -1
+    rows = list(nbsvm.features(pa.array(docs)))
+    ratio = nbsvm._ratios(rows, y)
+    n = {s: int((y == s).sum()) for s in (1, -1)}
+    want, margins = plain_nbsvm([set(x.tolist()) for x in rows], y.tolist(), {s: nbsvm.COST * 24 / (2 * n[s]) for s in n})
+    assert all(abs(ratio[f] - v) < 1e-12 for f, v in want.items())
+    w, bias = nbsvm._descend(rows, y, ratio, 1)
+    model = nbsvm.Model(w * ratio, ratio**2, bias, 1.3, -0.2)
+    assert max(abs(model.margin(x) - m) for x, m in zip(rows, margins)) < 1e-6
+    assert max(abs(model.score(x) - 1 / (1 + math.exp(-1.3 * m + 0.2))) for x, m in zip(rows, margins)) < 1e-6
+
+
+def test_quality_sample_stays_bounded(spark, monkeypatch):
+    sizes, fit = [], nbsvm.fit
+    monkeypatch.setattr(nbsvm, "fit", lambda rows, label: sizes.append(len(rows)) or fit(rows, label))
+    docs = spark.range(3000).select((F.col("id") % 3 + 1).alias("doc_id"), F.concat(F.lit("some text "), "id").alias("text"))
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, quality int")
+    nbsvm.train(docs, labels, sample_rows=50)
+    assert sizes and max(sizes) <= 50
+
+
+def test_stages_keep_columns_with_names_of_their_own(spark):
+    names = ["__text", "__digest", "__keep_id", "__id", "__hash", "__size", "__taken", "__copy", "__text_hash", "__own", "__copies"]
+    docs = frame(spark, [*texts()[:12], (None, "x", None)]).withColumns({n: F.lit(n) for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        assert all(r[n] == n for r in got.collect() for n in names)
+
+
 def test_pipeline_equals_plain_version(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     model = nbsvm.train(docs, labels)
