@@ -1,21 +1,25 @@
-"""Greedy box tracking, one group per job.
+"""Greedy box tracking, job by job.
 
-The result depends on the order of boxes, so each job is one group: its boxes are
-sorted by frame and index inside the group. State is bounded by the tracks of the
-last ``max_gap`` frames. ``framelake.streaming.tracking`` keeps the same state
-between micro-batches.
+The result depends on the order of boxes, so each task sorts its jobs by frame and
+index and takes frame after frame. What it holds is one frame and the tracks of
+the last ``max_gap`` frames, however long a job is. ``framelake.streaming.tracking``
+keeps the same state between micro-batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import ids
+from framelake.operators.ordered import whole_groups
 
+#: Least overlaps and most frames that a track may skip.
 FACE_IOU, OBJECT_IOU, MAX_GAP = 0.35, 0.25, 2
 
 
@@ -36,21 +40,26 @@ class Tracker:
     max_gap: int = MAX_GAP
     following: int = 1
     tracks: dict[int, tuple] = field(default_factory=dict)
+    last: int | None = None
+    given: list[int] = field(default_factory=list)
 
     def frame(self, frame_id: int, items: list[tuple]) -> list[int]:
-        """Numbers for the (label, box) items of one frame; none is given twice."""
-        self.tracks = {n: t for n, t in self.tracks.items() if frame_id - t[2] <= self.max_gap}
-        given: list[int] = []
+        """Numbers for the (label, box) items of one frame; none is given twice, also if more items of the frame follow."""
+        if frame_id != self.last:
+            self.last, self.given = frame_id, []
+            self.tracks = {n: t for n, t in self.tracks.items() if frame_id - t[2] <= self.max_gap}
+        out: list[int] = []
         for label, box in items:
             best, best_iou = None, 0.0
             for n, (other, old, _) in self.tracks.items():
-                if n not in given and other == label and (score := box_iou(box, old)) > best_iou:
+                if n not in self.given and other == label and (score := box_iou(box, old)) > best_iou:
                     best, best_iou = n, score
             if best is None or best_iou < self.least_iou:
                 best, self.following = self.following, self.following + 1
             self.tracks[best] = (label, box, frame_id)
-            given.append(best)
-        return given
+            self.given.append(best)
+            out.append(best)
+        return out
 
 
 BOX = ["x1", "y1", "x2", "y2"]
@@ -69,12 +78,27 @@ def number_rows(tracker: Tracker, rows: pd.DataFrame, label: str | None, order:
 def _tracked(rows: DataFrame, index: str, label: str | None, least_iou: float, max_gap: int) -> DataFrame:
     keep = ["job_id", "frame_id", index, *([label] if label else []), *BOX]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf["track_num"] = number_rows(Tracker(least_iou, max_gap), pdf, label, ["frame_id", index])
-        return pdf
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return rows.select(*keep).groupBy("job_id").applyInPandas(run, f"{schema}, track_num long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, tracker = None, None
+        for t in whole_groups(batches, ["job_id", "frame_id"]):
+            jobs, frames = t.column("job_id").to_pylist(), t.column("frame_id").to_pylist()
+            names = t.column(label).to_pylist() if label else [""] * len(jobs)
+            boxes = list(zip(*(t.column(c).to_pylist() for c in BOX)))
+            numbers, at = [], 0
+            while at < len(jobs):
+                end = at + 1
+                while end < len(jobs) and frames[end] == frames[at] and jobs[end] == jobs[at]:
+                    end += 1
+                if tracker is None or jobs[at] != job:
+                    job, tracker = jobs[at], Tracker(least_iou, max_gap)
+                numbers += tracker.frame(frames[at], list(zip(names[at:end], boxes[at:end])))
+                at = end
+            yield from t.append_column("track_num", pa.array(numbers, pa.int64())).combine_chunks().to_batches()
+
+    chosen = rows.select(*keep)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema)
+    dealt = chosen.repartition("job_id").sortWithinPartitions("job_id", "frame_id", index)
+    return dealt.mapInArrow(run, f"{schema}, track_num long")
 
 
 def object_tracks(detections: DataFrame, least_iou: float = OBJECT_IOU, max_gap: int = MAX_GAP) -> DataFrame:

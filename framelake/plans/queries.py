@@ -531,7 +531,7 @@ def video_identity_summary(m: Media) -> DataFrame:
 
 @query()
 def scene_identities_noisy(m: Media) -> DataFrame:
-    return identity.scene_identities(m.observations, least=0.3).drop("embedding", "source")
+    return identity.scene_identities(m.noisy_observations).drop("cluster_size", "centroid", "source")
 
 
 @query()

@@ -12,8 +12,10 @@ from pyspark.sql import SparkSession
 ROOT = Path(__file__).resolve().parent.parent
 
 
-def importable() -> bool:
-    """Whether workers started by this process find the package by its working folder or PYTHONPATH."""
+def importable(spark: SparkSession) -> bool:
+    """Whether workers find the package by this process' working folder or PYTHONPATH, as only those on its own machine do."""
+    if not spark.sparkContext.master.startswith("local"):
+        return False
     paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     return any(p and Path(p).resolve() == ROOT for p in paths)
 
@@ -23,7 +25,7 @@ def ship(spark: SparkSession) -> None:
 
     On a cluster, ``spark-submit --py-files`` does the same ahead of time.
     """
-    if importable() or getattr(spark.sparkContext, "_framelake_shipped", False):
+    if importable(spark) or getattr(spark.sparkContext, "_framelake_shipped", False):
         return
     archive = Path(tempfile.mkdtemp(prefix="spark-framelake-", dir="/tmp")) / "framelake.zip"
     with zipfile.ZipFile(archive, "w") as z:

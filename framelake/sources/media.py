@@ -100,10 +100,21 @@ class Media:
 
     @cached_property
     def observations(self) -> DataFrame:
-        """Faces with the embedding of their vector."""
-        vectors = self.table("embeddings").where("vec_id < 8").select("vec_id", "embedding")
-        # Eight vectors, whatever the size of the tables.
-        return self.faces.join(F.broadcast(vectors), "vec_id").withColumn("source", F.lit("keyframe"))
+        """Faces with an embedding: each job has eight of the table's, all jobs together all of them."""
+        return self._embedded(F.col("vec_id")).withColumn("source", F.lit("keyframe"))
+
+    @cached_property
+    def noisy_observations(self) -> DataFrame:
+        """The same faces with embeddings on the way to others of the job, so that clusters move and touch."""
+        other = self._embedded((F.col("vec_id") + 1 + F.col("event_id") % 2) % 8).select("event_id", F.col("embedding").alias("other"))
+        part = F.when(F.col("event_id") % 3 == 0, 1.0).otherwise((F.col("event_id") % 10).cast("double") / 20)
+        mixed = F.zip_with("embedding", "other", lambda x, y: x + part * y)
+        return self.observations.join(other, "event_id").withColumn("embedding", mixed).drop("other")
+
+    def _embedded(self, place: Column) -> DataFrame:
+        vectors = self.table("embeddings").select("vec_id", "embedding")
+        vector = (8 * F.substring_index("job_id", "-", -1).cast("long") + place) % F.lit(max(1, vectors.count()))
+        return self.faces.withColumn("v", vector).join(vectors.withColumnRenamed("vec_id", "v"), "v").drop("v")
 
 
 #: The same tables as common table expressions for DuckDB.

@@ -10,9 +10,12 @@ FOLDERS = {"frame": "analysis/json", "packet": "scene/packets", "narrative": "sc
 
 
 def write_json(rows: DataFrame, root: str, kind: str) -> str:
-    """One folder for each job; Spark's commit protocol leaves no half-written files after a failure."""
+    """One folder for each job; Spark's commit protocol leaves no half-written files after a failure.
+
+    Only the jobs at hand are replaced.
+    """
     path = f"{root}/{FOLDERS[kind]}"
-    rows.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("job_id").json(path)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false").partitionBy("job_id").json(path)
     return path
 
 

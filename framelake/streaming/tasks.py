@@ -37,10 +37,10 @@ def task_states(log: DataFrame, max_attempts: int = 3) -> DataFrame:
 
 
 def worker(log: DataFrame, execute: Callable[[DataFrame], None], checkpoint: str, poll_seconds: float = 2.0) -> StreamingQuery:
-    """Runs ``execute`` on the queued tasks of every micro-batch; the checkpoint makes restarts resume."""
+    """Runs ``execute`` on the tasks that every micro-batch queues, for the first time or again; the checkpoint makes restarts resume."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        queued = rows.where("op = 'enqueue'").dropDuplicates(["task_id"])
+        queued = rows.where("op in ('enqueue', 'retry')").dropDuplicates(["task_id"])
         if not queued.isEmpty():
             execute(queued)
 

@@ -1,14 +1,16 @@
 """Object tracking over a stream of detections.
 
 Each job is a key whose state is its tracks; a micro-batch's boxes are taken in
-frame order. Frames must not come back to an earlier batch's past: such late
-boxes are dropped, as trackers only look forward.
+frame order. A frame may be split over micro-batches: its later boxes go on where
+its earlier ones ended. Boxes of frames before a job's last one are late and are
+dropped, as trackers only look forward.
 """
 
 from __future__ import annotations
 
-import pickle
+import json
 from collections.abc import Iterator
+from dataclasses import asdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,19 +21,25 @@ from framelake.operators.tracking import BOX, MAX_GAP, OBJECT_IOU, Tracker, numb
 OUTPUT = "job_id string, frame_id long, det_index long, label string, x1 long, y1 long, x2 long, y2 long, track_num long"
 
 
+def _restored(state: str) -> Tracker:
+    tracker = Tracker(**json.loads(state))
+    tracker.tracks = {int(n): (label, tuple(box), frame) for n, (label, box, frame) in tracker.tracks.items()}
+    return tracker
+
+
 def object_tracks(detections: DataFrame, least_iou: float = OBJECT_IOU, max_gap: int = MAX_GAP) -> DataFrame:
-    """A streaming DataFrame of detections to their track numbers, in append mode."""
+    """A streaming DataFrame of detections to their track numbers, in append mode; the state is JSON text."""
     columns = ["job_id", "frame_id", "det_index", "label", *BOX]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker, last = pickle.loads(state.get[0]) if state.exists else (Tracker(least_iou, max_gap), -1)
+        tracker = _restored(state.get[0]) if state.exists else Tracker(least_iou, max_gap)
         rows = pd.concat(list(batches))
-        rows = rows[rows["frame_id"] > last]
+        if tracker.last is not None:
+            rows = rows[rows["frame_id"] >= tracker.last]
         if len(rows):
             rows["track_num"] = number_rows(tracker, rows, "label", ["frame_id", "det_index"])
-            last = int(rows["frame_id"].max())
-        state.update((pickle.dumps((tracker, last)),))
+        state.update((json.dumps(asdict(tracker)),))
         yield rows.assign(track_num=rows.get("track_num", pd.Series(dtype="int64")))[[*columns, "track_num"]]
 
     keyed = detections.select(*columns).groupBy("job_id")
-    return keyed.applyInPandasWithState(run, OUTPUT, "tracker binary", "append", GroupStateTimeout.NoTimeout)
+    return keyed.applyInPandasWithState(run, OUTPUT, "tracker string", "append", GroupStateTimeout.NoTimeout)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from framelake.config import Settings, model_id
 from framelake.functions import geometry, ids, timecode
 from framelake.operators import corpus, fusion, identity, narrative, normalize, results, retention, scenes, tasklog, tracking
+from framelake.sources import sinks
+from framelake.sources.media import Media
 
 DETECTION = "job_id string, frame_id long, ts_sec double, det_index long, label string, track_id string, confidence double, x1 long, y1 long, x2 long, y2 long"
 FACE = "job_id string, frame_id long, ts_sec double, face_id long, identity_id string, video_person_id string, match_confidence double, x1 long, y1 long, x2 long, y2 long"
@@ -116,6 +118,112 @@ def test_streaming_tracks_equal_batch_tracks(spark, tmp_path):
     assert key(spark.table("tracks")) == key(tracking.object_tracks(df))
 
 
+def test_streaming_tracks_keep_split_frames(spark, tmp_path):
+    from framelake.streaming import tracking as streaming
+
+    rows = [("j", f, float(f), i, "person", None, 0.5, 30 * i + f, 0, 30 * i + f + 40, 50) for f in range(4) for i in range(1, 4)]
+    df = spark.createDataFrame(rows, DETECTION)
+    for part in ("frame_id < 2 or (frame_id = 2 and det_index = 1)", "(frame_id = 2 and det_index > 1) or frame_id = 3"):
+        df.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = streaming.object_tracks(stream).writeStream.format("memory").queryName("split_tracks").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    key = lambda t: sorted((x.job_id, x.frame_id, x.det_index, x.track_num) for x in t.collect())
+    assert key(spark.table("split_tracks")) == key(tracking.object_tracks(df))
+
+
+def plain_clusters(vectors: list, least: float, margin: float) -> tuple[list[tuple], list]:
+    """(cluster, confidence, ambiguous) of vectors in their order, and the centroids; float32 throughout."""
+    unit = lambda v: v if np.linalg.norm(v) <= 1e-12 else v / np.float32(np.linalg.norm(v))
+    out, centroids, counts = [], [], []
+    for v in vectors:
+        v = unit(np.asarray(v, np.float32))
+        sims = sorted(((float(c @ v), -i) for i, c in enumerate(centroids)), reverse=True)
+        top, second = (sims[0][0] if sims else 0.0), (sims[1][0] if len(sims) > 1 else 0.0)
+        close = bool(sims) and top >= least
+        unclear = close and top - second <= margin
+        if close and not unclear:
+            i = -sims[0][1]
+            centroids[i] = unit((centroids[i] * counts[i] + v) / (counts[i] + 1))
+            counts[i] += 1
+            out.append((i, top, False))
+        else:
+            centroids.append(v), counts.append(1)
+            out.append((len(centroids) - 1, 1.0, unclear))
+    return out, list(zip(counts, centroids))
+
+
+def test_noisy_identities_equal_plain_version(spark):
+    """All faces of a table, with clusters that move, margins that decide and ambiguous faces."""
+    m = Media(spark, "/root/testdata/sf0.01")
+    assigned = identity.scene_identities(m.noisy_observations)
+    scenes_of: dict = {}
+    for r in m.noisy_observations.collect():
+        scenes_of.setdefault((r.job_id, r.scene_id), []).append((r.frame_id, r.face_id, r.embedding))
+    want, clusters = {}, {}
+    for (job, scene), rows in scenes_of.items():
+        rows.sort()
+        found, centroids = plain_clusters([v for *_, v in rows], identity.SCENE_SIMILARITY, identity.SCENE_MARGIN)
+        for (frame, face, _), (c, s, unclear) in zip(rows, found):
+            want[job, scene, frame, face] = (f"scene_{scene}_person_{c + 1}", s, unclear)
+        clusters.setdefault(job, []).extend((scene, f"scene_{scene}_person_{i + 1}", v) for i, (_, v) in enumerate(centroids))
+    got = {(r.job_id, r.scene_id, r.frame_id, r.face_id): (r.scene_person_id, r.match_confidence, r.is_identity_ambiguous) for r in assigned.collect()}
+    near = lambda a, b: a[0] == b[0] and abs(a[1] - b[1]) < 1e-5 and a[2] == b[2]
+    assert got.keys() == want.keys() and all(near(got[k], want[k]) for k in want)
+    assert sum(0 < x[1] < 0.99 for x in want.values()) > 50
+    # Scenes have two or three faces, jobs many: most ambiguous ones turn up in stitching.
+    unclear_faces = sum(x[2] for x in want.values())
+    stitched = {(r.job_id, r.scene_id, r.scene_person_id): (r.video_person_id, r.video_confidence, r.is_video_ambiguous) for r in identity.video_identities(identity.scene_clusters(assigned)).collect()}
+    for job, rows in clusters.items():
+        rows.sort(key=lambda r: r[:2])
+        found, _ = plain_clusters([v for *_, v in rows], identity.VIDEO_SIMILARITY, identity.VIDEO_MARGIN)
+        for (scene, name, _), (c, s, unclear) in zip(rows, found):
+            assert near(stitched[job, scene, name], (f"video_person_{c + 1}", s, unclear))
+            unclear_faces += unclear
+    assert unclear_faces >= 5
+
+
+def plain_tracks(rows: list[tuple], least: float, gap: int) -> list[int]:
+    """Track numbers of (frame, label, box) rows in order."""
+    def iou(a, b):
+        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+        area = lambda r: (r[2] - r[0]) * (r[3] - r[1])
+        return w * h / (area(a) + area(b) - w * h) if w > 0 and h > 0 else 0.0
+
+    tracks, out, used, frame = {}, [], set(), None
+    for f, label, box in rows:
+        used, frame = (used, frame) if f == frame else (set(), f)
+        found = [(iou(box, b), -n) for n, (lab, b, at) in tracks.items() if lab == label and f - at <= gap and n not in used and iou(box, b) > 0]
+        best = max(found, default=(0.0, 0))
+        n = -best[1] if found and best[0] >= least else len(tracks) + 1
+        tracks[n] = (label, box, f)
+        used.add(n)
+        out.append(n)
+    return out
+
+
+def test_tracks_of_a_table_equal_plain_version(spark):
+    m = Media(spark, "/root/testdata/sf0.01")
+    for rows, index, label, least, found in ((m.detections, "det_index", "label", tracking.OBJECT_IOU, tracking.object_tracks), (m.faces, "face_id", None, tracking.FACE_IOU, tracking.face_tracks)):
+        jobs: dict = {}
+        for r in rows.collect():
+            jobs.setdefault(r.job_id, []).append((r.frame_id, r[index], r[label] if label else "", (r.x1, r.y1, r.x2, r.y2)))
+        want = {}
+        for job, boxes in jobs.items():
+            boxes.sort()
+            for (frame, i, *_), n in zip(boxes, plain_tracks([(f, x, b) for f, _, x, b in boxes], least, tracking.MAX_GAP)):
+                want[job, frame, i] = n
+        assert {(r.job_id, r.frame_id, r[index]): r.track_num for r in found(rows).collect()} == want
+        assert len(set(want.values())) > 10
+
+
+def test_writing_one_job_keeps_the_others(spark, tmp_path):
+    for job in ("a", "b", "a"):
+        path = sinks.write_json(spark.createDataFrame([(job, 1)], "job_id string, n int"), str(tmp_path), "packet")
+    assert {(r.job_id, r.n) for r in spark.read.json(path).collect()} == {("a", 1), ("b", 1)}
+
+
 def test_streaming_task_states_equal_batch_states(spark, tmp_path):
     from framelake.streaming import tasks
 
