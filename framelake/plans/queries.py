@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import geometry, ids, timecode
-from framelake.operators import corpus, evidence, fusion, identity, narrative, normalize, results, retention, scenes, tasklog, tracking
+from framelake.operators import corpus, evidence, fusion, identity, jobs, narrative, normalize, plugins, results, retention, scenes, tasklog, tracking
 from framelake.sources.media import MEDIA_SQL, Media
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -576,3 +576,198 @@ def source_names(m: Media) -> DataFrame:
     name = F.when(p % 4 == 3, F.lit("a.b.T-g z")).otherwise(name)
     stated = F.when(p % 4 == 3, F.lit("application/x-tar")).otherwise(F.lit("video"))
     return m.table("pages").select("page_id", ids.source_extension(name).alias("extension"), ids.content_type(stated, name).alias("content_type"))
+
+
+def _tables(m: Media) -> jobs.Tables:
+    return jobs.Tables(m.scenes, m.frames, m.detections, m.segments, m.faces)
+
+
+@query(PACKET_SQL.format(k=8) + """,
+placed as (select f.job_id, s.scene_id, f.frame_id, a.frame_id is not null as has_faces from media_frames f join media_scenes s on f.job_id = s.job_id and f.ts_sec between s.start_sec and s.end_sec
+           left join (select distinct job_id, frame_id from media_faces) a on f.job_id = a.job_id and f.frame_id = a.frame_id),
+proof as (select job_id, scene_id, sum(case when has_faces then 4 else 3 end) as n_refs, count(*) as n_frames from placed group by all),
+e as (select job_id, scene_id, count(*) as n from entities group by all), v as (select job_id, scene_id, count(*) as n from events_ranked where rank <= 8 group by all)
+select s.job_id, s.scene_id, objects_total, faces_total, coalesce(e.n, 0) as n_entities, coalesce(v.n, 0) as n_events, case when unique_labels >= 4 then least(3, n_frames) else 0 end as n_keyframes, cast(n_refs as bigint) as n_refs, 0 as n_violations
+from media_scenes s left join totals using (job_id, scene_id) left join proof using (job_id, scene_id) left join e using (job_id, scene_id) left join v using (job_id, scene_id)""")
+def scene_packet_composite(m: Media) -> DataFrame:
+    p = jobs.scene_packets(_tables(m))
+    out = m.scenes.select("job_id", "scene_id").join(p.totals.drop("unique_labels"), scenes.SCENE, "left")
+    for name, rows in (("n_entities", p.entities), ("n_events", p.events), ("n_keyframes", p.keyframes), ("n_refs", p.refs), ("n_violations", p.violations)):
+        out = out.join(rows.groupBy(*scenes.SCENE).agg(F.count(F.lit(1)).alias(name)), scenes.SCENE, "left").fillna(0, [name])
+    return out
+
+
+@query(NARRATIVE_SQL + """, n as (select job_id, count(*) as n_narratives, trim(string_agg(concat('[', cast(start_sec as decimal(18, 2)), '-', cast(end_sec as decimal(18, 2)), 's] ', narrative), ' ' order by start_sec, scene_id)) as synopsis,
+  concat('https://objects.example/jobs/', job_id, '/scene/packets/scene_', arg_min(scene_id, start_sec), '.json?exp=3600') as first_url from told group by job_id)
+select f.job_id, 'completed' as status, f.n_frames, n_narratives, synopsis, first_url from (select job_id, count(*) as n_frames from media_frames group by all) f join n using (job_id)""")
+def job_results(m: Media) -> DataFrame:
+    t = _tables(m)
+    states = m.frames.select("job_id", F.lit("completed").alias("status")).distinct()
+    out = jobs.job_results(t, jobs.understand(t), states)
+    url = F.get("scene_narratives", F.lit(0))["packet_url"].alias("first_url")
+    return out.select("job_id", "status", F.size("frames").cast("long").alias("n_frames"), F.size("scene_narratives").cast("long").alias("n_narratives"), "synopsis", url)
+
+
+@query(CORPUS_SQL + """, e as (select job_id, count(*) as n_entities from entities group by all), r as (select job_id, count(*) as n_relations from related group by all)
+select job_id, n_entities, n_entities as n_events, coalesce(n_relations, 0) as n_relations, (select count(*) from media_scenes s where s.job_id = e.job_id) as n_chunks, 'scene' as kinds from e left join r using (job_id)""")
+def job_corpus(m: Media) -> DataFrame:
+    t = _tables(m)
+    states = m.frames.select("job_id", F.lit("completed").alias("status")).distinct()
+    out = jobs.job_results(t, jobs.understand(t), states)
+    n = lambda c: F.size(c).cast("long").alias(f"n_{c}")
+    return out.where("size(entities) > 0").select("job_id", *map(n, ("entities", "events", "relations", "chunks")), F.array_join(F.array_distinct("chunks.kind"), ",").alias("kinds"))
+
+
+@query("""select f.job_id, case when f.job_id like '%5' then 'failed' else 'completed' end as status, 0 as n_narratives, 0 as n_entities, count(*) as n_chunks, 'frame' as kinds from media_frames f group by all""")
+def empty_scene_fallback(m: Media) -> DataFrame:
+    # Dead tasks: jobs with one policy fail, the others complete without scenes.
+    t = jobs.without_scenes(_tables(m))
+    states = m.frames.select("job_id", F.when(F.col("job_id").endswith("5"), tasklog.terminal_action("fail_job")).otherwise(tasklog.terminal_action("fallback_empty")).alias("status")).distinct()
+    out = jobs.job_results(t, jobs.understand(t), states)
+    n = lambda c, name: F.size(c).cast("long").alias(name)
+    return out.select("job_id", "status", n("scene_narratives", "n_narratives"), n("entities", "n_entities"), n("chunks", "n_chunks"), F.array_join(F.array_distinct("chunks.kind"), ",").alias("kinds"))
+
+
+@query(NARRATIVE_SQL + """select job_id, scene_id, unnest([concat('jobs/', job_id, '/scene/narratives/scene_', scene_id, '.json'), concat('jobs/', job_id, '/corpus/graph/scene_', scene_id, '.json'), concat('jobs/', job_id, '/corpus/rag/scene_', scene_id, '.json')]) as key, narrative from told""")
+def narrative_artifacts(m: Media) -> DataFrame:
+    out = jobs.narrative_artifacts(_narratives(m)[0])
+    return out.select("job_id", "scene_id", "key", F.get_json_object("body", "$.narrative").alias("narrative"))
+
+
+@query("""select event_id, case event_id % 4 when 0 then 2 else 0 end as n_narratives, case event_id % 4 when 0 then event_type end as said from events""", media=False)
+def scene_output_shapes(m: Media) -> DataFrame:
+    e = F.col("event_id")
+    good = F.format_string('{"scene_narratives": [{"a": 1}, "b"], "video_synopsis": {"said": "%s"}}', "event_type")
+    raw = F.when(e % 4 == 0, good).when(e % 4 == 1, F.lit("[1, 2]")).when(e % 4 == 2, F.lit('{"scene_narratives": {"a": 1}, "video_synopsis": []}')).otherwise(F.lit("no JSON"))
+    out = jobs.scene_outputs(m.table("events").select("event_id", raw.alias("outputs")))
+    return out.select("event_id", F.size("scene_narratives").cast("long").alias("n_narratives"), F.get_json_object("video_synopsis", "$.said").alias("said"))
+
+
+@query("""select event_id, case event_id % 4 when 0 then concat_ws(',', event_id, 0, event_id + 5, 7) end as box, cast(round_even(event_id / 2.0, 0) as bigint) as half from events""", media=False)
+def box_coercion(m: Media) -> DataFrame:
+    e = F.col("event_id").cast("string")
+    grown = (F.col("event_id") + 5).cast("string")
+    raw = F.when(F.col("event_id") % 4 == 0, F.array(e, F.lit("0.9"), F.concat(grown, F.lit(".7")), F.lit("7"))).when(F.col("event_id") % 4 == 1, F.array(e, F.lit("x"), grown, F.lit("7"))).when(F.col("event_id") % 4 == 2, F.array(grown, F.lit("0"), e, F.lit("7"))).otherwise(F.array(e, e))
+    return m.table("events").select("event_id", F.array_join(geometry.coerced_box(raw), ",").alias("box"), geometry.round_coord(F.col("event_id") / 2.0).alias("half"))
+
+
+@query("""with raw as (select job_id, frame_id, e, row_number() over (partition by job_id, frame_id order by e) as face_id
+  from (select concat('job-', user_id) as job_id, event_id as frame_id, unnest([event_id, event_id + 1, event_id + 2]) as e from events) where 80 + e % 20 >= 90 and e % 7 <> 0)
+select job_id, frame_id, face_id, (80 + e % 20) / 100.0::double as confidence, concat_ws(',', e, 1, e + 2, 4) as coordinates from raw""", media=False)
+def kept_faces(m: Media) -> DataFrame:
+    three = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: F.col("event_id") + i)
+    probs = F.transform(three, lambda e: (80 + e % 20).cast("double") / 100)
+    boxes = F.transform(three, lambda e: F.when(e % 7 != 0, F.array(e + 0.2, F.lit(0.6), e + 2.4, F.lit(4.0))))
+    raw = m.table("events").select(F.concat(F.lit("job-"), "user_id").alias("job_id"), F.col("event_id").alias("frame_id"), probs.alias("probs"), boxes.alias("boxes"))
+    return normalize.kept_faces(raw).withColumns({"face_id": F.col("face_id").cast("long"), "coordinates": F.array_join("coordinates", ",")})
+
+
+def _raw_detections(m: Media) -> DataFrame:
+    e = F.col("event_id")
+    boxes = F.array(F.array(e + 0.4, F.lit(1.6), e + 9.6, F.lit(8.0)), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)))
+    names = F.create_map(F.lit(0), F.lit("person"), F.lit(1), F.lit("car"))
+    ids_ = F.when(e % 2 == 0, F.array(e.cast("double"), F.lit(None).cast("double")))
+    return m.table("events").select(F.lit("j").alias("job_id"), e.alias("frame_id"), boxes.alias("boxes"), F.array((e % 3).cast("int"), F.lit(0)).alias("class_ids"), F.array(F.lit(0.5), F.lit(0.25)).alias("confs"), ids_.alias("box_ids"), names.alias("names"))
+
+
+DETECTED_SQL = """with d as (select event_id as frame_id, 0 as index, case event_id % 3 when 0 then 'person' when 1 then 'car' else '2' end as label, 0.5::double as confidence, concat_ws(',', event_id, 2, event_id + 10, 8) as box, case when event_id % 2 = 0 then cast(event_id as double) end as box_id from events
+union all select event_id, 1, 'person', 0.25, '0,0,1,1', null from events)"""
+
+
+@query(DETECTED_SQL + " select 'j' as job_id, * from d", media=False)
+def detection_rows(m: Media) -> DataFrame:
+    return normalize.detections(_raw_detections(m)).withColumns({"index": F.col("index").cast("long"), "box": F.array_join("box", ",")})
+
+
+@query(DETECTED_SQL + """ select frame_id, index, case when frame_id % 2 = 0 then coalesce(cast(box_id as bigint), index + 1) when index = 0 then 77
+ else cast(('0x' || substr(sha1(concat_ws(':', 'j', frame_id, label, index)), 1, 8)) as bigint) end as track_num from d""", media=False)
+def track_numbers(m: Media) -> DataFrame:
+    d = normalize.detections(_raw_detections(m))
+    tracked = F.when(F.col("index") == 0, F.lit(77).cast("long"))
+    n = tracking.track_number(F.col("box_id"), tracked, F.col("index").cast("long"), F.col("job_id"), F.col("frame_id"), F.col("label"), F.col("frame_id") % 2 == 0)
+    return d.select("frame_id", F.col("index").cast("long").alias("index"), n.alias("track_num"))
+
+
+@query("""select event_id as frame_id, 1 as object_id, case when event_id % 2 = 0 then 'person' else '7' end as class_name, concat_ws(',', event_id, 2) as first_point, '230,57,70' as color from events""", media=False)
+def segment_rows(m: Media) -> DataFrame:
+    e = F.col("event_id")
+    polygons = F.array(F.array(F.array(e + 0.3, F.lit(1.7)), F.array(F.lit(3.0), F.lit(4.0))), F.array(F.array(F.lit(0.0), F.lit(0.0))))
+    raw = m.table("events").select(F.lit("j").alias("job_id"), e.alias("frame_id"), polygons.alias("polygons"), F.array(F.when(e % 2 == 0, 0).otherwise(7)).alias("class_ids"), F.create_map(F.lit(0), F.lit("person")).alias("names"))
+    raw = raw.withColumn("polygons", F.transform("polygons", lambda p: p))
+    out = normalize.segmentations(raw)
+    return out.select("frame_id", F.col("object_id").cast("long").alias("object_id"), "class_name", F.array_join(F.get("mask_polygon", F.lit(0)), ",").alias("first_point"), F.array_join("color", ",").alias("color"))
+
+
+@query("""select job_id, frame_id, component, case component when 'face' then 'facenet' else 'nano' end as model_id, case component when 'face' then 'unknown' else '1' end as version, case component when 'face' then 0.9::double else 0.0::double end as threshold
+from media_frames, (select unnest(['detection', 'face', 'segmentation']) as component)""")
+def model_provenance(m: Media) -> DataFrame:
+    return normalize.model_provenance(m.frames, {"detection": ("nano", "1"), "face": ("facenet", ""), "segmentation": ("nano", "1")})
+
+
+@query("""select job_id, frame_id, rn - 1 as i, case when event_id % 3 = 0 then identity_id else concat('face_', rn) end as identity_id
+from (select *, row_number() over (partition by job_id, frame_id order by face_id) as rn from media_faces) where event_id % 5 <> 0""")
+def identity_defaults(m: Media) -> DataFrame:
+    own = F.when(F.col("event_id") % 3 == 0, F.col("identity_id")).when(F.col("event_id") % 2 == 0, F.lit(""))
+    item = F.when(F.col("event_id") % 5 != 0, F.struct(own.alias("identity_id"), "face_id"))
+    listed = m.faces.groupBy("job_id", "frame_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("face_id", item.alias("x")))), lambda r: r["x"]).alias("items"))
+    return results.with_identity_defaults(listed).select("job_id", "frame_id", F.col("i").cast("long").alias("i"), "item.identity_id")
+
+
+@query("""with n as (select concat('job-', user_id, ':scene_understanding:v1') as idempotency_key, event_id as seq, user_id from events)
+select idempotency_key, min(seq) as seq from n where user_id % 3 <> 0 group by all""", media=False)
+def enqueue_once(m: Media) -> DataFrame:
+    key = ids.idempotency_key(F.concat(F.lit("job-"), "user_id"))
+    new = m.table("events").select(key.alias("idempotency_key"), F.col("event_id").alias("seq"), "user_id")
+    status = F.when(F.col("user_id") % 3 == 0, "processing").otherwise("succeeded")
+    return tasklog.enqueue(new.drop("user_id"), new.select("idempotency_key", status.alias("status")).distinct()).select("idempotency_key", "seq")
+
+
+JOB_OPS = {"signup": "create", "view": "stage", "purchase": "complete", "error": "fail"}
+
+
+@query("""with l as (select concat('job-', user_id) as job_id, event_id as seq, case event_type when 'signup' then 'create' when 'view' then 'stage' when 'purchase' then 'complete' when 'error' then 'fail' else 'none' end as op from events),
+f as (select job_id, min(seq) as first_end, arg_max(op, seq) as last_op, max(seq) as last_seq from l where op in ('complete', 'fail') group by all),
+s as (select l.job_id, arg_max(concat(op, ' ', seq), seq) as stage from l left join f using (job_id) where op in ('create', 'stage') and (first_end is null or seq < first_end) group by all)
+select job_id, case last_op when 'complete' then 'completed' when 'fail' then 'failed' else 'processing' end as status, stage, case when last_op = 'fail' then concat('error ', last_seq) end as error from s left join f using (job_id)""", media=False)
+def job_states(m: Media) -> DataFrame:
+    op = F.coalesce(F.create_map(*(F.lit(x) for kv in JOB_OPS.items() for x in kv))[F.col("event_type")], F.lit("none"))
+    log = m.table("events").select(F.concat(F.lit("job-"), "user_id").alias("job_id"), F.col("event_id").alias("seq"), op.alias("op"))
+    stage = F.concat_ws(" ", "op", F.col("seq").cast("string"))
+    return tasklog.job_state(log.withColumns({"stage": stage, "error": F.concat(F.lit("error "), F.col("seq").cast("string"))}))
+
+
+@query("""select event_id, case when event_id % 2 = 0 and event_id % 3 = 0 then 'delete' when event_id % 2 = 0 then 'retain' else 'preserve' end as action, case event_id % 4 when 0 then 'dead_letter' when 1 then 'dead_letter' else 'retry' end as error_kind,
+case when event_id % 5 = 0 then 3723.5::double else 0.0::double end as strict, event_id % 3 = 0 as is_object, case when event_id % 2 = 0 then concat('a', event_id) else '' end as said from events""", media=False)
+def decision_tables(m: Media) -> DataFrame:
+    e = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, ("payload", "storage", "timeout", "other"))), (e % 4 + 1).cast("int"))
+    stamp = F.when(e % 5 == 0, F.lit("01:02:03.500")).otherwise(F.lit("1:2"))
+    text = F.when(e % 3 == 0, F.lit('{"a": 1}')).when(e % 3 == 1, F.lit("[1]")).otherwise(F.lit("{broken"))
+    parts = F.when(e % 2 == 0, F.array(F.lit(" a"), F.lit(None), e.cast("string")))
+    return m.table("events").select(
+        "event_id", retention.source_action(e % 3 == 0, e % 2 == 0).alias("action"), tasklog.error_kind(kind).alias("error_kind"),
+        timecode.parse_timecode_strict(stamp).alias("strict"), plugins.json_object(text).isNotNull().alias("is_object"), plugins.text_of(parts).alias("said"),
+    )
+
+
+@query("""select event_id, concat('in/', event_id) as source_key, 2 as n_scenes, cast(event_id as double) as first_start from events""", media=False)
+def payload_roundtrip(m: Media) -> DataFrame:
+    e = F.col("event_id").cast("double")
+    spans = F.array(F.array(e, e + 1), F.array(e), F.array(e + 2, e + 3), F.array(e, F.lit(None)))
+    sent = m.table("events").select("event_id", tasklog.encoded_payload(F.lit("j"), spans, F.concat(F.lit("in/"), F.col("event_id").cast("string"))).alias("payload"))
+    out = tasklog.decoded_payload(sent)
+    return out.select("event_id", "source_key", F.size("scenes").cast("long").alias("n_scenes"), F.get(F.get("scenes", F.lit(0)), F.lit(0)).alias("first_start"))
+
+
+@query("""select job_id, frame_id, concat('/static/', job_id, '/det/frame_', frame_id, '.jpg') as detection, concat('/static/', job_id, '/original/frame_', frame_id, '.jpg') as original, 4 as n from media_frames""")
+def local_frame_files(m: Media) -> DataFrame:
+    files = m.frames.select("job_id", "frame_id", results.frame_files(F.col("job_id"), F.col("frame_id"), stored=False).alias("f"))
+    return files.select("job_id", "frame_id", F.col("f")["detection"].alias("detection"), F.col("f")["original"].alias("original"), F.size("f").cast("long").alias("n"))
+
+
+@query(IDENTITY_SQL + """, keyed as (select job_id, scene_id, count(distinct scene_person_id) as clusters from scene_people group by all)
+select job_id, scene_id, clusters, 2 * count(*) as faces from keyed join media_faces using (job_id, scene_id) group by all""")
+def scene_identity_summary(m: Media) -> DataFrame:
+    # The same faces seen in keyframes and in tracking samples: twice the observations, no more people.
+    both = m.observations.unionByName(m.observations.withColumn("source", F.lit("tracking")))
+    return identity.scene_summary(identity.scene_identities(both))
