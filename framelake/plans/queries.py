@@ -505,7 +505,7 @@ video_people as (select job_id, vec_id, concat('video_person_', dense_rank() ove
 
 @query(IDENTITY_SQL + "select f.job_id, f.scene_id, f.frame_id, f.face_id, s.scene_person_id, 1.0::double as match_confidence, false as is_identity_ambiguous from media_faces f join scene_people s using (job_id, scene_id, vec_id)")
 def scene_identities_exact(m: Media) -> DataFrame:
-    out = identity.scene_identities(m.observations)
+    out = identity.scene_identities(m.observations).drop("cluster_size", "centroid")
     return out.withColumn("match_confidence", F.round("match_confidence", 4)).drop("embedding", "source")
 
 
