@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import ids
 from framelake.functions.timecode import format_timecode
+from framelake.operators.firsts import first_k
 from framelake.operators.scenes import SCENE
 
 
@@ -40,14 +41,15 @@ def sightings(detections: DataFrame, faces: DataFrame) -> DataFrame:
 
 def entities(seen: DataFrame) -> DataFrame:
     """One row for each entity of a scene; label and id come from its first sighting."""
-    groups = seen.groupBy(*SCENE, "start_sec", "end_sec", "entity_type", "key").agg(
+    key = [*SCENE, "start_sec", "end_sec", "entity_type", "key"]
+    proof = first_k(seen, key, F.struct("seq", "evidence"), F.col("evidence"), 5, "evidence")
+    groups = seen.groupBy(*key).agg(
         F.min_by("label", "seq").alias("label"),
         F.count(F.lit(1)).alias("count"),
         F.avg("confidence").alias("confidence"),
         F.min("ts_sec").alias("first"),
         F.max("ts_sec").alias("last"),
-        F.transform(F.slice(F.array_sort(F.collect_list(F.struct("seq", "evidence"))), 1, 5), lambda x: x["evidence"]).alias("evidence"),
-    )
+    ).join(proof, key)
     first, last = F.greatest("start_sec", "first"), F.least("end_sec", "last")
     named = F.when(F.col("entity_type") == "object", F.col("label")).otherwise(F.lit("person"))
     entity_id = ids.deterministic_id("entity", F.col("job_id"), F.col("scene_id"), F.col("entity_type"), F.col("key"), named)
@@ -80,12 +82,14 @@ def relations(seen: DataFrame, found: DataFrame) -> DataFrame:
     left, right = here.alias("a"), here.select("job_id", "scene_id", "frame_id", F.col("entity_id").alias("target_id")).alias("b")
     pairs = left.join(right, ["job_id", "scene_id", "frame_id"]).where("entity_id < target_id")
     anchor = F.struct("ts_sec", "frame_id", _anchor(F.lit("co_occurs_with"), False).alias("evidence"))
-    groups = pairs.groupBy(*SCENE, "start_sec", "end_sec", F.col("entity_id").alias("source_entity_id"), F.col("target_id").alias("target_entity_id")).agg(
+    pairs = pairs.withColumnsRenamed({"entity_id": "source_entity_id", "target_id": "target_entity_id"})
+    key = [*SCENE, "start_sec", "end_sec", "source_entity_id", "target_entity_id"]
+    proof = first_k(pairs, key, anchor, anchor["evidence"], 5, "evidence")
+    groups = pairs.groupBy(*key).agg(
         F.count(F.lit(1)).alias("count"),
         F.min("ts_sec").alias("first"),
         F.max("ts_sec").alias("last"),
-        F.transform(F.slice(F.array_sort(F.collect_list(anchor)), 1, 5), lambda x: x["evidence"]).alias("evidence"),
-    )
+    ).join(proof, key)
     first, last = F.greatest("start_sec", "first"), F.least("end_sec", "last")
     relation_id = ids.deterministic_id("relation", F.col("job_id"), F.col("scene_id"), F.col("source_entity_id"), "co_occurs_with", F.col("target_entity_id"))
     return groups.select(
@@ -98,7 +102,7 @@ def relations(seen: DataFrame, found: DataFrame) -> DataFrame:
 def scene_chunks(scenes: DataFrame, found: DataFrame, happened: DataFrame | None = None) -> DataFrame:
     """One retrieval chunk for each scene from its entities by count and label, and their events."""
     order = F.struct((-F.col("count")).alias("n"), "label", "entity_id", F.concat("entity_type", F.lit("_observed")).alias("event_type"))
-    listed = found.groupBy(*SCENE).agg(F.slice(F.array_sort(F.collect_list(order)), 1, 8).alias("e"))
+    listed = first_k(found, SCENE, order, order, 8, "e")
     rows = scenes.join(listed, SCENE, "left")
     names = lambda field, k: F.coalesce(F.nullif(F.array_join(F.transform(F.slice("e", 1, k), lambda x: x[field]), ", "), F.lit("")), F.lit("none"))
     text = F.concat(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import ids
 from framelake.functions.geometry import Box, affinity, area
+from framelake.operators.firsts import first_k
 
 AFFINITY = 0.45
 TRACK = ["job_id", "track_id"]
@@ -89,7 +90,7 @@ def resolved_tracks(people: DataFrame, matches: DataFrame) -> DataFrame:
     return tracks.withColumn("group_key", group)
 
 
-def _evidence(matches: DataFrame) -> Column:
+def _evidence() -> Column:
     return F.struct("frame_id", "face_id", "track_id", "identity", "identity_source", "identity_conf", F.round("affinity", 4).alias("association_confidence"))
 
 
@@ -109,7 +110,7 @@ def fused_tracks(people: DataFrame, matches: DataFrame) -> DataFrame:
         F.min("frame_id").alias("first_frame_id"), F.max("frame_id").alias("last_frame_id"), F.countDistinct("frame_id").alias("observation_count"),
         F.min("ts_sec").alias("first_seen"), F.max("ts_sec").alias("last_seen"),
     )
-    proof = matches.join(member, TRACK).groupBy(*group).agg(F.slice(F.array_sort(F.collect_list(_evidence(matches))), 1, 25).alias("evidence"))
+    proof = first_k(matches.join(member, TRACK), group, _evidence(), _evidence(), 25, "evidence")
     out = facts.join(spans, group).join(proof, group, "left")
     stable = F.when(F.col("identity_id").isNotNull(), F.concat(F.lit("identity::"), "identity_id")).otherwise(F.concat(F.lit("tracks::"), F.array_join("object_track_ids", ",")))
     out = out.withColumn("person_track_id", ids.person_track_id(F.col("job_id"), stable)).withColumn("duration_sec", F.col("last_seen") - F.col("first_seen"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import ids
 from framelake.functions.timecode import format_timecode
+from framelake.operators.firsts import first_k
 
 
 def is_object_key(value: Column) -> Column:
@@ -61,8 +62,8 @@ def required_keys(frames: DataFrame, scenes: DataFrame, jobs: DataFrame) -> Data
 def missing_artifacts(required: DataFrame, existing: DataFrame) -> DataFrame:
     """(job_id, missing, sample) for jobs that lack objects; the sample is the first five keys."""
     gone = required.join(existing.select("key").distinct(), "key", "left_anti")
-    # Partial aggregates hold every missing key of a job only while they are sorted.
-    return gone.groupBy("job_id").agg(F.count(F.lit(1)).alias("missing"), F.slice(F.array_sort(F.collect_list("key")), 1, 5).alias("sample"))
+    sample = first_k(gone, ["job_id"], F.col("key"), F.col("key"), 5, "sample")
+    return gone.groupBy("job_id").agg(F.count(F.lit(1)).alias("missing")).join(sample, "job_id")
 
 
 def frame_files(job_id: Column, frame_id: Column, stored: bool = True) -> Column:

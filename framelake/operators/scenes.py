@@ -13,6 +13,8 @@ SCENE = ["job_id", "scene_id"]
 MAX_ENTITIES = MAX_EVENTS = 8
 MAX_KEYFRAMES = 3
 LABEL_THRESHOLD = 4
+#: Seconds of a time bucket of the join of rows and scenes.
+BUCKET_SEC = 60
 
 
 def packet_value(c: Column) -> Column:
@@ -23,11 +25,15 @@ def packet_value(c: Column) -> Column:
 def in_scenes(rows: DataFrame, scenes: DataFrame) -> DataFrame:
     """Rows joined with the scenes their time lies in, both ends included; on a boundary, two.
 
-    The join is a hash or sort-merge join on job_id with the interval as residual.
+    An equi-join on the job and a bucket of time, with the interval as residual: a
+    long job is spread over tasks, and a row meets the scenes of its minute, not of
+    its job. A scene is listed once for each bucket it touches; its bounds are finite.
     """
-    bounds = scenes.select("job_id", "scene_id", "start_sec", "end_sec")
-    rows = rows.drop("scene_id", "start_sec", "end_sec")
-    return rows.join(bounds, "job_id").where(F.col("ts_sec").between(F.col("start_sec"), F.col("end_sec")))
+    bucket = lambda c: F.floor(F.col(c) / BUCKET_SEC)
+    touched = F.explode(F.sequence(bucket("start_sec"), bucket("end_sec")))
+    bounds = scenes.where("end_sec >= start_sec").select("job_id", "scene_id", "start_sec", "end_sec", touched.alias("__bucket"))
+    rows = rows.drop("scene_id", "start_sec", "end_sec").withColumn("__bucket", bucket("ts_sec"))
+    return rows.join(bounds, ["job_id", "__bucket"]).where(F.col("ts_sec").between(F.col("start_sec"), F.col("end_sec"))).drop("__bucket")
 
 
 def _named(rows: DataFrame, name: Column, kind: str, branch: int, seq: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """The task log: an append-only table of transitions, and state folded from it.
 
 A transition is (task_id, seq, op, at, ...). The state of a task depends on the
-order of its transitions, so each task is one group, sorted inside; groups are as
-small as one task's history. One driver appends claims (Spark has no row locks);
+order of its transitions, so each task is one group, folded in order by one
+expression; groups are as small as one task's history. Streams take the same steps
+in Python, where their state is. One driver appends claims (Spark has no row locks);
 repeated appends are dropped by (task_id, seq).
 """
 
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACTIVE = ("queued", "retry", "processing")
-STATE = "task_id string, status string, attempts int, lease_owner string, last_seq long"
+OPS = ("enqueue", "claim", "success", "retry", "fail")
 
 
 def backoff(attempt: Column, base: float = 5, multiplier: float = 2, most: float = 300) -> Column:
@@ -39,6 +40,26 @@ def step(state: tuple[str | None, int, str | None], op: str, owner: str | None,
     return state
 
 
+def _stepped(state: Column, x: Column, most: int) -> Column:
+    """``step`` as an expression; a transition whose number was there before changes nothing."""
+    now, attempts, lease = state["status"], state["attempts"], state["owner"]
+    op, owner, none = x["op"], x["owner"], F.lit(None).cast("string")
+    mine = (now == "processing") & (owner.isNull() | (owner == lease))
+
+    def to(status: Column, n: Column, who: Column) -> Column:
+        return F.struct(status.alias("status"), n.alias("attempts"), who.alias("owner"), x["seq"].alias("seq"))
+
+    return (
+        F.when(x["seq"] == state["seq"], state)
+        .when((op == "enqueue") & ~F.coalesce(now.isin(*ACTIVE), F.lit(False)), to(F.lit("queued"), F.lit(0), none))
+        .when((op == "claim") & now.isin("queued", "retry"), to(F.lit("processing"), attempts + 1, owner))
+        .when((op == "success") & mine, to(F.lit("succeeded"), attempts, none))
+        .when((op == "retry") & mine, to(F.when(attempts >= most, "dead_letter").otherwise("retry"), attempts, none))
+        .when((op == "fail") & mine, to(F.lit("failed"), attempts, none))
+        .otherwise(to(now, attempts, lease))
+    )
+
+
 def fold(rows: pd.DataFrame, most: int, state: tuple = (None, 0, None)) -> tuple:
     for r in rows.drop_duplicates("seq").sort_values("seq").itertuples(index=False):
         owner = None if pd.isna(r.owner) else r.owner
@@ -47,15 +68,17 @@ def fold(rows: pd.DataFrame, most: int, state: tuple = (None, 0, None)) -> tuple
 
 
 def latest_state(log: DataFrame, max_attempts: int = 3) -> DataFrame:
-    """(task_id, status, attempts, lease_owner, last_seq) after all transitions of the log."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        status, attempts, owner = fold(pdf, max_attempts)
-        return pd.DataFrame([(pdf["task_id"].iloc[0], status, attempts, owner, int(pdf["seq"].max()))], columns=["task_id", "status", "attempts", "lease_owner", "last_seq"])
+    """(task_id, status, attempts, lease_owner, last_seq) after all transitions of the log.
 
+    What isn't a transition only counts for last_seq.
+    """
     owner = F.col("owner") if "owner" in log.columns else F.lit(None).cast("string")
-    rows = log.select("task_id", F.col("seq").cast("long"), "op", owner.alias("owner"))
-    return rows.groupBy("task_id").applyInPandas(run, STATE).where("status is not null")
+    taken = F.when(F.col("op").isin(*OPS), F.struct(F.col("seq").cast("long").alias("seq"), "op", owner.alias("owner")))
+    histories = log.groupBy("task_id").agg(F.array_sort(F.collect_list(taken)).alias("history"), F.max(F.col("seq").cast("long")).alias("last_seq"))
+    start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("owner"), F.lit(None).cast("long").alias("seq"))
+    s = F.col("state")
+    folded = histories.withColumn("state", F.aggregate("history", start, lambda state, x: _stepped(state, x, max_attempts)))
+    return folded.select("task_id", s["status"].alias("status"), s["attempts"].alias("attempts"), s["owner"].alias("lease_owner"), "last_seq").where("status is not null")
 
 
 def claim_order(tasks: DataFrame, now: Column, n: int = 1) -> DataFrame:
