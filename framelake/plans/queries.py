@@ -290,10 +290,11 @@ def _conversations(m: Media) -> DataFrame:
     return t.select(F.concat(F.lit("conv-"), "conv_id").alias("job_id"), F.col("turn").alias("scene_id"), start.alias("start_sec"), (start + 10).alias("end_sec"), F.col("text").alias("narrative"), chunks.alias("chunks"))
 
 
-CHUNK_SQL = f"""
-with said as (select concat('conv-', conv_id) as job_id, turn as scene_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') as text from conversations where turn % 3 <> 1),
+SAID_SQL = f"""
+said as (select concat('conv-', conv_id) as job_id, turn as scene_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') as text from conversations where turn % 3 <> 1),
 chunks as (select job_id, scene_id, {_id('chunk', 'job_id', 'scene_id', 'text')} as chunk_id, text from said where text <> '')
 """
+CHUNK_SQL = "with " + SAID_SQL
 
 
 @query(CHUNK_SQL + "select job_id, scene_id, chunk_id, text, case when scene_id % 3 = 0 then 'k' else concat('jobs/', job_id, '/scene/narratives/scene_', scene_id, '.json') end as artifact_keys from chunks", media=False)
@@ -308,11 +309,15 @@ def chunk_dedupe_last_wins(m: Media) -> DataFrame:
     return out.select("key", "source", "doc_id", F.col("first_seq.seq").alias("first_seq"))
 
 
-@query(f""", d as (select job_id, frame_id, string_agg(label, ', ' order by det_index) filter (det_index <= 6) as labels from media_detections group by all),
+FRAME_TEXT_SQL = f""", d as (select job_id, frame_id, string_agg(label, ', ' order by det_index) filter (det_index <= 6) as labels from media_detections group by all),
 a as (select job_id, frame_id, string_agg(identity_id, ', ' order by face_id) filter (face_id <= 4) as people from media_faces group by all),
 t as (select f.job_id, f.frame_id, concat('Frame ', f.frame_id, ' at ', {STAMP_SQL}, ' includes objects [', coalesce(labels, 'no_objects'), '] and faces [', coalesce(people, 'no_faces'), '].') as text
-      from media_frames f left join d using (job_id, frame_id) left join a using (job_id, frame_id) where f.job_id not in (select job_id from media_frames where frame_id = 3))
-select job_id, {_id('chunk', 'job_id', 'frame_id', 'text')} as chunk_id, text, 'frame' as kind from t""")
+      from media_frames f left join d using (job_id, frame_id) left join a using (job_id, frame_id)),
+frame_texts as (select job_id, {_id('chunk', 'job_id', 'frame_id', 'text')} as chunk_id, text, 'frame' as kind from t)
+"""
+
+
+@query(FRAME_TEXT_SQL + "select * from frame_texts where job_id not in (select job_id from media_frames where frame_id = 3)")
 def frame_fallback_chunks(m: Media) -> DataFrame:
     # Jobs with a frame 3 have a scene chunk, so only the others fall back to frames.
     told = m.frames.where("frame_id = 3").select("job_id", F.lit(0).cast("long").alias("scene_id"), F.lit(0.0).alias("start_sec"), F.lit(1.0).alias("end_sec"), F.lit("text").alias("narrative"))
@@ -320,6 +325,13 @@ def frame_fallback_chunks(m: Media) -> DataFrame:
     return corpus.retrieval_bundle(told, m.frames, m.detections, m.faces).where("kind = 'frame'")
 
 
+@query(FRAME_TEXT_SQL + "," + SAID_SQL + """select distinct job_id, chunk_id, text, 'scene' as kind from chunks
+union all select distinct job_id, chunk_id, text, kind from frame_texts""")
+def retrieval_bundle(m: Media) -> DataFrame:
+    # Conversations have scene chunks, repeats among them; the jobs of frames have none.
+    return corpus.retrieval_bundle(_conversations(m), m.frames, m.detections, m.faces)
+
+
 NARRATIVE_SQL = PACKET_SQL.format(k=8) + """,
 e3 as (select job_id, scene_id, string_agg(name, ', ' order by rank) as names from entities where rank <= 3 group by all),
 v1 as (select job_id, scene_id, event from events_ranked where rank = 1),
@@ -771,3 +783,67 @@ def scene_identity_summary(m: Media) -> DataFrame:
     # The same faces seen in keyframes and in tracking samples: twice the observations, no more people.
     both = m.observations.unionByName(m.observations.withColumn("source", F.lit("tracking")))
     return identity.scene_summary(identity.scene_identities(both))
+
+
+@query(PACKET_SQL.format(k=8) + """
+select s.job_id, s.scene_id, start_sec, end_sec, coalesce((select string_agg(concat(event, '=', n, ' ', evidence), ',' order by rank) from events_ranked e where rank <= 8 and e.job_id = s.job_id and e.scene_id = s.scene_id), '') as events,
+ coalesce((select string_agg(concat(entity_type, ' ', name), ',' order by rank) from entities e where e.job_id = s.job_id and e.scene_id = s.scene_id), '') as entities from media_scenes s""")
+def packet_json_fields(m: Media) -> DataFrame:
+    e = _packets(m, 8)
+    packets = evidence.packet_json(m.scenes, e, scenes.event_counts(e), scenes.scene_totals(e))
+    kind = "struct<job_id:string,scene_id:bigint,start_sec:double,end_sec:double,events:array<struct<count:bigint,event:string,evidence:string>>,entities:array<struct<entity_type:string,name:string>>>"
+    p = packets.select(F.from_json("packet", kind).alias("p"))
+    happened = F.transform("p.events", lambda x: F.concat(x["event"], F.lit("="), x["count"].cast("string"), F.lit(" "), x["evidence"]))
+    named = F.transform("p.entities", lambda x: F.concat_ws(" ", x["entity_type"], x["name"]))
+    return p.select("p.job_id", "p.scene_id", "p.start_sec", "p.end_sec", F.array_join(happened, ",").alias("events"), F.array_join(named, ",").alias("entities"))
+
+
+@query(EVIDENCE_SQL + """, o as (select *, row_number() over (partition by job_id, scene_id order by frame_id, modality) as rn, count(*) over (partition by job_id, scene_id) as n from named)
+select s.job_id, s.scene_id, 1 + 2 * coalesce(max(n), 0) as n_messages, concat('You describe one scene of a recording.\n\nUse only what the packet and its evidence show.\n\nWrite one short paragraph in order of time.\n\nAnswer with JSON: narrative_paragraph, key_moments, mentioned_entities, mentioned_events.\n\nProfile v2. Packet:\n{"scene": ', s.scene_id, '}') as head,
+ max(case when rn = 1 then concat('Evidence ', evidence_id, ' ', json_artifact_key) end) as first_text, max(case when rn = n then image_uri end) as last_image
+from media_scenes s left join o using (job_id, scene_id) group by s.job_id, s.scene_id""")
+def scene_messages(m: Media) -> DataFrame:
+    refs = evidence.evidence_refs(evidence.frame_contexts(scenes.in_scenes(m.frames, m.scenes), m.faces))
+    packets = m.scenes.select("job_id", "scene_id", F.format_string('{"scene": %d}', "scene_id").alias("packet"))
+    out = narrative.messages(refs, packets, "v2")
+    at = lambda i: F.get("messages", F.lit(i))["value"]
+    last = F.element_at("messages", -1)
+    shown = F.when(last["type"] == "image", last["value"]).alias("last_image")
+    return out.select("job_id", "scene_id", F.size("messages").cast("long").alias("n_messages"), at(0).alias("head"), at(1).alias("first_text"), shown)
+
+
+@query("""select job_id, scene_id, 'narrative' as stage, 'nano' as model, job_id as traced_job, true as untraced, 'w1' as worker from media_scenes""")
+def narrative_traces(m: Media) -> DataFrame:
+    made = tasklog.worker_provenance(m.scenes, "w1", "nano").withColumns({"on": narrative.trace(True, "narrative", "nano"), "off": narrative.trace(False, "narrative", "nano")})
+    t = F.col("on")
+    return made.select("job_id", "scene_id", t["stage"].alias("stage"), t["model"].alias("model"), t["job_id"].alias("traced_job"), F.col("off").isNull().alias("untraced"), F.col("worker.worker_id").alias("worker"))
+
+
+@query("""select job_id, scene_id, case scene_id % 3 when 0 then concat('Scene ', scene_id) end as narrative, case scene_id % 3 when 0 then 'start,end' end as key_moments,
+case scene_id % 3 when 1 then 'unsupported: ghost' when 2 then 'incomplete output' end as error from media_scenes""")
+def narratives_by_client(m: Media) -> DataFrame:
+    # A client that answers well, claims too much or leaves its answer incomplete.
+    def client(packet: str) -> dict:
+        n = int(packet)
+        told = {"narrative_paragraph": f"Scene {n}", "mentioned_entities": ["car"] + ["ghost"] * (n % 3 == 1), "mentioned_events": []}
+        return told if n % 3 == 2 else told | {"key_moments": ["start", "end"]}
+
+    packets = m.scenes.select("job_id", "scene_id", F.col("scene_id").cast("string").alias("packet"), F.array(F.lit("car")).alias("allowed_entities"), F.array(F.lit("car_observed")).alias("allowed_events"))
+    return narrative.narratives_by(packets, client).withColumn("key_moments", F.array_join("key_moments", ","))
+
+
+@query("""select event_id, concat('said ', event_type) as text, case when event_id % 2 = 0 then true end as is_blurry, 0 as n_actions from events""", media=False)
+def enrichment_gather(m: Media) -> DataFrame:
+    # Two of the five enrichers are registered, here as plain expressions.
+    plug = plugins.Registry()
+    plug.register("ocr_blocks", lambda c: F.to_json(F.array(F.struct(F.concat(F.lit("said "), c).alias("text")))))
+    plug.register("quality", lambda c: F.when(F.col("event_id") % 2 == 0, F.lit('{"is_blurry": true}')))
+    out = normalize.enrichment(plug.enrich(m.table("events").select("event_id", F.col("event_type").alias("content"))))
+    return out.select("event_id", F.get("ocr_blocks", F.lit(0))["text"].alias("text"), F.col("quality.is_blurry").alias("is_blurry"), F.size("actions").alias("n_actions"))
+
+
+@query("""select job_id, frame_id, det_index, case when least(60, x2) > x1 and least(50, y2) > y1 and least(60, x2) > greatest(0, x1) and least(50, y2) > greatest(0, y1)
+then concat_ws(',', greatest(0, x1), greatest(0, y1), least(60, x2), least(50, y2)) end as crop from media_detections""")
+def crop_boxes(m: Media) -> DataFrame:
+    crop = identity.crop_box(geometry.Box.of(), F.lit(60), F.lit(50))
+    return m.detections.select("job_id", "frame_id", "det_index", F.when(crop.isNotNull(), F.array_join(crop, ",")).alias("crop"))
