@@ -17,7 +17,8 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: A second base, for hashes of 128 bits.
+OTHER_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 _NGRAM = np.uint64(0xD1342543DE82EF95)
 _NGRAM_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 
@@ -79,9 +80,10 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, base: np.uint64 = _BASE) -> np.ndarray:
         """A 64-bit hash of each word."""
-        return _segment_hash(self.data.astype(np.uint64) + np.uint64(1), self.starts, self.ends, _BASE, _BASE_INVERSE)
+        inverse = np.uint64(pow(int(base), -1, 1 << 64))
+        return _segment_hash(self.data.astype(np.uint64) + np.uint64(1), self.starts, self.ends, base, inverse)
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Start words of the windows of k words inside one text, and the text of each."""

@@ -159,6 +159,23 @@ def test_substring_dedup_on_a_table(spark):
     same(fixed_blocks.digest(docs), plain.cut([(r.doc_id, r.text) for r in docs.collect()]))
 
 
+def test_substring_dedup_of_a_passage_in_every_document(spark):
+    """More copies in one batch than are settled there, at any offset, with some documents whole copies."""
+    r = random.Random(17)
+    passage = sentence(r, 90)
+    docs = [(i, " ".join(sentence(r, i % 40) + passage + sentence(r, i % 7))) for i in range(300)] + [(300 + i, " ".join(passage[i % 30 :])) for i in range(60)]
+    for parts in (1, 7):
+        same(fixed_blocks.digest(frame(spark, [(i, t, "s") for i, t in docs]).repartition(parts)), plain.cut(docs))
+
+
+def test_repeats_are_maximal_runs(spark):
+    r = random.Random(18)
+    a, b, own = sentence(r, 60), sentence(r, 70), sentence(r, 100)
+    docs = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(own[:10] + a + own[10:30] + b + own[30:]))]
+    got = {x.doc_id: [(s.first, s.last) for s in x.repeats] for x in fixed_blocks.cut_repeats(frame(spark, [(i, t, "s") for i, t in docs])).collect()}
+    assert got == {1: [], 2: [], 3: [(10, 69), (90, 159)]}
+
+
 def test_packing_keeps_positions_of_repeated_rows():
     import numpy as np
 
