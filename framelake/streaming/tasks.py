@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from framelake.operators.tasklog import fold
+from framelake.operators.tasklog import claim_order, fold
 
 OUTPUT = "task_id string, status string, attempts int, lease_owner string, last_seq long"
 
@@ -45,3 +45,19 @@ def worker(log: DataFrame, execute: Callable[[DataFrame], None], checkpoint: str
             execute(queued)
 
     return log.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{poll_seconds} seconds").start()
+
+
+def poller(spark: SparkSession, tasks: Callable[[], DataFrame], execute: Callable[[DataFrame], None], checkpoint: str, poll_seconds: float = 2.0, n: int = 1) -> StreamingQuery:
+    """Looks at the table of tasks at every tick and runs ``execute`` on the n that are due first, retries whose time has come among them.
+
+    ``tasks`` reads the table as it is at that moment; ``execute`` records the claim,
+    so that a task isn't due at the next tick.
+    """
+
+    def batch(_: DataFrame, __: int) -> None:
+        due = claim_order(tasks(), F.current_timestamp(), n)
+        if not due.isEmpty():
+            execute(due)
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{poll_seconds} seconds").start()

@@ -241,6 +241,73 @@ def test_streaming_task_states_equal_batch_states(spark, tmp_path):
     assert shown(spark.table("states")) == shown(tasklog.latest_state(log))
 
 
+def test_task_log_folds_like_single_steps(spark):
+    """Random histories with repeated appends, owners and unknown operations against one step at a time."""
+    r = random.Random(4)
+    ops = [*tasklog.OPS, "claim", "none"]
+    rows = [(f"t{k}", i + 1, r.choice(ops), r.choice([None, "a", "b"])) for k in range(80) for i in range(r.randrange(1, 25))]
+    log = spark.createDataFrame(rows + rows[::7], "task_id string, seq long, op string, owner string").repartition(5)
+    want = {}
+    for t in {x[0] for x in rows}:
+        own = pd.DataFrame([x for x in rows if x[0] == t], columns=["task_id", "seq", "op", "owner"])
+        state = tasklog.fold(own, 2)
+        if state[0] is not None:
+            want[t] = (*state, int(own["seq"].max()))
+    got = {x.task_id: (x.status, x.attempts, x.lease_owner, x.last_seq) for x in tasklog.latest_state(log, 2).collect()}
+    assert got == want and len({x[0] for x in want.values()}) >= 4
+
+
+def test_rows_meet_their_scenes_across_time_buckets(spark):
+    r = random.Random(5)
+    times = [0.0, 59.999, 60.0, 120.0, 3600.0] + [round(r.uniform(0, 4000), 1) for _ in range(200)]
+    rows = [(j, i, t) for j in ("a", "b") for i, t in enumerate(times)] + [("a", 900, None), (None, 901, 5.0)]
+    bounds = [("a", 0, 0.0, 60.0), ("a", 1, 60.0, 120.0), ("a", 2, 100.0, 3600.0), ("b", 0, 59.999, 59.999), ("b", 1, 70.0, 65.0), ("c", 0, 0.0, 9.0)]
+    got = scenes.in_scenes(spark.createDataFrame(rows, "job_id string, frame_id long, ts_sec double"), spark.createDataFrame(bounds, "job_id string, scene_id long, start_sec double, end_sec double"))
+    want = sorted((j, s, i) for j, i, t in rows for k, s, a, z in bounds if j == k and t is not None and a <= t <= z)
+    assert sorted((x.job_id, x.scene_id, x.frame_id) for x in got.collect()) == want
+    assert got.columns == ["job_id", "frame_id", "ts_sec", "scene_id", "start_sec", "end_sec"]
+
+
+def test_first_rows_of_groups(spark):
+    from framelake.operators.firsts import first_k
+
+    r = random.Random(6)
+    rows = [(r.choice("aab"), r.randrange(50), r.randrange(3)) for _ in range(400)] + [("c", 1, 1)]
+    order = F.struct("n", "v")
+    df = spark.createDataFrame(rows, "k string, n int, v int").repartition(6)
+    cut = first_k(df, ["k"], order, order, 5, "l")
+    got = {x.k: [(y.n, y.v) for y in x.l] for x in cut.collect()}
+    assert got == {k: sorted((n, v) for x, n, v in rows if x == k)[:5] for k in "abc"}
+    assert "WindowGroupLimit" in cut._jdf.queryExecution().executedPlan().toString()
+    assert first_k(df.limit(0), ["k"], order, order, 5, "l").count() == 0
+
+
+def test_poller_waits_for_a_retry_that_is_due_later(spark, tmp_path):
+    import time
+
+    from framelake.streaming import tasks
+
+    begun = time.time()
+    due, done = {1: begun - 60, 2: begun + 6, 3: begun + 9000}, {}
+    when = F.timestamp_seconds
+
+    def table():
+        rows = [(i, "retry", t) for i, t in due.items() if i not in done]
+        df = spark.createDataFrame(rows, "id long, status string, at double")
+        return df.select("id", "status", when("at").alias("next_attempt_at"), F.lit(None).cast("timestamp").alias("lease_expires_at"))
+
+    def execute(rows):
+        done.update({x.id: time.time() for x in rows.collect()})
+
+    q = tasks.poller(spark, table, execute, str(tmp_path / "cp"), poll_seconds=1.0)
+    try:
+        while len(done) < 2 and time.time() < begun + 60 and q.isActive:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert set(done) == {1, 2} and done[2] >= begun + 6
+
+
 def test_task_transitions():
     state, seen = (None, 0, None), []
     for op in ("enqueue", "claim", "retry", "claim", "retry"):
