@@ -63,10 +63,18 @@ class Settings:
     url_ttl: int = 3600
     retention_hours: int = 24
     failure_policy: str = field(default="fail_job")
+    scene_pipeline: bool = False
+    identity_pipeline: bool = False
+    corpus_pipeline: bool = False
+    corpus_ingest: bool = False
+    execution_mode: str = "in_process"
+    identity_model: str = "default"
+    embedding_model: str = ""
+    task_log: str = ""
 
     #: The least value of each number, and what text settings may be.
     LEAST: ClassVar = {"max_samples_per_scene": 1, "embedding_dim": 16, "max_entities": 1, "max_events": 1, "max_keyframes": 0, "label_threshold": 1, "max_attempts": 1, "backoff_base": 1, "backoff_multiplier": 1, "backoff_max": 1, "lease_seconds": 1, "url_ttl": 1, "retention_hours": 1}
-    CHOICES: ClassVar = {"failure_policy": ("fail_job", "fallback_empty")}
+    CHOICES: ClassVar = {"failure_policy": ("fail_job", "fallback_empty"), "execution_mode": ("in_process", "queue")}
 
     @classmethod
     def load(cls, env: Mapping[str, str] | None = None, env_file: str | None = None, prefix: str = "FRAMELAKE_") -> Settings:
@@ -91,3 +99,54 @@ def model_id(name: str, allowed: Mapping[str, str] = MODELS) -> str:
     if key not in allowed:
         raise ValueError(f"unknown identity model {name!r}; known: {', '.join(sorted(allowed))}")
     return allowed[key]
+
+
+def identity_model(settings: Settings) -> str:
+    """The model that embeds faces; an unknown name only matters where the pipeline is on."""
+    try:
+        return model_id(settings.identity_model)
+    except ValueError:
+        if settings.identity_pipeline:
+            raise
+        return MODELS["default"]
+
+
+def queue_mode(settings: Settings) -> bool:
+    """Whether scenes are left to workers that poll the task log."""
+    return settings.scene_pipeline and settings.execution_mode == "queue"
+
+
+#: What a store, a narrative client and an embedding client need from the environment.
+STORE_KEYS = ("STORE_ACCOUNT", "STORE_BUCKET", "STORE_KEY_ID", "STORE_SECRET")
+CLIENT_KEYS = ("CLIENT_KEY",)
+
+
+def missing_settings(settings: Settings, env: Mapping[str, str]) -> dict[str, list[str]]:
+    """What is missing for storage, narratives, embeddings and identities, as far as these are in use."""
+    identities = []
+    if settings.identity_pipeline:
+        known = settings.identity_model.strip().lower() in MODELS
+        identities = ["identity_model"] * (not known) + ["sample_fps"] * (settings.sample_fps < 1) + ["embedding_dim"] * (settings.embedding_dim < 16)
+    model = settings.embedding_model.strip()
+    return {
+        "storage": missing(env, STORE_KEYS),
+        "narratives": missing(env, CLIENT_KEYS) if settings.scene_pipeline else [],
+        "embeddings": missing(env, CLIENT_KEYS) if model else ["embedding_model"],
+        "identities": identities,
+    }
+
+
+def startup_warnings(settings: Settings, env: Mapping[str, str]) -> list[str]:
+    """What won't work as it is configured; nothing here stops a start."""
+    absent, said = missing_settings(settings, env), []
+    if absent["storage"]:
+        said.append(f"storage lacks {', '.join(absent['storage'])}: nothing can be stored or signed")
+    if absent["narratives"]:
+        said.append(f"narratives lack {', '.join(absent['narratives'])}: fallback texts are used")
+    if absent["identities"]:
+        said.append(f"identities lack {', '.join(absent['identities'])}: faces may not be followed")
+    if settings.corpus_ingest:
+        said.append("corpus ingest is ignored" if settings.corpus_pipeline else "corpus ingest is ignored, and no corpus is built")
+    if queue_mode(settings) and not settings.task_log.strip():
+        said.append("queue mode without a task log: no scene will be taken")
+    return said

@@ -56,7 +56,14 @@ def summary_key(job_id: Column) -> Column:
 
 
 def corpus_key(job_id: Column, kind: str, filename: Column) -> Column:
-    return F.concat(F.lit("jobs/"), job_id, F.lit(f"/corpus/{CORPUS_KINDS[kind]}/"), F.regexp_replace(filename, "/", "_"))
+    """A name without slashes and outer blanks; bundle.json for a null or blank one."""
+    name = F.regexp_replace(F.regexp_replace(filename, r"^\s+|\s+$", ""), "/", "_")
+    return F.concat(F.lit("jobs/"), job_id, F.lit(f"/corpus/{CORPUS_KINDS[kind]}/"), F.coalesce(F.nullif(name, F.lit("")), F.lit("bundle.json")))
+
+
+def local_source_path(job_id: Column, extension: Column, root: str = "temp_media") -> Column:
+    """Where an upload is staged before it is stored."""
+    return F.concat(F.lit(f"{root}/"), job_id, F.lit("/input/source."), normalized_extension(extension))
 
 
 def normalized_extension(extension: Column, default: str = "mp4") -> Column:

@@ -34,40 +34,50 @@ def evidence_refs(contexts: DataFrame) -> DataFrame:
     return rows.withColumn("evidence_id", evidence_id)
 
 
-def _rule(rows: DataFrame, name: str, where: Column) -> DataFrame:
-    return rows.where(where).select("job_id", "scene_id", "frame_id", F.lit(name).alias("rule"))
+def _broken(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(job_id, scene_id, frame_id, rule) for each rule that a row breaks, in one pass."""
+    broken = F.array_compact(F.array(*(F.when(bad, F.lit(name)) for name, bad in rules.items())))
+    return rows.select("job_id", "scene_id", "frame_id", F.explode(broken).alias("rule"))
 
 
 def violations(scenes: DataFrame, contexts: DataFrame, refs: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(job_id, scene_id, frame_id, rule): every broken rule of the packets; empty if all are sound.
 
-    Rules are filters, anti-joins and counts of repeats over all jobs at once, so
-    one bad scene doesn't stop the others.
+    Rules are checks of single rows, anti-joins, two joins and counts of repeats
+    over all jobs at once, so one bad scene doesn't stop the others.
     """
     index = refs if index is None else index
     scene, frame = ["job_id", "scene_id"], ["job_id", "scene_id", "frame_id"]
-    blank = lambda c: F.coalesce(F.length(F.col(c)), F.lit(0)) == 0
+    by_id = [*scene, "evidence_id"]
+    blank = lambda c: F.coalesce(F.length(c), F.lit(0)) == 0
     no_frame = lambda rows: rows.withColumn("frame_id", F.lit(None).cast("long"))
+    image = lambda m: F.try_element_at("images", F.lit(m))
     always = F.lit(True)
-    found = [_rule(no_frame(scenes.join(contexts, scene, "left_anti")), "no frames", always)]
     repeats = contexts.groupBy(*frame).agg(F.count(F.lit(1)).alias("n"))
-    found.append(_rule(repeats, "repeated frame", F.col("n") > 1))
-    found.append(_rule(contexts, "no JSON key", blank("json_artifact_key")))
-    for m in MODALITIES:
-        found.append(_rule(contexts, f"no {m} image", F.coalesce(F.length(F.try_element_at("images", F.lit(m))), F.lit(0)) == 0))
-    found.append(_rule(contexts, "faces without image", F.col("has_faces") & (F.coalesce(F.length(F.try_element_at("images", F.lit(FACE_MODALITY))), F.lit(0)) == 0)))
-    found.append(_rule(no_frame(scenes.join(refs, scene, "left_anti")), "no evidence", always))
     again = refs.groupBy(*frame, "evidence_id").agg(F.count(F.lit(1)).alias("n"))
-    found += [_rule(again, "repeated evidence", F.col("n") > 1), _rule(refs, "evidence without image", blank("image_uri")), _rule(refs, "evidence without JSON key", blank("json_artifact_key"))]
-    found.append(_rule(refs.join(contexts, frame, "left_anti"), "unknown frame", always))
-    linked = refs.join(contexts.select(*frame, "images", F.col("json_artifact_key").alias("frame_json")), frame)
-    found.append(_rule(linked, "image mismatch", ~F.try_element_at("images", F.col("modality")).eqNullSafe(F.col("image_uri"))))
-    found.append(_rule(linked, "JSON mismatch", ~F.col("frame_json").eqNullSafe(F.col("json_artifact_key"))))
-    by_id = [*scene, "evidence_id"]
-    found.append(_rule(refs.join(index, by_id, "left_anti"), "not in index", always))
-    pairs = refs.join(index.select(*by_id, F.col("json_artifact_key").alias("index_json")), by_id)
-    found.append(_rule(pairs, "index mismatch", ~F.col("index_json").eqNullSafe(F.col("json_artifact_key"))))
-    found.append(_rule(index.join(refs, by_id, "left_anti"), "only in index", always))
+    # Each reference beside its frame, and beside its entry of the index.
+    linked = refs.join(contexts.select(*frame, "images", F.col("json_artifact_key").alias("frame_json"), always.alias("known")), frame, "left")
+    listed = index.select(*by_id, F.col("frame_id").alias("index_frame"), F.col("json_artifact_key").alias("index_json"), always.alias("in_index"))
+    stated = refs.select(*by_id, F.col("frame_id").alias("ref_frame"), F.col("json_artifact_key").alias("ref_json"), always.alias("in_refs"))
+    both = stated.join(listed, by_id, "full").withColumn("frame_id", F.when(F.col("in_refs"), F.col("ref_frame")).otherwise(F.col("index_frame")))
+    found = [
+        _broken(no_frame(scenes.join(contexts, scene, "left_anti")), {"no frames": always}),
+        _broken(repeats, {"repeated frame": F.col("n") > 1}),
+        _broken(contexts, {"no JSON key": blank("json_artifact_key")} | {f"no {m} image": blank(image(m)) for m in MODALITIES} | {"faces without image": F.col("has_faces") & blank(image(FACE_MODALITY))}),
+        _broken(no_frame(scenes.join(refs, scene, "left_anti")), {"no evidence": always}),
+        _broken(again, {"repeated evidence": F.col("n") > 1}),
+        _broken(refs, {"evidence without image": blank("image_uri"), "evidence without JSON key": blank("json_artifact_key")}),
+        _broken(linked, {
+            "unknown frame": F.col("known").isNull(),
+            "image mismatch": F.col("known") & ~F.try_element_at("images", F.col("modality")).eqNullSafe(F.col("image_uri")),
+            "JSON mismatch": F.col("known") & ~F.col("frame_json").eqNullSafe(F.col("json_artifact_key")),
+        }),
+        _broken(both, {
+            "not in index": F.col("in_index").isNull(),
+            "index mismatch": F.col("in_refs") & F.col("in_index") & ~F.col("index_json").eqNullSafe(F.col("ref_json")),
+            "only in index": F.col("in_refs").isNull(),
+        }),
+    ]
     return reduce(DataFrame.unionByName, found)
 
 

@@ -94,6 +94,15 @@ def _evidence() -> Column:
     return F.struct("frame_id", "face_id", "track_id", "identity", "identity_source", "identity_conf", F.round("affinity", 4).alias("association_confidence"))
 
 
+def track_timelines(people: DataFrame) -> DataFrame:
+    """(job_id, track_id, frame_ids, timestamps): distinct frames and all timestamps of each track, ascending.
+
+    A row is as long as its track; spans and counts, which aggregate before they
+    are shuffled, come from ``fused_tracks``.
+    """
+    return people.groupBy(*TRACK).agg(F.array_sort(F.collect_set("frame_id")).alias("frame_ids"), F.array_sort(F.collect_list("ts_sec")).alias("timestamps"))
+
+
 def fused_tracks(people: DataFrame, matches: DataFrame) -> DataFrame:
     """One row for each fused person: spans, member tracks, confidence and the first 25 pieces of evidence."""
     tracks = resolved_tracks(people, matches)

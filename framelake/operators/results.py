@@ -32,6 +32,22 @@ def to_urls(files: Column, sign=signed) -> Column:
     return F.map_filter(F.transform_values(files, lambda _, v: to_url(v, sign)), lambda _, v: v != "")
 
 
+def overlaid(base: Column, top: Column) -> Column:
+    """A map with the entries of both; those on top win, and a null map is empty."""
+    none = F.create_map().cast("map<string,string>")
+    base, top = F.coalesce(base, none), F.coalesce(top, none)
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.array_contains(F.map_keys(top), k)), top)
+
+
+def keyframe_results(found: DataFrame, keyframes: DataFrame) -> DataFrame:
+    """Results (job_id, frame_id, pos, result) of keyframes with their scenes; of repeated results the last one holds.
+
+    Results of frames that are no keyframes, and keyframes without a result, are left out.
+    """
+    last = found.groupBy("job_id", "frame_id").agg(F.max_by("result", "pos").alias("result"))
+    return keyframes.join(last, ["job_id", "frame_id"])
+
+
 def with_track_defaults(items: DataFrame) -> DataFrame:
     """(job_id, frame_id, items: array of structs with track_id) exploded; missing ids count from the original place."""
     rows = items.select("job_id", "frame_id", F.posexplode("items").alias("i", "item")).where("item is not null")
@@ -108,3 +124,19 @@ def result_view(documents: DataFrame, narratives: DataFrame, synopses: DataFrame
     n = pick(narratives).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("start_sec", "scene_id", "narrative"))).alias("scene_narratives"))
     out = d.join(n, "job_id", "left").join(pick(synopses).select("job_id", "synopsis"), "job_id", "left")
     return out.withColumn("scene_narratives", F.coalesce("scene_narratives", F.array().cast(out.schema["scene_narratives"].dataType)))
+
+
+def job_status(states: DataFrame, job_id: str | None = None) -> DataFrame:
+    """(job_id, status, error) of all jobs, or of one; no row for a job that isn't known."""
+    rows = states if job_id is None else states.where(F.col("job_id") == job_id)
+    return rows.select("job_id", "status", "error")
+
+
+def readable_results(states: DataFrame, view: DataFrame, job_id: str | None = None) -> DataFrame:
+    """The view's rows with a code: 200 for completed jobs; others have 409, what they wait for or died of, and no results."""
+    jobs = job_status(states, job_id)
+    done = F.col("status") == "completed"
+    detail = F.when(F.col("status") == "processing", "Job is still processing").when(~done, "Job failed")
+    error = F.when(F.col("status") == "failed", F.coalesce("error", F.lit("Unknown error")))
+    coded = jobs.select("job_id", F.when(done, 200).otherwise(409).alias("code"), detail.alias("detail"), error.alias("error"))
+    return coded.where("code = 200").join(view, "job_id", "left").unionByName(coded.where("code <> 200"), allowMissingColumns=True)

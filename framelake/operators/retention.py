@@ -26,6 +26,16 @@ def stale_markers(swept: DataFrame, markers: DataFrame) -> DataFrame:
     return markers.join(kept, "job_id", "left_anti").join(swept.select("job_id").distinct(), "job_id", "left_semi")
 
 
+def with_markers(markers: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Markers after those of the given jobs are set; setting one again changes nothing."""
+    return markers.select("job_id").unionByName(jobs.select("job_id")).distinct()
+
+
+def without_markers(markers: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Markers after those of the given jobs are cleared; jobs without one don't matter."""
+    return markers.join(jobs.select("job_id"), "job_id", "left_anti")
+
+
 def source_action(cleanup: Column, verified: Column) -> Column:
     """Local sources after an upload: delete if wanted and verified, retain if verified, else preserve."""
     return F.when(verified & cleanup, "delete").when(verified, "retain").otherwise("preserve")

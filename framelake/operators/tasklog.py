@@ -129,6 +129,20 @@ def terminal_action(policy: str) -> str:
     return "failed" if policy == "fail_job" else "completed"
 
 
+def after_retry(tasks: DataFrame, now: Column, policy: str = "fail_job", max_attempts: int = 3, **delays: float) -> DataFrame:
+    """(task_id, job_id, status, next_attempt_at, stage, job_status, error) after attempts (task_id, job_id, attempts, error) that may be tried again.
+
+    Such a task waits for its next attempt and its job for the task; after the
+    last attempt the task is dead, and its job ends as the policy says.
+    """
+    dead = F.col("attempts") >= max_attempts
+    wait = F.make_dt_interval(secs=backoff(F.col("attempts"), **delays).cast("decimal(18,6)"))
+    return tasks.select(
+        "task_id", "job_id", F.when(dead, "dead_letter").otherwise("retry").alias("status"), F.when(~dead, now + wait).alias("next_attempt_at"),
+        F.when(~dead, "waiting_scene_ai").alias("stage"), F.when(dead, terminal_action(policy)).otherwise("processing").alias("job_status"), "error",
+    )
+
+
 def decoded_payload(tasks: DataFrame, json_col: str = "payload") -> DataFrame:
     """The payload's well-formed scenes (two numbers) and frames; anything else is dropped."""
     kind = "struct<job_id:string,source_key:string,scenes:array<array<double>>,frame_results:array<map<string,string>>>"

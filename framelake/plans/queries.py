@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import geometry, ids, timecode
 from framelake.operators import corpus, evidence, fusion, identity, jobs, narrative, normalize, plugins, results, retention, scenes, tasklog, tracking
+from framelake.sources import ingest, sinks
 from framelake.sources.media import MEDIA_SQL, Media
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -847,3 +848,74 @@ then concat_ws(',', greatest(0, x1), greatest(0, y1), least(60, x2), least(50, y
 def crop_boxes(m: Media) -> DataFrame:
     crop = identity.crop_box(geometry.Box.of(), F.lit(60), F.lit(50))
     return m.detections.select("job_id", "frame_id", "det_index", F.when(crop.isNotNull(), F.array_join(crop, ",")).alias("crop"))
+
+
+@query("""select event_id, case when event_id % 3 = 0 then 422 when event_id % 7 > 4 then 413 else 200 end as status, concat('temp_media/j', event_id, '/input/source.', case when event_id % 2 = 0 then 'mov' else 'mp4' end) as path,
+concat('jobs/j/corpus/graph/', case event_id % 3 when 0 then 'bundle.json' when 1 then concat('a_', event_id) else 'b.json' end) as key from events""", media=False)
+def upload_decisions(m: Media) -> DataFrame:
+    e = F.col("event_id")
+    filename = F.when(e % 6 == 0, F.lit("")).when(e % 3 != 0, F.concat(F.lit("f"), e.cast("string")))
+    extension = F.when(e % 2 == 0, F.lit(".MOV")).otherwise(F.lit("."))
+    named = F.when(e % 6 == 0, F.lit(" \t")).when(e % 3 == 1, F.concat(F.lit(" a/"), e.cast("string"))).when(e % 3 == 2, F.lit("b.json\n"))
+    path = ids.local_source_path(F.concat(F.lit("j"), e.cast("string")), extension)
+    return m.table("events").select("event_id", ingest.upload_status(filename, (e % 7) * (100 << 20), 400 << 20).alias("status"), path.alias("path"), ids.corpus_key(F.lit("j"), "graph", named).alias("key"))
+
+
+@query("""select job_id, concat('jobs/', job_id, '/corpus/rag/', case when n_scenes % 2 = 0 then 'scenes.json' else 'bundle.json' end) as key, concat('{"n_scenes":', n_scenes, ',"note":null}') as content
+from (select job_id, count(*) as n_scenes from media_scenes group by all)""")
+def corpus_bundles(m: Media) -> DataFrame:
+    rows = m.scenes.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_scenes"))
+    rows = rows.select("job_id", F.struct("n_scenes", F.lit(None).cast("string").alias("note")).alias("bundle"), F.when(F.col("n_scenes") % 2 == 0, "scenes.json").alias("filename"))
+    return sinks.bundles(rows, "retrieval").select("job_id", "key", F.col("content").cast("string").alias("content"))
+
+
+@query("""select distinct user_id as job_id from events where user_id % 5 <> 0 and (event_type = 'view' or user_id % 2 = 0)""", media=False)
+def retention_markers(m: Media) -> DataFrame:
+    jobs_of = m.table("events").select(F.col("user_id").alias("job_id"), "event_type")
+    even = jobs_of.where("job_id % 2 = 0").select("job_id").distinct()
+    marked = retention.with_markers(even, jobs_of.where("event_type = 'view'"))
+    return retention.without_markers(marked, jobs_of.where("job_id % 5 = 0"))
+
+
+@query("""select job_id, track_id, string_agg(distinct frame_id, ',' order by frame_id) as frame_ids, count(*) as n_timestamps, min(ts_sec) as first_seen, max(ts_sec) as last_seen from media_detections where label = 'person' group by all""")
+def track_timelines(m: Media) -> DataFrame:
+    out = fusion.track_timelines(fusion.persons(m.detections))
+    at = lambda i: F.element_at("timestamps", i)
+    return out.select("job_id", "track_id", F.array_join("frame_ids", ",").alias("frame_ids"), F.size("timestamps").cast("long").alias("n_timestamps"), at(1).alias("first_seen"), at(-1).alias("last_seen"))
+
+
+@query("""select k.job_id, k.frame_id, k.scene_id, arg_max(label, det_index) as result from (select f.job_id, f.frame_id, s.scene_id from media_frames f join media_scenes s on f.job_id = s.job_id and f.ts_sec between s.start_sec and s.end_sec where f.frame_id % 2 = 0) k
+join media_detections d on d.job_id = k.job_id and d.frame_id = k.frame_id group by all""")
+def keyframe_results(m: Media) -> DataFrame:
+    keyframes = scenes.in_scenes(m.frames.where("frame_id % 2 = 0"), m.scenes).select("job_id", "frame_id", "scene_id")
+    found = m.detections.select("job_id", "frame_id", F.col("det_index").alias("pos"), F.col("label").alias("result"))
+    return results.keyframe_results(found, keyframes)
+
+
+@query("""select event_id, case when event_id % 5 = 0 then 'top' when event_id % 4 = 0 then '' else event_type end as kind, case when event_id % 4 = 0 then '' else 'low' end as a, case when event_id % 5 = 0 then 'b' else '' end as b from events""", media=False)
+def overlaid_maps(m: Media) -> DataFrame:
+    e = F.col("event_id")
+    base = F.when(e % 4 != 0, F.create_map(F.lit("kind"), F.col("event_type"), F.lit("a"), F.lit("low")))
+    top = F.when(e % 5 == 0, F.create_map(F.lit("b"), F.lit("b"), F.lit("kind"), F.lit("top")))
+    of = lambda k: F.coalesce(F.try_element_at("m", F.lit(k)), F.lit("")).alias(k)
+    return m.table("events").select("event_id", results.overlaid(base, top).alias("m")).select("event_id", *map(of, ("kind", "a", "b")))
+
+
+@query("""select event_id as task_id, case when event_id % 5 >= 3 then 'dead_letter' else 'retry' end as status, case when event_id % 5 < 3 then cast(least(12, 5 * pow(2, greatest(0, event_id % 5 - 1))) as bigint) end as waits,
+case when event_id % 5 < 3 then 'waiting_scene_ai' end as stage, case when event_id % 5 >= 3 then 'completed' else 'processing' end as job_status from events""", media=False)
+def retry_outcomes(m: Media) -> DataFrame:
+    failed = m.table("events").select(F.col("event_id").alias("task_id"), F.col("user_id").alias("job_id"), (F.col("event_id") % 5).alias("attempts"), F.lit("timeout").alias("error"))
+    now = F.timestamp_seconds(F.lit(1000))
+    out = tasklog.after_retry(failed, now, "fallback_empty", most=12)
+    return out.select("task_id", "status", (F.unix_timestamp("next_attempt_at") - 1000).alias("waits"), "stage", "job_status")
+
+
+@query("""with e as (select distinct user_id from events)
+select concat('job-', user_id) as job_id, case when user_id % 3 = 0 then 200 else 409 end as code, case user_id % 3 when 1 then 'Job is still processing' when 2 then 'Job failed' end as detail,
+case when user_id % 3 = 2 then case when user_id % 2 = 0 then 'lost' else 'Unknown error' end end as error, case when user_id % 6 = 0 then user_id end as frames from e""", media=False)
+def readable_results(m: Media) -> DataFrame:
+    u = F.col("user_id")
+    known = m.table("events").select("user_id").distinct().select(F.concat(F.lit("job-"), u.cast("string")).alias("job_id"), "user_id")
+    status = F.element_at(F.array(*map(F.lit, ("completed", "processing", "failed"))), (u % 3 + 1).cast("int"))
+    states = known.select("job_id", status.alias("status"), F.when(u % 2 == 0, "lost").alias("error"))
+    return results.readable_results(states, known.where("user_id % 2 = 0").select("job_id", u.alias("frames")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions.timecode import parse_timecode
@@ -29,6 +29,11 @@ def rejected_uploads(spark: SparkSession, path: str, most: int = MAX_UPLOAD) ->
     return spark.read.format("binaryFile").load(path).where(F.col("length") > most).select("path", "length", F.lit(413).alias("status"))
 
 
+def upload_status(filename: Column, length: Column, most: int = MAX_UPLOAD) -> Column:
+    """422 for an upload without a name, 413 for one that is too large, else 200."""
+    return F.when(F.coalesce(F.length(filename), F.lit(0)) == 0, 422).when(length > most, 413).otherwise(200)
+
+
 def objects(spark: SparkSession, path: str) -> DataFrame:
     """The keys of stored objects below a path, without reading them."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("key"), "length", F.col("modificationTime").alias("modified_at"))

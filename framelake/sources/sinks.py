@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelake.functions import ids
+
 #: The folders of artifact kinds.
 FOLDERS = {"frame": "analysis/json", "packet": "scene/packets", "narrative": "scene/narratives", "synopsis": "summary", "graph": "corpus/graph", "retrieval": "corpus/rag", "embeddings": "corpus/embeddings"}
 
@@ -34,6 +36,18 @@ def write_checked(rows: DataFrame, bad: DataFrame, root: str, kind: str) -> str:
     return write_json(rows, root, kind)
 
 
+def bundles(rows: DataFrame, kind: str) -> DataFrame:
+    """(job_id, key, content) of corpus bundles given as (job_id, bundle, filename); the bundle is any struct or map."""
+    key = ids.corpus_key(F.col("job_id"), kind, F.col("filename"))
+    return rows.select("job_id", key.alias("key"), F.to_json("bundle", {"ignoreNullFields": "false"}).cast("binary").alias("content"))
+
+
+def write_bundles(rows: DataFrame, kind: str, root: str | None = None) -> DataFrame:
+    """The keys of bundles, which are written below the root; without a root there are the keys only."""
+    made = bundles(rows, kind)
+    return made.select("key") if root is None else write_images(made, root)
+
+
 def write_images(rows: DataFrame, root: str) -> DataFrame:
     """(key, content) to one object each; returns the keys written. Any store that Arrow knows will do."""
 

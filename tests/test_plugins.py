@@ -4,8 +4,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from framelake import config
 from framelake.functions.geometry import Box
-from framelake.operators import identity, normalize, plugins
+from framelake.operators import identity, normalize, plugins, results, tasklog
+from framelake.sources import sinks
 from framelake.sources.media import Media
 from framelake.sources.store import ArtifactStore
 
@@ -50,3 +52,37 @@ def test_identity_pipeline_keeps_sources_apart(spark):
     assert key(faces) == key(alone) and people.count() > 0
     box = Box(*map(F.lit, (-5, 2, 30, 40)))
     assert spark.range(1).select(identity.crop_box(box, F.lit(20), F.lit(20))).first()[0] == [0, 2, 20, 20]
+
+
+def test_missing_settings_and_warnings():
+    env = {k: "x" for k in (*config.STORE_KEYS, *config.CLIENT_KEYS)}
+    plain = config.Settings.load({})
+    assert config.missing_settings(plain, env) == {"storage": [], "narratives": [], "embeddings": ["embedding_model"], "identities": []}
+    assert config.startup_warnings(plain, env) == [] and not config.queue_mode(plain)
+    busy = config.Settings.load({f"X_{k}": v for k, v in {"SCENE_PIPELINE": "on", "IDENTITY_PIPELINE": "1", "IDENTITY_MODEL": "odd", "CORPUS_INGEST": "true", "EXECUTION_MODE": "queue", "SAMPLE_FPS": "0.5", "EMBEDDING_MODEL": "m"}.items()}, prefix="X_")
+    found = config.missing_settings(busy, {})
+    assert found == {"storage": list(config.STORE_KEYS), "narratives": ["CLIENT_KEY"], "embeddings": ["CLIENT_KEY"], "identities": ["identity_model", "sample_fps"]}
+    assert config.queue_mode(busy) and len(config.startup_warnings(busy, {})) == 5
+    with pytest.raises(ValueError):
+        config.identity_model(busy)
+    assert config.identity_model(config.Settings(identity_model="odd")) == "fallback"
+    assert config.Settings.load({"FRAMELAKE_EXECUTION_MODE": "other"}).execution_mode == "in_process"
+
+
+def test_bundles_are_written_or_named(spark, tmp_path):
+    rows = spark.createDataFrame([("j1", {"a": "1"}, " x/y.json"), ("j2", {"b": None}, None)], "job_id string, bundle map<string,string>, filename string")
+    keys = ["jobs/j1/corpus/graph/x_y.json", "jobs/j2/corpus/graph/bundle.json"]
+    assert sorted(r.key for r in sinks.write_bundles(rows, "graph").collect()) == keys
+    assert not list(tmp_path.iterdir())
+    assert sorted(r.key for r in sinks.write_bundles(rows, "graph", f"file://{tmp_path}").collect()) == keys
+    assert [(tmp_path / k).read_text() for k in keys] == ['{"a":"1"}', '{"b":null}']
+
+
+def test_results_after_retries(spark):
+    tasks = spark.createDataFrame([(1, "a", 1, "x"), (2, "b", 3, "y")], "task_id long, job_id string, attempts int, error string")
+    out = {r.task_id: r for r in tasklog.after_retry(tasks, F.timestamp_seconds(F.lit(0)), base=7).collect()}
+    assert (out[1].status, out[1].stage, out[1].job_status, out[1].next_attempt_at.timestamp()) == ("retry", "waiting_scene_ai", "processing", 7.0)
+    assert (out[2].status, out[2].stage, out[2].job_status, out[2].next_attempt_at) == ("dead_letter", None, "failed", None)
+    states = spark.createDataFrame([("a", "completed", None), ("b", "failed", "y")], "job_id string, status string, error string")
+    assert results.job_status(states, "c").count() == 0
+    assert [tuple(r) for r in results.job_status(states, "b").collect()] == [("b", "failed", "y")]
