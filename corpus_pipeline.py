@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from framelake.llm import bpe, exact_dedup, hyperminhash, mixing, nbsvm
-from framelake.llm.common import table, written
+from framelake.llm.common import scratch, table, written
 from framelake.llm.queries import tokenizer_path
 
 
@@ -48,5 +48,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), kept=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import partitions, written
+from framelake.llm.common import partitions, scratch, written
 from framelake.llm.tokens import OTHER_BASE, chunks, split_words, window_hashes
 
 WINDOW = 50
@@ -385,10 +385,11 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     buckets = BUCKETS_PER_PART * parts + 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     probes = rows.where("doc_id is not null").mapInArrow(_probes(parts, buckets), PACKED)
-    hits = written(probes.groupBy("part").applyInArrow(_hits(buckets), _HITS), "block-hits")
     grouped = rows.withColumn("bucket", _bucket_column(buckets)).groupBy("bucket")
-    windows = grouped.cogroup(hits.groupBy("bucket")).applyInArrow(_candidates(parts, buckets), PACKED)
-    repeats = written(windows.groupBy("part").applyInArrow(_repeated(buckets), _HITS), "repeats")
+    with scratch(docs.sparkSession):
+        hits = written(probes.groupBy("part").applyInArrow(_hits(buckets), _HITS), "block-hits")
+        windows = grouped.cogroup(hits.groupBy("bucket")).applyInArrow(_candidates(parts, buckets), PACKED)
+        repeats = written(windows.groupBy("part").applyInArrow(_repeated(buckets), _HITS), "repeats", kept=True)
     kinds = "doc_id long, n_words long, n_removed long, kept_text string, repeats array<struct<first:long,last:long>>"
     return grouped.cogroup(repeats.groupBy("bucket")).applyInArrow(_cut, kinds)
 

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import fresh_names, joined_by_key, written
+from framelake.llm.common import fresh_names, joined_by_key, scratch, written
 from framelake.llm.graph import components
 from framelake.llm.tokens import chunks, mix, split_words, window_hashes
 
@@ -397,14 +397,16 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) ->
 
 def _verdicts(docs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, h, n, class_id, component_id) for every row."""
-    sketched = written(sketches(docs, percent), "near-sketches")
-    classes = written(_classes(sketched), "near-classes")
-    labels = link_classes(docs, classes, percent)
-    labelled = classes.select("id", "doc_id", "f1", "f2", "n", "copies").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    labelled = written(labelled, "near-labelled")
-    lowest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("classes"))
-    named = joined_by_key(labelled, written(lowest, "near-lowest"), ["label"], "classes")
-    named = written(named.select("f1", "f2", "n", F.col("doc_id").alias("class_id"), "component_id", "copies"), "near-named")
+    # The verdicts are read from the sketches and the named classes only.
+    with scratch(docs.sparkSession):
+        sketched = written(sketches(docs, percent), "near-sketches", kept=True)
+        classes = written(_classes(sketched), "near-classes")
+        labels = link_classes(docs, classes, percent)
+        labelled = classes.select("id", "doc_id", "f1", "f2", "n", "copies").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        labelled = written(labelled, "near-labelled")
+        lowest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("classes"))
+        named = joined_by_key(labelled, written(lowest, "near-lowest"), ["label"], "classes")
+        named = written(named.select("f1", "f2", "n", F.col("doc_id").alias("class_id"), "component_id", "copies"), "near-named", kept=True)
     rows = sketched.select("doc_id", "h", "n", "f1", "f2")
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     alone = rows.where(~linked).withColumns({"class_id": F.col("doc_id"), "component_id": F.col("doc_id")})

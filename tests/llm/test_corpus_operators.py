@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 import random
+import uuid
+from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from framelake.llm import bpe, exact_dedup, fixed_blocks, hyperminhash, mixing, nbsvm
+from framelake.llm import bpe, common, exact_dedup, fixed_blocks, hyperminhash, mixing, nbsvm
 from framelake.llm.graph import components
 from framelake.llm.queries import tokenizer_path
 from tests.llm import plain
@@ -398,3 +400,29 @@ def test_pipeline_stages_keep_columns(spark):
     for _, stage in corpus_pipeline.STAGES[1:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_intermediate_tables_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark, purpose: f"file://{tmp_path}/{purpose}-{uuid.uuid4().hex}")
+    left = lambda: sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir())
+    text = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "other words")], "doc_id long, text string")
+    out = hyperminhash.near_dedup(docs)
+    assert left() == ["near-named", "near-sketches"]
+    assert sorted((r.doc_id, r.component_id) for r in out.collect()) == [(1, 1), (2, 1), (3, 3)]
+    with pytest.raises(ZeroDivisionError), common.scratch(spark):
+        common.written(docs, "failed")
+        raise ZeroDivisionError
+    with common.scratch(spark):
+        hyperminhash.keep_one(docs).count()
+        with common.scratch(spark):
+            rows = common.written(fixed_blocks.cut_repeats(docs), "outer", kept=True)
+        assert rows.count() == 3 and "outer" in left() and "repeats" not in left()
+    assert left() == ["near-named", "near-sketches"]
+
+
+def test_a_local_session_gets_a_folder_of_its_own():
+    local, remote = (SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=m)) for m in ("local[2]", "spark://host:7077"))
+    assert common.shared_dir(local, "a").startswith("file:///tmp/spark-framelake-")
+    with pytest.raises(ValueError):
+        common.shared_dir(remote, "a")
