@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import bpe, exact_dedup, fixed_blocks, flac, hyperminhash, licenses, mixing, nbsvm, token_counts, warc
+from framelake.llm import bpe, exact_dedup, fixed_blocks, flac, hard_negatives, hyperminhash, licenses, mixing, nbsvm, resampling, token_counts, url_filters, warc
 from framelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,27 @@ from w left join base using (doc_id) left join own using (doc_id)
 
 
 ORACLE_SQL["op9_licenses"] = _license_sql()
+
+
+@_query
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judged(table(spark, sf_dir, "pages"))
+
+
+ORACLE_SQL["op11_url_filters"] = url_filters.oracle()
+
+
+@_query
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op12_resampling"] = resampling.oracle()
+
+
+@_query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op13_hard_negatives"] = hard_negatives.oracle()
