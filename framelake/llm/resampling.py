@@ -9,8 +9,9 @@ a seeded hash of the document's id makes the highest scores a sample without
 replacement in proportion to exp(weight / 1000).
 
 Texts are shuffled once by a number of their rows, so that a document's words are
-exploded, sorted and counted where they then lie; only counts of (document, bucket)
-are written. Counts of the whole corpus are combined before they are shuffled. The
+exploded, sorted and hashed where they then lie; the buckets of each place are
+written, from which both the corpus's sums and the weights are read. Sums are
+combined before they are shuffled. The
 table of gains has BUCKETS rows at most and is broadcast. Ranks come from a range
 partitioning by score: the number of rows in the parts before, and a row number
 within the part; only as many parts are numbered as have drawn rows.
@@ -41,33 +42,48 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def bucket_counts(docs: DataFrame, id_column: str = "doc_id", orders: int = ORDERS, buckets: int = BUCKETS) -> DataFrame:
-    """(row, doc_id, bucket, c, words): how often each bucket occurs in a row's text, and how many of these are single words; a row without words has a null bucket."""
-    spark = docs.sparkSession
+def places(docs: DataFrame, id_column: str = "doc_id", orders: int = ORDERS, buckets: int = BUCKETS) -> DataFrame:
+    """(row, doc_id, b1, b2, ...): the buckets of the runs that start at each word of each row, null past the text's end; a row without words has one line of nulls."""
     text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.repartition(partitions(spark), "row")
+    rows = rows.repartition(partitions(docs.sparkSession), "row")
     words = rows.select("row", "doc_id", F.posexplode_outer(F.regexp_extract_all("text", F.lit(WORD), 0)).alias("pos", "w1"))
     follows = Window.partitionBy("row").orderBy("pos")
     words = words.select("row", "doc_id", "w1", *[F.lead("w1", k - 1).over(follows).alias(f"w{k}") for k in range(2, orders + 1)])
-    hashed = lambda k: F.pmod(F.crc32(F.encode(F.concat_ws(" ", *[f"w{j}" for j in range(1, k + 1)]), "UTF-8")), F.lit(buckets)).cast("int")
-    runs = [F.struct(hashed(k).alias("bucket"), F.lit(int(k == 1)).alias("single"), F.col(f"w{k}").isNotNull().alias("there")) for k in range(1, orders + 1)]
-    runs = words.select("row", "doc_id", F.explode(F.array(*runs)).alias("run")).where("run.there or run.single = 1")
-    bucket = F.when(F.col("run.there"), F.col("run.bucket"))
-    runs = runs.select("row", "doc_id", bucket.alias("bucket"), F.when(F.col("run.there"), F.col("run.single")).otherwise(0).alias("single"), F.col("run.there").cast("int").alias("there"))
-    return runs.groupBy("row", "doc_id", "bucket").agg(F.sum("there").alias("c"), F.sum("single").alias("words"))
+    run = lambda k: F.concat(*[x for j in range(1, k + 1) for x in (F.lit(" "), F.col(f"w{j}"))][1:])
+    return words.select("row", "doc_id", *[F.pmod(F.crc32(run(k).cast("binary")), F.lit(buckets)).cast("int").alias(f"b{k}") for k in range(1, orders + 1)])
+
+
+def _bucket_columns(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in ("row", "doc_id")]
+
+
+def bucket_sums(found: DataFrame) -> DataFrame:
+    """(bucket, n): how often each bucket occurs in all places."""
+    each = found.select(F.explode(F.array(*_bucket_columns(found))).alias("bucket"))
+    return each.where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, gain) of the buckets of the corpus, from both tables' bucket_counts."""
-    s = written(corpus.where("bucket is not null").groupBy("bucket").agg(F.sum("c").alias("s")), "mix-corpus")
-    t = written(target.where("bucket is not null").groupBy("bucket").agg(F.sum("c").alias("t")), "mix-target")
+    """(bucket, gain) of the buckets of the corpus, from the places of both tables; BUCKETS rows at most."""
+    s = written(bucket_sums(corpus).withColumnRenamed("n", "s"), "mix-corpus")
+    t = written(bucket_sums(target).withColumnRenamed("n", "t"), "mix-target")
     size = lambda df, c: float(df.agg(F.sum(c)).first()[0] or 0)
     real = lambda x: F.col(x).cast("double")
     ratio = (real("t") + 1) * (size(s, "s") + buckets) / ((real("s") + 1) * (size(t, "t") + buckets))
     return s.join(F.broadcast(t), "bucket", "left").fillna(0, ["t"]).select("bucket", F.floor(1000 * F.log(ratio)).alias("gain"))
 
 
+def weights(found: DataFrame, gain: DataFrame) -> DataFrame:
+    """(row, doc_id, n_words, n_features, weight) from a table's places and the gains."""
+    columns = _bucket_columns(found)
+    for c in columns:
+        found = found.join(F.broadcast(gain.select(F.col("bucket").alias(c), F.col("gain").alias(f"{c}_gain"))), c, "left")
+    there = sum(F.col(c).isNotNull().cast("int") for c in columns)
+    worth = sum(F.coalesce(F.col(f"{c}_gain"), F.lit(0).cast("long")) for c in columns)
+    return found.groupBy("row", "doc_id").agg(F.count(columns[0]).alias("n_words"), F.sum(there).alias("n_features"), F.sum(worth).alias("weight"))
+
+
 def gumbel(doc_id: Column, seed: int = SEED) -> Column:
     """1000 times a Gumbel variate from the seeded hash of an id, rounded down."""
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
@@ -99,11 +115,8 @@ def resample(docs: DataFrame, target: DataFrame, target_id: str = "item_id", per
     """(doc_id, n_features, weight, score, rank) of every document; rank is null for those that aren't drawn."""
     spark = docs.sparkSession
     with scratch(spark):
-        counts = written(bucket_counts(docs), "mix-counts")
-        gain = gains(counts, bucket_counts(target, target_id))
-        weighed = counts.join(F.broadcast(gain), "bucket", "left").groupBy("row", "doc_id").agg(
-            F.sum("c").alias("n_features"), F.sum("words").alias("n_words"), F.coalesce(F.sum(F.col("c") * F.col("gain")), F.lit(0).cast("long")).alias("weight")
-        )
+        found = written(places(docs), "mix-places")
+        weighed = weights(found, gains(found, places(target, target_id)))
         weighed = written(weighed.withColumn("score", F.col("weight") + gumbel(F.col("doc_id"), seed)), "mix-weights", kept=True)
         candidates = weighed.where(F.col("n_words") >= least_words).select("row", "doc_id", "score")
         draws = percent * candidates.count() // 100
