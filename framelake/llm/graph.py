@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import written
+from framelake.llm.common import joined_by_key, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,9 +22,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         stepped = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("near"))
-        # A label is a node with a label of its own.
-        own = labels.select(F.col("node").alias("n"), F.col("label").alias("further"))
-        jumped = stepped.join(own, F.col("near") == F.col("n"))
+        stepped = written(stepped, "labels")
+        # A label is a node with a label of its own; a giant component's is asked for by many.
+        own = stepped.groupBy("near").agg(F.count(F.lit(1)).alias("size"))
+        own = own.join(labels.select(F.col("node").alias("near"), F.col("label").alias("further")), "near")
+        jumped = joined_by_key(stepped, own, ["near"], "size")
         new = written(jumped.select("node", F.col("label").alias("old"), F.least("near", "further").alias("label")), "labels")
         labels = new.select("node", "label")
         if new.where("old <> label").isEmpty():

@@ -15,10 +15,13 @@ Equal sets form a class, compared once, with an id of its own. The members of a
 key with more than SMALL of them are dealt into chunks of about CHUNK. Within a
 chunk, members gather around leaders, and pairs of a leader and a follower are
 verified and merged; a second turn deals them anew, so that chunks merge too. Only
-then members outside a key's most frequent component are compared with all
-others of different components, chunk by chunk, so that every link between
-components is found while a large group of near copies neither meets in one task
-nor pairs up.
+then are members of different components split by the rarest shingles of their
+sets: at 85 percent, two linked sets share one of the rarest 15 percent of either
+(prefix filter), so only members with such a shingle in common meet, under length
+and position filters. At a shingle that many have, members outside its most
+frequent component are compared with all others, chunk by chunk. So every link
+between components is found, while a large group of near copies, or of texts that
+share much but less than the threshold, neither meets in one task nor pairs up.
 
 A pair at the threshold shares no key with probability below 1e-5, and an
 estimate five standard deviations too low is as rare; nothing else drops pairs.
@@ -41,7 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.llm.common import fresh_names, joined_by_key, scratch, written
@@ -245,10 +248,10 @@ class _Members:
         return out, slack
 
     def likely(self, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs that may be links, each only at the first key that both have."""
+        """The pairs that may be links, each only at the first band key that both have; at keys of no band, wherever they meet."""
         keep = self.open(i, j, percent)
         i, j = i[keep], j[keep]
-        keep = (self.keys[i] == self.keys[j]).argmax(axis=1) == self.band[i] if len(i) else keep[:0]
+        keep = (self.band[i] < 0) | ((self.keys[i] == self.keys[j]).argmax(axis=1) == self.band[i]) if len(i) else keep[:0]
         i, j = i[keep], j[keep]
         guess, slack = self.estimates(i, j, percent)
         keep = guess >= percent / 100 - slack
@@ -356,6 +359,36 @@ def _sides(member: DataFrame, facts: DataFrame) -> DataFrame:
     return both.drop("main", "size", "lefts", "rights", "minor", "l", "r").join(facts, "id")
 
 
+def _prefixes(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, id, label, band, rest, size): members (id, label) at the shingles that a link of theirs must share one of.
+
+    Shingles of a set are ordered by how many of these sets have them, rarest
+    first. ``rest`` counts those from a shingle on; two sets have no more in common
+    than the smaller rest at the rarest one they share, so shingles with fewer than
+    ``percent`` of the set left are keys of no link. Keys of one component only are
+    left out.
+    """
+    ids = written(now.select("id", "label").distinct(), "near-ids")
+    each = sets.select("id", "n", "shingles").join(ids, "id").select("id", "label", "n", F.explode("shingles").alias("key"))
+    met = written(each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-shingles")
+    rest = F.row_number().over(Window.partitionBy("id").orderBy(F.col("c").desc(), F.col("key").desc()))
+    found = joined_by_key(each, met, ["key"], "c").withColumn("rest", rest).where(100 * F.col("rest") >= percent * F.col("n"))
+    found = written(found.select("key", "id", "label", F.lit(-1).alias("band"), "rest"), "near-prefixes")
+    apart = found.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+    return written(joined_by_key(found, written(apart.select("key", "size"), "near-open"), ["key"], "size"), "near-left")
+
+
+def _rest_compared(now: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) likely links between different components, of members (id, label) of open keys."""
+    split = _prefixes(now, sets, percent)
+    known = lambda members: members.withColumn("alone", F.col("n") - F.col("rest"))  # noqa: E731  what can't be in common from here on
+    zero = F.lit(0).cast("long")
+    small = split.where(F.col("size") <= SMALL).withColumns({"part": zero, "side": F.lit(0), "rank": zero}).join(facts, "id")
+    large = split.where(F.col("size") > SMALL)
+    found = _compared(known(small), percent, False)
+    return found if large.isEmpty() else found.unionByName(_compared(known(_sides(large, facts)), percent, True)).distinct()
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(id, label) of every class that shares a key with another; label is the smallest reachable."""
     every = classes.select("id", F.posexplode("keys").alias("band", "key"))
@@ -379,7 +412,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) ->
             if open_keys.isEmpty():
                 break
             now = joined_by_key(now.drop("size"), open_keys, ["key"], "size")
-        pairs = _compared(_sides(written(now, "near-left"), facts) if turn == TURNS else _dealt(now, facts, turn), percent, turn == TURNS)
+        pairs = _rest_compared(now, facts, sets, percent) if turn == TURNS else _compared(_dealt(now, facts, turn), percent, False)
         new = _verified(pairs, sets, percent)
         if turn == TURNS:
             # One link between two components is enough.

@@ -426,3 +426,31 @@ def test_a_local_session_gets_a_folder_of_its_own():
     assert common.shared_dir(local, "a").startswith("file:///tmp/spark-framelake-")
     with pytest.raises(ValueError):
         common.shared_dir(remote, "a")
+
+
+def boilerplate(n: int) -> list[tuple]:
+    """One text of 170 words and two paragraphs of 20 in each document, either shared with one neighbour: much is common to all, nothing links."""
+    r = random.Random(31)
+    shared, parts = " ".join(sentence(r, 170)), [" ".join(sentence(r, 20)) for _ in range(n + 1)]
+    return [(i, f"{shared} {parts[i]} {parts[i + 1]}", "s") for i in range(n)]
+
+
+def test_comparisons_of_a_hot_key_grow_in_proportion(spark):
+    counted = {}
+    for n in (500, 1000, 2000):
+        docs = frame(spark, boilerplate(n))
+        classes = hyperminhash.written(hyperminhash._classes(hyperminhash.sketches(docs)), "test-classes")
+        sets = hyperminhash.written(hyperminhash._sets(docs, classes.select("id", "doc_id", "f1", "f2")), "test-sets")
+        split = hyperminhash._prefixes(classes.select("id", F.col("id").alias("label")), sets, 85)
+        counted[n] = split.groupBy("key").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0]
+    assert 0 < counted[500] and counted[2000] < 4.4 * counted[500] and counted[2000] < 100 * 2000
+    same(hyperminhash.near_dedup(docs).select("doc_id", "component_id"), [(i, i) for i in range(2000)])
+
+
+def test_near_dedup_of_texts_made_of_common_paragraphs(spark):
+    """Documents of paragraphs that hundreds share, so that rare shingles don't split them all; links against all pairs."""
+    r = random.Random(17)
+    pool = [" ".join(sentence(r, 12)) for _ in range(24)]
+    rows = [(i, " ".join(pool[j] for j in sorted(r.sample(range(24), 16))), "s") for i in range(900)]
+    want = plain.near([(i, t) for i, t, _ in rows])
+    same(hyperminhash.near_dedup(frame(spark, rows)).select("doc_id", "n_shingles", "component_id"), [(i, *w) for i, w in want.items()])
