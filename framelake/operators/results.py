@@ -92,28 +92,69 @@ def frame_files(job_id: Column, frame_id: Column, stored: bool = True) -> Column
     return F.create_map(*(x for k, v in zip(kinds, values) for x in (F.lit(k), v)))
 
 
-def frame_documents(frames: DataFrame, detections: DataFrame, faces: DataFrame, segments: DataFrame) -> DataFrame:
-    """One nested document for each frame, assembled from the flat tables at the result edge."""
-    key = ["job_id", "frame_id"]
+#: The models every frame passes, with the thresholds recorded for them.
+MODEL_THRESHOLDS = {"detector": 0.0, "segmenter": 0.0, "face_detector": 0.9}
+ENRICHED = {
+    "ocr_blocks": "array<struct<text:string,confidence:double,bbox:array<bigint>>>",
+    "actions": "array<struct<label:string,confidence:double>>",
+    "poses": "array<struct<track_id:string,confidence:double,keypoints:array<struct<x:double,y:double,confidence:double>>>>",
+    "camera_motion": "struct<label:string,confidence:double>",
+    "quality": "struct<blur_score:double,is_blurry:boolean,is_occluded:boolean>",
+}
+
+
+def grouped_kinds(frames: DataFrame, kinds: dict[str, tuple[DataFrame, Column, Column]], keys: list[str], facts: list[str]) -> DataFrame:
+    """Each row of ``frames`` (keys, facts) with a list for each kind: (rows, order, value) by the same keys.
+
+    All tables are one union that is grouped once, so there is one exchange however
+    many kinds there are. Rows of keys that ``frames`` lacks are left out.
+    """
+    fact = F.struct(*facts, F.lit(True).alias("there")).alias("__frame")
+    every = frames.select(*keys, fact)
+    for name, (rows, order, value) in kinds.items():
+        every = every.unionByName(rows.select(*keys, F.struct(order.alias("order"), value.alias("value")).alias(name)), allowMissingColumns=True)
+    lists = [F.transform(F.array_sort(F.collect_list(name)), lambda x: x["value"]).alias(name) for name in kinds]
+    out = every.groupBy(*keys).agg(F.first("__frame", ignorenulls=True).alias("__frame"), *lists)
+    return out.where(F.col("__frame").isNotNull()).select(*keys, *(F.col(f"__frame.{c}") for c in facts), *kinds)
 
-    def listed(rows: DataFrame, order: str, fields: list[str], name: str) -> DataFrame:
-        x = F.array_sort(F.collect_list(F.struct(order, F.struct(*fields).alias("x"))))
-        return rows.groupBy(*key).agg(F.transform(x, lambda r: r["x"]).alias(name))
 
-    box = F.array("x1", "y1", "x2", "y2")
-    d = listed(detections.withColumn("box", box), "det_index", ["track_id", "label", "confidence", "box"], "object_detection")
-    f = listed(faces.withColumn("coordinates", box), "face_id", ["face_id", "identity_id", "video_person_id", "match_confidence", "coordinates"], "face_recognition")
-    s = listed(segments, "object_id", ["object_id", F.col("class_name").alias("class")], "semantic_segmentation")
-    out = frames.select(*key, "ts_sec").join(d, key, "left").join(f, key, "left").join(s, key, "left")
-    empty = {c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("object_detection", "face_recognition", "semantic_segmentation")}
-    out = out.withColumns(empty)
+def frame_documents(frames: DataFrame, detections: DataFrame, faces: DataFrame, segments: DataFrame, enriched: DataFrame | None = None, models: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """One nested document for each frame, assembled from the flat tables at the result edge by one exchange.
+
+    ``enriched`` has (job_id, frame_id) and the normalized columns of ENRICHED, one
+    row a frame; ``models`` names (id, version) of models by component.
+    """
+    key = ["job_id", "frame_id"]
     job, frame = F.col("job_id"), F.col("frame_id")
+    box = F.array("x1", "y1", "x2", "y2")
+    kinds = {
+        "object_detection": (detections, F.col("det_index"), F.struct("track_id", "label", "confidence", box.alias("box"))),
+        "face_recognition": (faces, F.col("face_id"), F.struct("face_id", "identity_id", "video_person_id", "match_confidence", box.alias("coordinates"))),
+        "semantic_segmentation": (segments, F.col("object_id"), F.struct("object_id", F.col("class_name").alias("class"))),
+    }
+    if enriched is not None:
+        kinds["enriched"] = (enriched, F.lit(0), F.struct(*(F.col(c).cast(kind).alias(c) for c, kind in ENRICHED.items())))
+    out = grouped_kinds(frames, kinds, key, ["ts_sec"])
+    given = F.get("enriched", F.lit(0)) if enriched is not None else F.lit(None).cast(f"struct<{','.join(f'{c}:{k}' for c, k in ENRICHED.items())}>")
+    part = lambda c: F.coalesce(given[c], F.array().cast(ENRICHED[c])) if ENRICHED[c].startswith("array") else given[c]
+    out = out.withColumn("enrichment", F.struct(*(part(c).alias(c) for c in ENRICHED)))
+    stamp, artifact = format_timecode(F.col("ts_sec")), ids.analysis_key(job, frame)
+    anchor = lambda box, text: F.struct(frame.alias("frame_id"), stamp.alias("timestamp"), artifact.alias("artifact_key"), box.alias("bbox"), text.alias("text_span"))
+    anchors = F.concat(
+        F.transform("object_detection", lambda x: anchor(x["box"].cast("array<bigint>"), x["label"])),
+        F.transform("face_recognition", lambda x: anchor(x["coordinates"].cast("array<bigint>"), x["identity_id"])),
+        F.transform("enrichment.ocr_blocks", lambda x: anchor(x["bbox"], x["text"])),
+    )
+    provenance = F.struct(job.alias("job_id"), F.lit(None).cast("long").alias("scene_id"), frame.alias("frame_id"), stamp.alias("timestamp"), ids.frame_key(job, "original", frame).alias("source_artifact_key"))
+    named = {c: (models or {}).get(c, ("unknown", "unknown")) for c in MODEL_THRESHOLDS} | {c: m for c, m in (models or {}).items() if c not in MODEL_THRESHOLDS}
+    entries = [F.struct(F.lit(c).alias("component"), F.lit(m).alias("model_id"), F.lit(v or "unknown").alias("version"), F.lit(MODEL_THRESHOLDS.get(c)).cast("double").alias("threshold")) for c, (m, v) in named.items()]
     return out.select(
         *key,
-        format_timecode(F.col("ts_sec")).alias("timestamp"),
+        stamp.alias("timestamp"),
         to_urls(frame_files(job, frame)).alias("files"),
-        F.struct("semantic_segmentation", "object_detection", "face_recognition").alias("analysis"),
-        F.struct(to_url(ids.analysis_key(job, frame)).alias("json")).alias("analysis_artifacts"),
+        F.struct("semantic_segmentation", "object_detection", "face_recognition", "enrichment").alias("analysis"),
+        F.struct(to_url(artifact).alias("json")).alias("analysis_artifacts"),
+        F.struct(provenance.alias("provenance"), F.array(*entries).alias("model_provenance"), anchors.alias("evidence_anchors")).alias("metadata"),
     )
 
 

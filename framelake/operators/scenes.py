@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.operators import sequences
+
 SCENE = ["job_id", "scene_id"]
 MAX_ENTITIES = MAX_EVENTS = 8
 MAX_KEYFRAMES = 3
@@ -105,18 +107,25 @@ def label_rollup(detections: DataFrame) -> DataFrame:
     return detections.rollup("job_id", "scene_id", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def cuts_from_scores(scores: DataFrame, threshold: float) -> DataFrame:
+def cuts_from_scores(scores: DataFrame, threshold: float, parts: int | None = None) -> DataFrame:
     """(job_id, seq, ts_sec, score) to scenes: a frame whose score changes by more than the threshold starts one.
 
-    Gaps and islands: a running count of cuts numbers the scenes of each job.
+    A running count of cuts numbers the scenes of each job. Frames are scanned in
+    ranges of (job, seq), so a long recording is no single task's.
     """
-    order = Window.partitionBy("job_id").orderBy("seq")
-    change = F.abs(F.col("score") - F.lag("score").over(order))
-    cut = F.when(change > threshold, 1).otherwise(0)
-    numbered = scores.withColumn("cut", cut).withColumn("scene_id", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order = ["seq"]
+    ranges = sequences.in_ranges(scores.select("job_id", "seq", "ts_sec", "score"), ["job_id"], order, parts)
+    ranges = sequences.previous(ranges, ["job_id"], order, "score", "before")
+    cut = F.when(F.abs(F.col("score") - F.col("before")) > threshold, 1).otherwise(0)
+    numbered = sequences.running(ranges, ["job_id"], order, cut, "scene_id")
     return numbered.groupBy("job_id", "scene_id").agg(F.min("ts_sec").alias("start_sec"), F.max("ts_sec").alias("end_sec"), F.count(F.lit(1)).alias("n_frames"))
 
 
+def numbered_scenes(scenes: DataFrame) -> DataFrame:
+    """Scenes (job_id, start_sec, end_sec) in any order, numbered from 0 by time within each job; equal ones are one."""
+    return sequences.ordinals(scenes.select("job_id", "start_sec", "end_sec").distinct(), ["job_id"], ["start_sec", "end_sec"], "scene_id")
+
+
 def middle_frames(scenes: DataFrame, fps: Column | None = None, default_fps: float = 25.0) -> DataFrame:
     """The frame in the middle of each scene: time and source index; frame_id is the scene's ordinal."""
     rate = F.coalesce(F.nullif(fps if fps is not None else F.lit(None).cast("double"), F.lit(0.0)), F.lit(default_fps))

@@ -2,8 +2,10 @@
 
 The result depends on the order of boxes, so each task sorts its jobs by frame and
 index and takes frame after frame. What it holds is one frame and the tracks of
-the last ``max_gap`` frames, however long a job is. ``framelake.streaming.tracking``
-keeps the same state between micro-batches.
+the last ``max_gap`` frames, however long a job is. Jobs with more than ``whole``
+boxes are cut where no track can cross, tracked in parallel, and numbered by a
+running sum of the tracks before. ``framelake.streaming.tracking`` keeps the same
+state between micro-batches.
 """
 
 from __future__ import annotations
@@ -17,10 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import ids
+from framelake.operators import sequences
 from framelake.operators.ordered import whole_groups
+from framelake.shared import written
 
 #: Least overlaps and most frames that a track may skip.
 FACE_IOU, OBJECT_IOU, MAX_GAP = 0.35, 0.25, 2
+#: Jobs with more boxes are cut at their gaps, and their segments dealt to tasks.
+WHOLE = 200_000
 
 
 def box_iou(a: tuple, b: tuple) -> float:
@@ -75,40 +81,72 @@ def number_rows(tracker: Tracker, rows: pd.DataFrame, label: str | None, order:
     return pd.Series(out, index=rows.index, dtype="int64")
 
 
-def _tracked(rows: DataFrame, index: str, label: str | None, least_iou: float, max_gap: int) -> DataFrame:
-    keep = ["job_id", "frame_id", index, *([label] if label else []), *BOX]
+def _numbered(rows: DataFrame, keys: list[str], index: str, label: str | None, least_iou: float, max_gap: int) -> DataFrame:
+    """Track numbers from 1 within each of ``keys``, which a task takes one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        job, tracker = None, None
-        for t in whole_groups(batches, ["job_id", "frame_id"]):
-            jobs, frames = t.column("job_id").to_pylist(), t.column("frame_id").to_pylist()
-            names = t.column(label).to_pylist() if label else [""] * len(jobs)
+        now, tracker = None, None
+        for t in whole_groups(batches, [*keys, "frame_id"]):
+            groups, frames = list(zip(*(t.column(k).to_pylist() for k in keys))), t.column("frame_id").to_pylist()
+            names = t.column(label).to_pylist() if label else [""] * len(groups)
             boxes = list(zip(*(t.column(c).to_pylist() for c in BOX)))
             numbers, at = [], 0
-            while at < len(jobs):
+            while at < len(groups):
                 end = at + 1
-                while end < len(jobs) and frames[end] == frames[at] and jobs[end] == jobs[at]:
+                while end < len(groups) and frames[end] == frames[at] and groups[end] == groups[at]:
                     end += 1
-                if tracker is None or jobs[at] != job:
-                    job, tracker = jobs[at], Tracker(least_iou, max_gap)
+                if tracker is None or groups[at] != now:
+                    now, tracker = groups[at], Tracker(least_iou, max_gap)
                 numbers += tracker.frame(frames[at], list(zip(names[at:end], boxes[at:end])))
                 at = end
             yield from t.append_column("track_num", pa.array(numbers, pa.int64())).combine_chunks().to_batches()
 
-    chosen = rows.select(*keep)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema)
-    dealt = chosen.repartition("job_id").sortWithinPartitions("job_id", "frame_id", index)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "frame_id", index)
     return dealt.mapInArrow(run, f"{schema}, track_num long")
 
 
-def object_tracks(detections: DataFrame, least_iou: float = OBJECT_IOU, max_gap: int = MAX_GAP) -> DataFrame:
+def segments(rows: DataFrame, max_gap: int) -> DataFrame:
+    """(job_id, frame_id, segment): a job's frames with boxes, cut where more than ``max_gap`` frames pass without any.
+
+    No track crosses such a cut. Frames are scanned in ranges, not job by job.
+    """
+    ranges = sequences.in_ranges(rows.select("job_id", "frame_id").distinct(), ["job_id"], ["frame_id"])
+    ranges = sequences.previous(ranges, ["job_id"], ["frame_id"], "frame_id", "before")
+    cut = F.when(F.col("frame_id") - F.col("before") > max_gap, 1).otherwise(0)
+    return sequences.running(ranges, ["job_id"], ["frame_id"], cut, "segment").select("job_id", "frame_id", "segment")
+
+
+def _in_segments(rows: DataFrame, index: str, label: str | None, least_iou: float, max_gap: int) -> DataFrame:
+    """Tracks the segments of jobs each on its own; a segment's numbers go on where those of the segments before end."""
+    columns = rows.columns
+    placed = rows.join(segments(rows, max_gap), ["job_id", "frame_id"]).select(*columns, "segment")
+    tracked = written(_numbered(placed, ["job_id", "segment"], index, label, least_iou, max_gap), "tracked")
+    counts = tracked.groupBy("job_id", "segment").agg(F.max("track_num").alias("tracks"))
+    ranges = sequences.in_ranges(counts, ["job_id"], ["segment"])
+    upto = sequences.running(ranges, ["job_id"], ["segment"], F.col("tracks"), "upto").select("job_id", "segment", (F.col("upto") - F.col("tracks")).alias("before"))
+    out = tracked.join(upto, ["job_id", "segment"])
+    return out.select(*columns, (F.col("track_num") + F.col("before")).alias("track_num"))
+
+
+def _tracked(rows: DataFrame, index: str, label: str | None, least_iou: float, max_gap: int, whole: int) -> DataFrame:
+    chosen = rows.select("job_id", "frame_id", index, *([label] if label else []), *BOX)
+    sizes = rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole)
+    long = written(sizes.select("job_id"), "long-jobs")
+    if long.isEmpty():
+        return _numbered(chosen, ["job_id"], index, label, least_iou, max_gap)
+    short = _numbered(chosen.join(long, "job_id", "left_anti"), ["job_id"], index, label, least_iou, max_gap)
+    return short.unionByName(_in_segments(chosen.join(long, "job_id", "left_semi"), index, label, least_iou, max_gap))
+
+
+def object_tracks(detections: DataFrame, least_iou: float = OBJECT_IOU, max_gap: int = MAX_GAP, whole: int = WHOLE) -> DataFrame:
     """Adds track_num and track_id '<label>_<number>'; numbers are shared by all labels."""
-    out = _tracked(detections, "det_index", "label", least_iou, max_gap)
+    out = _tracked(detections, "det_index", "label", least_iou, max_gap, whole)
     return out.withColumn("track_id", F.concat_ws("_", "label", "track_num"))
 
 
-def face_tracks(faces: DataFrame, least_iou: float = FACE_IOU, max_gap: int = MAX_GAP) -> DataFrame:
-    out = _tracked(faces, "face_id", None, least_iou, max_gap)
+def face_tracks(faces: DataFrame, least_iou: float = FACE_IOU, max_gap: int = MAX_GAP, whole: int = WHOLE) -> DataFrame:
+    out = _tracked(faces, "face_id", None, least_iou, max_gap, whole)
     return out.withColumn("identity_id", F.concat(F.lit("face_"), "track_num"))
 
 

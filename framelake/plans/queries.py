@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from framelake.functions import geometry, ids, timecode
 from framelake.operators import corpus, evidence, fusion, identity, jobs, narrative, normalize, plugins, results, retention, scenes, tasklog, tracking
 from framelake.sources import ingest, sinks
+from framelake.shared import written
 from framelake.sources.media import MEDIA_SQL, Media
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -582,6 +583,64 @@ def frame_documents(m: Media) -> DataFrame:
     return d.select("job_id", "frame_id", "timestamp", F.col("files")["detection"].alias("detection_url"), F.size("analysis.object_detection").cast("long").alias("n_detections"), F.size("analysis.face_recognition").cast("long").alias("n_faces"), shown.alias("first_detection"))
 
 
+def _frame_enrichment(m: Media) -> DataFrame:
+    """What enrichers say of each frame, as the JSON of its first event."""
+    e = F.col("e")
+    first = m.base.groupBy("job_id", "frame_id").agg(F.min("event_id").alias("e"))
+    ocr = F.when(e % 3 == 0, F.lit("[]")).otherwise(F.format_string('[{"text": " sign %d ", "bbox": [%d, 2, 4.4, 8], "confidence": 0.5}, null, {"text": "b"}]', e, e % 10))
+    pose = F.when(e % 4 == 0, F.format_string('[{"track_id": "p%d", "confidence": 0.25, "keypoints": [{"x": 1.5, "y": 2}, null]}, {}]', e % 5)).otherwise(F.lit("null"))
+    motion = F.when(e % 5 == 0, F.lit("null")).otherwise(F.lit('{"label": "pan", "confidence": 0.5}'))
+    raw = F.format_string('{"ocr_blocks": %s, "actions": [{"confidence": 1}], "poses": %s, "camera_motion": %s, "quality": {"is_blurry": %s}}', ocr, pose, motion, (e % 2 == 0).cast("string"))
+    return normalize.enrichment(first.select("job_id", "frame_id", raw.alias("enrichment")))
+
+
+DOCUMENT_SQL = f""",
+fe as (select job_id, frame_id, min(event_id) as e from media_base group by all),
+stamped as (select job_id, frame_id, {STAMP_SQL} as stamp from media_frames),
+d as (select job_id, frame_id, string_agg(concat_ws('/', track_id, label, cast(round(confidence * 100) as bigint), concat_ws(',', x1, y1, x2, y2)), ';' order by det_index) as detections, string_agg(concat(x1, ',', y1, ',', x2, ',', y2, '=', label), ';' order by det_index) as a from media_detections group by all),
+f as (select job_id, frame_id, string_agg(concat_ws('/', face_id, identity_id, coalesce(video_person_id, '-'), cast(round(match_confidence * 100) as bigint), concat_ws(',', x1, y1, x2, y2)), ';' order by face_id) as faces, string_agg(concat(x1, ',', y1, ',', x2, ',', y2, '=', identity_id), ';' order by face_id) as a from media_faces group by all),
+s as (select job_id, frame_id, string_agg(concat(object_id, '/', class_name), ';' order by object_id) as segments from media_segments group by all)
+select b.job_id, b.frame_id, stamp as timestamp, coalesce(detections, '') as detections, coalesce(faces, '') as faces, coalesce(segments, '') as segments,
+  case when e % 3 = 0 then '' else concat('sign ', e, '/', e % 10, ',2,4,8;b/0,0,0,0') end as ocr, 'unknown' as actions, case when e % 4 = 0 then concat('p', e % 5, ':1.5,2.0,0.0;unknown_track:') else '' end as poses,
+  case when e % 5 <> 0 then 'pan' end as motion, e % 2 = 0 as is_blurry,
+  concat_ws(';', d.a, f.a, case when e % 3 <> 0 then concat(e % 10, ',2,4,8=sign ', e, ';0,0,0,0=b') end) as anchors,
+  concat_ws('|', b.job_id, b.frame_id, stamp, concat('jobs/', b.job_id, '/frames/original/frame_', b.frame_id, '.jpg')) as provenance,
+  'detector:det:2:0.0,segmenter:unknown:unknown:0.0,face_detector:unknown:unknown:0.9,ocr_enricher:ocr:unknown:-' as models,
+  concat('https://objects.example/jobs/', b.job_id, '/analysis/json/frame_', b.frame_id, '.json?exp=3600') as json_url, 4 as n_files
+from stamped b join fe using (job_id, frame_id) left join d using (job_id, frame_id) left join f using (job_id, frame_id) left join s using (job_id, frame_id)"""
+
+
+@query(DOCUMENT_SQL)
+def frame_document_fields(m: Media) -> DataFrame:
+    """Every field of the nested documents, lists as texts."""
+    docs = results.frame_documents(m.frames, m.detections, m.faces, m.segments, _frame_enrichment(m), {"detector": ("det", "2"), "ocr_enricher": ("ocr", "")})
+    cents = lambda c: F.round(c * 100).cast("long").cast("string")
+    text = lambda name, f: F.array_join(F.transform(name, f), ";")
+    box = lambda b: F.array_join(b, ",")
+    point = lambda k: F.concat_ws(",", k["x"].cast("string"), k["y"].cast("string"), k["confidence"].cast("string"))
+    p = "metadata.provenance"
+    return docs.select(
+        "job_id", "frame_id", "timestamp",
+        text("analysis.object_detection", lambda x: F.concat_ws("/", x["track_id"], x["label"], cents(x["confidence"]), box(x["box"]))).alias("detections"),
+        text("analysis.face_recognition", lambda x: F.concat_ws("/", x["face_id"].cast("string"), x["identity_id"], F.coalesce(x["video_person_id"], F.lit("-")), cents(x["match_confidence"]), box(x["coordinates"]))).alias("faces"),
+        text("analysis.semantic_segmentation", lambda x: F.concat_ws("/", x["object_id"].cast("string"), x["class"])).alias("segments"),
+        text("analysis.enrichment.ocr_blocks", lambda x: F.concat_ws("/", x["text"], box(x["bbox"]))).alias("ocr"),
+        text("analysis.enrichment.actions", lambda x: x["label"]).alias("actions"),
+        text("analysis.enrichment.poses", lambda x: F.concat(x["track_id"], F.lit(":"), F.array_join(F.transform(x["keypoints"], point), " "))).alias("poses"),
+        F.col("analysis.enrichment.camera_motion.label").alias("motion"), F.col("analysis.enrichment.quality.is_blurry").alias("is_blurry"),
+        text("metadata.evidence_anchors", lambda x: F.concat(box(x["bbox"]), F.lit("="), x["text_span"])).alias("anchors"),
+        F.concat_ws("|", f"{p}.job_id", F.col(f"{p}.scene_id").cast("string"), F.col(f"{p}.frame_id").cast("string"), f"{p}.timestamp", f"{p}.source_artifact_key").alias("provenance"),
+        F.array_join(F.transform("metadata.model_provenance", lambda x: F.concat_ws(":", x["component"], x["model_id"], x["version"], F.coalesce(x["threshold"].cast("string"), F.lit("-")))), ",").alias("models"),
+        F.col("analysis_artifacts.json").alias("json_url"), F.size("files").alias("n_files"),
+    )
+
+
+@query("select job_id, start_sec, end_sec, row_number() over (partition by job_id order by start_sec, end_sec) - 1 as scene_id from media_scenes")
+def scene_ordinals(m: Media) -> DataFrame:
+    # Scenes come in no order of time.
+    return scenes.numbered_scenes(m.scenes.drop("scene_id").repartition(3, "end_sec"))
+
+
 @query("""select page_id, case page_id % 4 when 0 then 'mov' when 1 then 'mp4' when 2 then 'mp4' else 'tgz' end as extension, case page_id % 4 when 0 then 'video/quicktime' when 3 then 'application/x-tar' else 'video/mp4' end as content_type from pages""", media=False)
 def source_names(m: Media) -> DataFrame:
     p = F.col("page_id")
@@ -641,10 +700,99 @@ def empty_scene_fallback(m: Media) -> DataFrame:
     return out.select("job_id", "status", n("scene_narratives", "n_narratives"), n("entities", "n_entities"), n("chunks", "n_chunks"), F.array_join(F.array_distinct("chunks.kind"), ",").alias("kinds"))
 
 
-@query(NARRATIVE_SQL + """select job_id, scene_id, unnest([concat('jobs/', job_id, '/scene/narratives/scene_', scene_id, '.json'), concat('jobs/', job_id, '/corpus/graph/scene_', scene_id, '.json'), concat('jobs/', job_id, '/corpus/rag/scene_', scene_id, '.json')]) as key, narrative from told""")
+#: Every field of the objects that belong to narratives; ``corpus_entities`` and the like check how evidence is chosen, here it is compared as text.
+ARTIFACT_SQL = NARRATIVE_SQL + CORPUS_SQL.replace("seen as", "sighted as").replace("from seen", "from sighted").replace("entities as", "known as").replace("join entities", "join known") + f""",
+ev as (select *, concat(entity_type, '_observed') as event_type, {_id('event', 'job_id', 'scene_id', "concat(entity_type, '_observed')", 'entity_id')} as event_id from known),
+pr as (select job_id, scene_id, entity_type, key, list((frame_id, ts_sec, label) order by seq)[1:5] as proof from sighted group by all),
+el as (select job_id, scene_id, string_agg(concat_ws(':', entity_id, label, entity_type, count, cast(round(confidence * 1e6) as bigint), cast(first_seen as bigint), cast(last_seen as bigint), cast(greatest(0, last_seen - first_seen) as bigint), key, array_to_string(list_transform(proof, lambda x: concat(x[1], '@', cast(x[2] as bigint), '@', x[3])), '+')), ';' order by count desc, label, entity_id) as entities
+       from known join pr using (job_id, scene_id, entity_type, key) group by all),
+vl as (select job_id, scene_id, string_agg(concat_ws(':', event_id, event_type, count, cast(first_seen as bigint), cast(last_seen as bigint), least(3, count)), ';' order by count desc, event_type, event_id) as events from ev group by all),
+rl as (select job_id, scene_id, string_agg(concat_ws(':', {_id('relation', 'job_id', 'scene_id', 'source_entity_id', "'co_occurs_with'", 'target_entity_id')}, source_entity_id, 'co_occurs_with', target_entity_id, count, cast(greatest(start_sec, first) as bigint), cast(least(end_sec, last) as bigint), least(5, count)), ';' order by count desc, source_entity_id, target_entity_id) as relations from related group by all),
+listed as (select job_id, scene_id, label, entity_id, concat(entity_type, '_observed') as event_type, row_number() over (partition by job_id, scene_id order by count desc, label, entity_id) as rn from known),
+texts as (select s.job_id, s.scene_id, s.start_sec, s.end_sec, concat('Scene ', s.scene_id, ' (', cast(s.start_sec as decimal(18, 2)), 's-', cast(s.end_sec as decimal(18, 2)), 's) entities: ',
+   coalesce(string_agg(label, ', ' order by rn) filter (rn <= 6), 'none'), '. Events: ', coalesce(string_agg(event_type, ', ' order by rn) filter (rn <= 6), 'none'), '.') as text, coalesce(string_agg(entity_id, ',' order by rn) filter (rn <= 8), '') as sources
+   from media_scenes s left join listed l using (job_id, scene_id) group by s.job_id, s.scene_id, s.start_sec, s.end_sec),
+cl as (select job_id, scene_id, concat_ws('|', {_id('chunk', 'job_id', 'scene_id', 'text')}, text, sources, concat('jobs/', job_id, '/scene/packets/scene_', scene_id, '.json'), cast(start_sec as bigint), cast(end_sec as bigint)) as chunks from texts),
+keyed as (select job_id, scene_id, concat('jobs/', job_id, '/corpus/graph/scene_', scene_id, '.json') as graph, concat('jobs/', job_id, '/corpus/rag/scene_', scene_id, '.json') as rag from told)
+select job_id, scene_id, concat('jobs/', job_id, '/scene/narratives/scene_', scene_id, '.json') as key, concat_ws('#', cast(start_sec as bigint), cast(end_sec as bigint), narrative, key_moments, concat('jobs/', job_id, '/scene/packets/scene_', scene_id, '.json')) as said,
+  null::varchar as entities, null::varchar as events, null::varchar as relations, null::varchar as chunks, null::varchar as artifacts from told
+union all select job_id, scene_id, k.key, null, coalesce(entities, ''), coalesce(events, ''), coalesce(relations, ''), coalesce(chunks, ''), concat(graph, ',', rag)
+from (select job_id, scene_id, graph, rag, unnest([graph, rag]) as key from keyed) k left join el using (job_id, scene_id) left join vl using (job_id, scene_id) left join rl using (job_id, scene_id) left join cl using (job_id, scene_id)"""
+EVIDENCE_JSON = "array<struct<frame_id:bigint,timestamp:string,artifact_key:string,bbox:array<bigint>,text_span:string>>"
+BODY_JSON = (
+    "struct<scene_id:bigint,start_sec:double,end_sec:double,narrative_paragraph:string,key_moments:array<string>,packet:string,"
+    f"entities:array<struct<entity_id:string,label:string,entity_type:string,count:bigint,confidence:double,temporal_span:struct<first_seen:double,last_seen:double,duration_sec:double>,track_id:string,identity_id:string,evidence:{EVIDENCE_JSON}>>,"
+    f"events:array<struct<event_id:string,event_type:string,count:bigint,temporal_span:struct<first_seen:double,last_seen:double,duration_sec:double>,evidence:{EVIDENCE_JSON}>>,"
+    f"relations:array<struct<relation_id:string,source_entity_id:string,predicate:string,target_entity_id:string,count:bigint,temporal_span:struct<first_seen:double,last_seen:double,duration_sec:double>,evidence:{EVIDENCE_JSON}>>,"
+    "retrieval_chunks:array<struct<chunk_id:string,text:string,artifact_keys:array<string>,source_entity_ids:array<string>,temporal_span:struct<first_seen:double,last_seen:double,duration_sec:double>>>,artifacts:struct<graph_bundle:string,retrieval_bundle:string>>"
+)
+
+
+def _bodies(objects: DataFrame) -> DataFrame:
+    """Artifact bodies parsed, each list as one text."""
+    p = objects.withColumn("p", F.from_json("body", BODY_JSON))
+    whole = lambda c: c.cast("long").cast("string")
+    text = lambda *cs: F.concat_ws(":", *cs)
+    span = lambda x: [whole(x["temporal_span"][c]) for c in ("first_seen", "last_seen")]
+    listed = lambda name, f: F.when(F.col(f"p.{name}").isNotNull(), F.array_join(F.transform(f"p.{name}", f), ";")).alias(name)
+    proof = lambda x: F.array_join(F.transform(x["evidence"], lambda e: F.concat_ws("@", e["frame_id"].cast("string"), whole(timecode.parse_timecode(e["timestamp"])), e["text_span"])), "+")
+    said = F.when(F.col("p.narrative_paragraph").isNotNull(), F.concat_ws("#", whole(F.col("p.start_sec")), whole(F.col("p.end_sec")), "p.narrative_paragraph", F.array_join("p.key_moments", "|"), "p.packet"))
+    chunk = lambda x: F.concat_ws("|", x["chunk_id"], x["text"], F.array_join(x["source_entity_ids"], ","), F.array_join(x["artifact_keys"], ","), *span(x))
+    return p.select(
+        "job_id", "scene_id", "key", said.alias("said"),
+        listed("entities", lambda x: text(x["entity_id"], x["label"], x["entity_type"], x["count"].cast("string"), whole(F.round(x["confidence"] * 1e6)), *span(x), whole(x["temporal_span"]["duration_sec"]), F.coalesce(x["track_id"], x["identity_id"]), proof(x))),
+        listed("events", lambda x: text(x["event_id"], x["event_type"], x["count"].cast("string"), *span(x), F.size(x["evidence"]).cast("string"))),
+        listed("relations", lambda x: text(x["relation_id"], x["source_entity_id"], x["predicate"], x["target_entity_id"], x["count"].cast("string"), *span(x), F.size(x["evidence"]).cast("string"))),
+        F.when(F.col("p.retrieval_chunks").isNotNull(), F.array_join(F.transform("p.retrieval_chunks", chunk), ";")).alias("chunks"),
+        F.when(F.col("p.artifacts").isNotNull(), F.concat_ws(",", "p.artifacts.graph_bundle", "p.artifacts.retrieval_bundle")).alias("artifacts"),
+    )
+
+
+@query(ARTIFACT_SQL)
 def narrative_artifacts(m: Media) -> DataFrame:
-    out = jobs.narrative_artifacts(_narratives(m)[0])
-    return out.select("job_id", "scene_id", "key", F.get_json_object("body", "$.narrative").alias("narrative"))
+    return _bodies(jobs.narrative_artifacts(_narratives(m)[0], jobs.corpus_of(_tables(m))))
+
+
+#: The rules of fusion, packets and corpus over the faces that identification named.
+_named_faces = lambda sql: sql.replace("media_faces", "id_faces")
+WHOLE_SQL = IDENTITY_SQL + """,
+id_faces as (select f.* exclude (video_person_id, identity_id, match_confidence), v.video_person_id, v.video_person_id as identity_id, 1.0::double as match_confidence from media_faces f join video_people v using (job_id, vec_id))
+""" + _named_faces(MATCH_SQL.replace("proof as", "track_proof as").replace("join proof", "join track_proof").replace("ranked as", "vote_ranks as").replace("from ranked", "from vote_ranks").replace("known as", "named as").replace("join known", "join named")) + _named_faces(ARTIFACT_SQL[: ARTIFACT_SQL.index("\nselect job_id, scene_id, concat('jobs/', job_id, '/scene/narratives/")]) + """,
+i as (select job_id, string_agg(concat(video_person_id, '=', n), ',' order by video_person_id) as identities from (select job_id, video_person_id, count(*) as n from scene_people join video_people using (job_id, vec_id) group by all) group by job_id),
+t as (select job_id, string_agg(concat(person_track_id, '=', coalesce(identity_id, '')), ',' order by person_track_id) as person_tracks from fused group by job_id),
+k as (select job_id, string_agg(entity_id, ',' order by scene_id, entity_id) as entity_ids, count(*) as n_entities from known group by job_id),
+g as (select job_id, count(*) as n_relations, sum(count) as n_pairs from related group by job_id),
+n as (select job_id, trim(string_agg(concat('[', cast(start_sec as decimal(18, 2)), '-', cast(end_sec as decimal(18, 2)), 's] ', narrative), ' ' order by start_sec, scene_id)) as synopsis, 3 * count(*) as n_objects from told group by job_id),
+h as (select job_id, string_agg(text, '~' order by scene_id) as chunks from texts group by job_id),
+m as (select job_id, count(person_track_id) as n_marked from media_detections d left join (select job_id, person_track_id, unnest(string_split(object_track_ids, ',')) as track_id from fused) f using (job_id, track_id) where label = 'person' group by job_id)
+select f.job_id, n_frames, coalesce(identities, '') as identities, coalesce(person_tracks, '') as person_tracks, coalesce(n_marked, 0) as n_marked, coalesce(entity_ids, '') as entity_ids, coalesce(n_entities, 0) as n_entities, coalesce(n_relations, 0) as n_relations,
+       cast(coalesce(n_pairs, 0) as bigint) as n_pairs, synopsis, n_objects, chunks
+from (select job_id, count(*) as n_frames from media_frames group by all) f left join i using (job_id) left join t using (job_id) left join k using (job_id) left join g using (job_id) left join n using (job_id) left join h using (job_id) left join m using (job_id)"""
+
+
+@query(WHOLE_SQL)
+def whole_job(m: Media) -> DataFrame:
+    """From observations to all results of every job, one row each."""
+    with jobs.whole(_tables(m), m.observations) as w:
+        joined = lambda rows, order, value, name: rows.groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, value.alias("v")))), lambda x: x["v"]), "~" if name == "chunks" else ",").alias(name))
+        count = lambda rows, name: rows.groupBy("job_id").agg(F.count(F.lit(1)).alias(name))
+        c = w.understanding.corpus
+        parts = [
+            joined(w.identities, ["video_person_id"], F.concat_ws("=", "video_person_id", F.col("cluster_size").cast("string")), "identities"),
+            joined(w.person_tracks, ["person_track_id"], F.concat("person_track_id", F.lit("="), F.coalesce("identity_id", F.lit(""))), "person_tracks"),
+            w.tables.detections.groupBy("job_id").agg(F.count("person_track_id").alias("n_marked")),
+            joined(c.entities, ["scene_id", "entity_id"], F.col("entity_id"), "entity_ids"),
+            count(c.entities, "n_entities"),
+            c.relations.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_relations"), F.sum("count").alias("n_pairs")),
+            w.understanding.synopses.select("job_id", "synopsis"),
+            count(w.artifacts, "n_objects"),
+            joined(c.scene_chunks, ["scene_id"], F.col("text"), "chunks"),
+        ]
+        out = count(w.documents, "n_frames")
+        for part in parts:
+            out = out.join(part, "job_id", "left")
+        out = out.fillna("", ["identities", "person_tracks", "entity_ids"]).fillna(0, ["n_marked", "n_entities", "n_relations", "n_pairs"])
+        return written(out, "whole-job", kept=True)
 
 
 @query("""select event_id, case event_id % 4 when 0 then 2 else 0 end as n_narratives, case event_id % 4 when 0 then event_type end as said from events""", media=False)

@@ -1,0 +1,77 @@
+"""Tables that later steps read more than once, on storage that the whole cluster shares."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import cache
+
+from pyspark.sql import DataFrame, SparkSession
+
+CHECKPOINT_DIR = "spark.checkpoint.dir"
+
+
+@cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-framelake-", dir="/tmp")
+
+
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A new folder below the cluster's shared checkpoint folder.
+
+    Only a local session without ``spark.checkpoint.dir`` (as in tests) gets a
+    temporary folder of its own; on a cluster, machines don't share such folders.
+    """
+    base = spark.conf.get(CHECKPOINT_DIR, None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that the whole cluster shares")
+        base = _own_dir()
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+#: The tables of each open scope, innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were written within, but for kept ones.
+
+    Rows that are still to be read afterwards must not need the others; kept
+    tables are left to the scope around this one, if there is any.
+    """
+    paths: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), paths))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, purpose: str, kept: bool = False) -> DataFrame:
+    """Writes the rows to shared storage once and reads them back.
+
+    This cuts the lineage without depending on any one executor; the shuffle
+    files of the write can go as soon as it is done. A kept table outlives the
+    scope it is written in.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    scopes = _SCOPES.get()[:-1] if kept else _SCOPES.get()
+    if scopes:
+        scopes[-1].append(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
