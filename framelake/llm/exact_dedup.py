@@ -1,6 +1,6 @@
 """Exact deduplication against a persistent digest index.
 
-The index is a Parquet table in the warehouse, bucketed and sorted by digest,
+The index is a Parquet table in the shared folder, bucketed and sorted by digest,
 with one row per distinct text: the digest, the document that stays, the number
 of rows that had this text when it entered and the batch that brought it. A
 batch's digests are checked by a sort-merge anti-join, for which the index is
@@ -27,7 +27,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import fresh_names, joined_by_key, partitions, written
+from framelake.llm.common import fresh_names, joined_by_key, partitions, shared_dir, written
 
 COLUMNS = "digest binary, keep_id bigint, group_size bigint, batch string"
 
@@ -43,7 +43,8 @@ class DigestIndex:
         self.spark = spark
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         if not spark.catalog.tableExists(self.name):
-            self._create(spark, self.name, buckets or partitions(spark))
+            # The session's warehouse may be a folder of the driver's machine only.
+            self._create(spark, self.name, buckets or partitions(spark), f"location '{shared_dir(spark, 'digest-index')}'")
         facts = spark.sql(f"describe extended {self.name}").where("col_name = 'Num Buckets'").first()
         self.buckets = int(facts["data_type"])
 
@@ -61,7 +62,11 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def drop(self) -> None:
+        """Deletes the table and its files."""
+        place = self.spark.sql(f"describe extended {self.name}").where("col_name = 'Location'").first()["data_type"]
         self.spark.sql(f"drop table if exists {self.name}")
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
     def unseen(self, groups: DataFrame) -> DataFrame:
         """The groups whose digest isn't in the index."""
@@ -128,7 +133,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns; of repeated rows one."""
+    """The rows that stay, with all their columns; of those that share doc_id and text the first by their other columns as JSON."""
     _, verdicts = _ingested(docs)
     digest, keep_id, own, copies = fresh_names(docs, "digest", "keep_id", "own", "copies")
     verdicts = verdicts.withColumnsRenamed({"digest": digest, "keep_id": keep_id, "own": own, "top_copies": copies})
@@ -137,4 +142,7 @@ def keep_distinct(docs: DataFrame) -> DataFrame:
     if verdicts.where(F.col(copies) > 1).isEmpty():
         return stays.select(*docs.columns)
     once = stays.where(F.col(copies) == 1)
-    return once.unionByName(stays.where(F.col(copies) > 1).dropDuplicates([digest])).select(*docs.columns)
+    rest = [c for c in docs.columns if c.lower() != "text"]
+    first = F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*rest))).alias(keep_id)
+    again = stays.where(F.col(copies) > 1).groupBy(digest).agg(first).select(f"{keep_id}.*")
+    return once.select(*docs.columns).unionByName(again)

@@ -198,7 +198,8 @@ def _bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _bucket_column(buckets: int) -> Column:
-    doc = F.coalesce("doc_id", F.lit(0))
+    # Rows without a doc_id are compared with nothing, so any bucket will do.
+    doc = F.coalesce("doc_id", F.monotonically_increasing_id())
     return F.pmod(doc.bitwiseXOR(F.shiftright(doc, 17)), F.lit(buckets)).cast("long")
 
 

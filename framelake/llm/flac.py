@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.llm.common import written
 from framelake.llm.tokens import text_bytes
 
 BLOCK = 1152
@@ -517,7 +518,7 @@ def digest(docs: DataFrame) -> DataFrame:
     """Stores every text of documents as FLAC, reads the streams back and describes them."""
     payload = docs.select("doc_id", padded(F.col("text")).alias("payload"), F.octet_length(F.coalesce("text", F.lit(""))).alias("n"))
     key = F.struct(F.col("doc_id"), F.col("n").cast("long").alias("n_bytes"))
-    stored = encode(payload.select(key.alias("key"), "payload"), "payload", "key")
+    stored = written(encode(payload.select(key.alias("key"), "payload"), "payload", "key"), "flac-media")
     d = decode(stored)
     shown = F.format_string("blocks=%d;peak=%d;turns=%d;energy=%d", F.size("blocks"), "peak", "crossings", "energy")
     return d.select(

@@ -35,7 +35,41 @@ from framelake.llm.tokens import ALPHANUMERIC, chunks, split_words
 
 #: Phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Wordings of licence notices and their labels.
+#: Whole texts and headers of public licences, words only.
+MIT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+    "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+    "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software "
+    "or the use or other dealings in the software"
+)
+ISC = (
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence "
+    "or other tortious action arising out of or in connection with the use or performance of this software"
+)
+BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services "
+    "loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise "
+    "arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+APACHE = (
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+    "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+    "without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"
+)
+GPL = (
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license "
+    "or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose "
+    "see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program if not see http www gnu org licenses"
+)
+#: Wordings of licence notices, and whole texts, with their labels.
 TEMPLATES = (
     ("this work is licensed under the gnu general public license version 3", "gpl"),
     ("licensed under the apache license version 2 0", "apache"),
@@ -46,11 +80,14 @@ TEMPLATES = (
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
     ("subject to the terms of the mozilla public license", "mpl"),
     ("all rights reserved", "reserved"),
+    (MIT, "mit"),
+    (ISC, "isc"),
+    (BSD, "bsd"),
+    (APACHE, "apache"),
+    (GPL, "gpl"),
 )
 #: Least words of a block.
 BLOCK = 32
-#: How far apart the blocks of the query's SQL start; the scan itself starts one at every word.
-STRIDE = 16
 THRESHOLD = 0.8
 MAX_WORDS = 100_000
 

@@ -9,7 +9,8 @@ seeded hash until the target is met, the last of them in part.
 
 Defined cases: a null text has size 0; rows with a null source form a source of
 their own, ordered last; a source without words has target 0; a null doc_id
-hashes like the text 'null'; repeated rows are documents of their own; texts are
+hashes like the text 'null'; repeated rows are documents of their own, and rows
+that share a doc_id but not the text go in the order of its hash; texts are
 counted where they lie, however long; an empty table gives no rows. Sources are
 as many as fit one sort (one row each), documents of a source any number. Other
 columns, whatever their names, are not looked at.
@@ -76,7 +77,7 @@ def _placed(docs: DataFrame, seed: str, max_epochs: int) -> DataFrame:
     starts = slices.withColumn("slice_start", F.coalesce(F.sum("slice_size").over(up_to), F.lit(0)))
     plan = starts.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "slice_size")
     plan = plan.withColumnsRenamed({"source": "s", "slice": "sl"})
-    within = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("sl")))
     words = F.floor("target").cast("long")

@@ -32,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import fresh_names
+from framelake.llm.common import fresh_names, scratch, written
 from framelake.llm.tokens import chunks, split_words, window_hashes
 
 SAMPLE_ROWS = 4096
+#: Most bytes of feature numbers, four for each feature of a document, that go to the driver.
+SAMPLE_BYTES = 128 << 20
 WORD_BITS = 17
 PAIRS = 1 << 16
 REPEATS = PAIRS + (1 << WORD_BITS)
@@ -165,8 +167,11 @@ def fit(rows: list[np.ndarray], label: np.ndarray, seed: int = 1) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on the driver; it gets the feature numbers of at most ``sample_rows`` documents."""
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fits on the driver; it gets the feature numbers of at most ``sample_rows`` documents, and of so many of these, in the order of a hash, as have ``sample_bytes`` of them.
+
+    Texts are turned into features where they lie; only keys and sizes are sorted.
+    """
     label = F.col(label_col).cast("int").alias("label")
     usable = labels.select("doc_id", label).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
@@ -176,12 +181,26 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [f.astype("<i4").tobytes() for f in features(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary())], ["doc_id", "label", "found"])
-
-    # A doc_id may be in many rows, so the bound holds once more after the join.
-    texts = texts.select(F.col("doc_id").cast("long"), "text", "label")
-    texts = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "label", F.xxhash64("text")).limit(sample_rows)
-    rows = texts.mapInArrow(run, "doc_id long, label int, found binary").collect()
+            columns = [b.column(0), b.column(2), b.column(3), pa.array([len(f) for f in found], pa.int64()), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "text_hash", "bytes", "found"])
+
+    texts = texts.select(F.col("doc_id").cast("long"), "text", "label", F.xxhash64("text").alias("text_hash"))
+    key = ["doc_id", "label", "text_hash"]
+    with scratch(docs.sparkSession):
+        made = written(texts.mapInArrow(run, "doc_id long, label int, text_hash long, bytes long, found binary"), "quality-features")
+        # A doc_id may be in many rows, so the bound holds once more after the join.
+        sizes = made.select(*key, "bytes").orderBy(F.xxhash64("doc_id"), *key).limit(sample_rows).collect()
+        total, kept = 0, []
+        for r in sizes:
+            total += r.bytes
+            if total > sample_bytes and kept:
+                break
+            kept.append((r.doc_id, r.label, r.text_hash))
+        chosen = F.broadcast(docs.sparkSession.createDataFrame(sorted(set(kept)), "doc_id long, label int, text_hash long"))
+        # As many rows of a key as the sample has of it.
+        times = {k: kept.count(k) for k in set(kept)} if len(set(kept)) < len(kept) else {}
+        once = made.join(chosen, key, "left_semi").dropDuplicates(key).collect()
+    rows = [r for r in once for _ in range(times.get((r.doc_id, r.label, r.text_hash), 1))]
     rows.sort(key=lambda r: (_spread(r.doc_id), r.doc_id, r.label, bytes(r.found)))
     return fit([np.frombuffer(r.found, "<i4").astype(np.int64) for r in rows], np.array([r.label for r in rows], dtype=np.int64))
 

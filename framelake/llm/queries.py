@@ -151,11 +151,15 @@ def _license_sql() -> str:
     return rf"""
 with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
 phrases as (select * from (values {phrases}) v(phrase, label)),
-templates as (select list_distinct(t) as t, label from (values {templates}) v(t, label)),
+templates as (select list_distinct(t) as t, len(t) as raw, label from (values {templates}) v(t, label)),
 places as (select doc_id, i - 1 as start, label from (select doc_id, words, unnest(generate_series(1, len(words))) as i from w), phrases where words[i : i + len(phrase) - 1] = phrase),
 base as (select doc_id, count(*) as n, min(start) as first_word, max(start) as last_word, list(label) as labels from places group by doc_id),
-blocks as (select doc_id, words[i * {licenses.STRIDE} + 1 : i * {licenses.STRIDE} + {licenses.BLOCK}] as b from (select doc_id, words, unnest(range(0, (len(words) + {licenses.STRIDE - 1}) // {licenses.STRIDE})) as i from w)),
-met as (select doc_id, label, len(list_intersect(t, b)) / len(t) as share from blocks, templates where len(list_intersect(t, b)) >= ceil({licenses.THRESHOLD} * len(t) - 1e-9)),
+-- The best block of a template starts at one of its words: another holds no more of them than the one that starts at its first.
+words_of as (select tid, label, n, unnest(t) as word from (select row_number() over () as tid, label, t, greatest({licenses.BLOCK}, 2 * raw) as n from templates)),
+needs as (select tid, count(*) as size, any_value(n) as reach, any_value(label) as label from words_of group by tid),
+held as (select doc_id, tid, word, i, i // n as cell, n from (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as i from w) join words_of using (word)),
+pairs as (select a.doc_id, a.tid, a.i, count(distinct b.word) as c from (select *, unnest([cell, cell + 1]) as near from held) a join held b on a.doc_id = b.doc_id and a.tid = b.tid and a.near = b.cell and b.i >= a.i and b.i < a.i + a.n group by all),
+met as (select doc_id, label, max(c) / size as share from pairs join needs using (tid) group by doc_id, tid, label, size having max(c) >= ceil({licenses.THRESHOLD} * size - 1e-9)),
 own as (select doc_id, list(label) as labels, max(share) as share from met group by doc_id)
 select w.doc_id, len(words) as n_words, coalesce(n, 0) as n_base, first_word, last_word, coalesce(array_to_string(list_sort(list_distinct(base.labels)), ','), '') as base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ','), '') as labels,

@@ -25,11 +25,12 @@ def brute(text: str | None) -> tuple:
         p = phrase.split()
         places += [(i, label) for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
     found, best = set(), 0.0
-    for start in range(0, max(len(w), 1), licenses.STRIDE):
-        block = set(w[start : start + licenses.BLOCK])
-        for text, label in licenses.TEMPLATES:
-            t = set(text.split())
-            share = len(t & block) / len(t)
+    for template, label in licenses.TEMPLATES:
+        t, length = set(template.split()), max(licenses.BLOCK, 2 * len(template.split()))
+        if len(t & set(w)) < licenses.THRESHOLD * len(t) - 1e-9:
+            continue
+        for start in range(max(len(w), 1)):
+            share = len(t & set(w[start : start + length])) / len(t)
             if share >= licenses.THRESHOLD:
                 found.add(label)
                 best = max(best, share)
