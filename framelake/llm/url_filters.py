@@ -17,10 +17,11 @@ THRESHOLD percent of what reaches it. Mass is counted in whole units and divided
 without remainder, so results don't depend on the order of sums. Mass of a host
 without edges stays out of the walk.
 
-Everything is DataFrame functions. Hosts that are sources of a thousandth of all
-edges (so at most a thousand) get their mass to the edges by broadcast, others by
-shuffle; sums over targets and pages of a host are combined before the shuffle.
-Each CUT rounds the masses are written to shared storage.
+Everything is DataFrame functions. The edges of a host that is the source of a
+thousandth of all edges or more (so at most a thousand hosts) are dealt over salts,
+and its mass is sent to each of these; sums over targets and pages of a host are
+combined before the shuffle. Each CUT rounds the masses are written to shared
+storage.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, no
 rule and no edges, and is allowed; a null html has no links; rows that repeat count
@@ -116,19 +117,21 @@ def walked(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: in
     kinds = {"trust": ("src", "dst"), "neutral": ("src", "dst"), "distrust": ("dst", "src")}
     both = [edges.select(F.lit(k).alias("kind"), F.col(a).alias("host"), F.col(b).alias("to")) for k, (a, b) in kinds.items()]
     steps = both[0].unionByName(both[1]).unionByName(both[2])
-    degrees = written(steps.groupBy("kind", "host").agg(F.count(F.lit(1)).alias("degree")), "url-degrees")
-    total = degrees.agg(F.sum("degree")).first()[0] or 0
-    is_hot = F.col("degree") * HOT_SHARE >= total
-    hot_names = degrees.where(is_hot).select("kind", "host")
-    hot_steps = steps.join(F.broadcast(hot_names), ["kind", "host"], "left_semi")
-    cold_steps = steps.join(F.broadcast(hot_names), ["kind", "host"], "left_anti")
+    degrees = steps.groupBy("kind", "host").agg(F.count(F.lit(1)).alias("degree"))
+    degrees = written(degrees, "url-degrees")
+    total = degrees.agg(F.sum("degree")).first()[0] or 1
+    # Edges of a host with many are dealt over as many salts as it has thousandths of all edges; all salts together are hosts and a thousand at most.
+    salts = F.expr(f"degree * {HOT_SHARE} div {total} + 1").alias("salts")
+    degrees = degrees.select("kind", "host", "degree", salts)
+    steps = joined_by_key(steps, degrees, ["kind", "host"], "degree").select("kind", "host", F.pmod(F.xxhash64("to"), "salts").alias("salt"), "to")
+    steps = written(steps, "url-steps")
     start = seeds.select("host", "kind", F.expr(f"mass * {100 - damping} div 100").alias("mass"))
     mass = seeds
     for done in range(1, rounds + 1):
         # What one edge of a host carries.
-        sent = mass.join(degrees, ["kind", "host"]).select("kind", "host", "degree", F.expr(f"mass * {damping} div (100 * degree)").alias("mass"))
-        moved = hot_steps.join(F.broadcast(sent.where(is_hot)), ["kind", "host"]).unionByName(cold_steps.join(sent.where(~is_hot), ["kind", "host"]))
-        moved = moved.select(F.col("to").alias("host"), "kind", "mass")
+        sent = mass.join(degrees, ["kind", "host"]).select("kind", "host", F.expr(f"mass * {damping} div (100 * degree)").alias("mass"), "salts")
+        sent = sent.select("kind", "host", "mass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+        moved = sent.join(steps, ["kind", "host", "salt"]).select(F.col("to").alias("host"), "kind", "mass")
         mass = moved.unionByName(start).groupBy("host", "kind").agg(F.sum("mass").alias("mass"))
         if done % CUT == 0 and done < rounds:
             mass = written(mass, "url-mass")
