@@ -15,8 +15,9 @@ Equal sets form a class, compared once, with an id of its own. The members of a
 key with more than SMALL of them are dealt into chunks of about CHUNK. Within a
 chunk, members gather around leaders, and pairs of a leader and a follower are
 verified and merged; a second turn deals them anew, so that chunks merge too. Only
-then are members of different components split by the rarest shingles of their
-sets: at 85 percent, two linked sets share one of the rarest 15 percent of either
+then are keys that still have several components compared in full, if they have
+PLACE members at most; the members of larger ones are split by the rarest shingles
+of their sets: at 85 percent, two linked sets share one of the rarest 15 percent of either
 (prefix filter), so only members with such a shingle in common meet, under length
 and position filters. At a shingle that many have, members outside its most
 frequent component are compared with all others, chunk by chunk. So every link
@@ -66,6 +67,8 @@ PERCENT = 85
 SMALL = 16
 #: Members of a larger key that are compared in one place, on average.
 CHUNK = 512
+#: Most members of a key that still has several components after the turns for all of them to be compared in one place.
+PLACE = 2048
 #: Turns of gathering around leaders.
 TURNS = 2
 #: Standard deviations by which an estimate may be too low.
@@ -258,8 +261,8 @@ class _Members:
         return i[keep], j[keep]
 
     def pairs(self, small: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Likely links within small places."""
-        for step in range(1, SMALL):
+        """Likely links within small places, all pairs of them."""
+        for step in range(1, int(self.size[small].max(initial=0))):
             i = np.flatnonzero(small[self.place[:-step]] & (self.place[:-step] == self.place[step:])) if step < len(self.place) else np.zeros(0, np.int64)
             if not len(i):
                 return
@@ -287,11 +290,14 @@ class _Members:
             yield self.likely(np.full(len(j), i), j, percent)
 
 
-def _compared(members: DataFrame, percent: int, across: bool) -> DataFrame:
-    """(a, b) pairs that are likely links, of members dealt by key and part."""
+def _compared(members: DataFrame, percent: int, how: str) -> DataFrame:
+    """(a, b) pairs that are likely links, of members dealt by key and part: ``pairs`` are all in a place, ``stars`` only those of leaders where a place isn't small, ``across`` those of its two sides."""
 
     def found(m: _Members) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if across:
+        if how == "pairs":
+            yield from m.pairs(m.size > 0, percent)
+            return
+        if how == "across":
             for place in range(len(m.first)):
                 yield from m.across(place, percent)
             return
@@ -338,9 +344,9 @@ def _classes(sketched: DataFrame) -> DataFrame:
     return of.withColumn("id", F.monotonically_increasing_id())
 
 
-def _dealt(member: DataFrame, facts: DataFrame, turn: int) -> DataFrame:
+def _dealt(member: DataFrame, facts: DataFrame, turn: int, most: int = CHUNK) -> DataFrame:
     """Members with what is known of them, in chunks that change from turn to turn."""
-    chunk = F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("size") / CHUNK))
+    chunk = F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("size") / most))
     rows = member.withColumn("part", chunk).withColumn("side", F.lit(0)).withColumn("rank", F.xxhash64("id", F.lit(-turn)))
     return rows.join(facts, "id")
 
@@ -385,8 +391,8 @@ def _rest_compared(now: DataFrame, facts: DataFrame, sets: DataFrame, percent: i
     zero = F.lit(0).cast("long")
     small = split.where(F.col("size") <= SMALL).withColumns({"part": zero, "side": F.lit(0), "rank": zero}).join(facts, "id")
     large = split.where(F.col("size") > SMALL)
-    found = _compared(known(small), percent, False)
-    return found if large.isEmpty() else found.unionByName(_compared(known(_sides(large, facts)), percent, True)).distinct()
+    found = _compared(known(small), percent, "pairs")
+    return found if large.isEmpty() else found.unionByName(_compared(known(_sides(large, facts)), percent, "across")).distinct()
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -412,8 +418,14 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) ->
             if open_keys.isEmpty():
                 break
             now = joined_by_key(now.drop("size"), open_keys, ["key"], "size")
-        pairs = _rest_compared(now, facts, sets, percent) if turn == TURNS else _compared(_dealt(now, facts, turn), percent, False)
-        new = _verified(pairs, sets, percent)
+        if turn < TURNS:
+            pairs = _compared(_dealt(now, facts, turn), percent, "stars")
+        else:
+            # Keys that fit one place compare all their members there, in time bounded for each; only larger ones are split.
+            fits = F.col("size") <= PLACE
+            pairs = _compared(_dealt(now.where(fits), facts, turn, PLACE), percent, "pairs")
+            if not open_keys.where(~fits).isEmpty():
+                pairs = pairs.unionByName(_rest_compared(now.where(~fits), facts, sets, percent)).distinct()
         if turn == TURNS:
             # One link between two components is enough.
             a, b = (labels.select(F.col("id").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")

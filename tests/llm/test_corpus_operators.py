@@ -435,7 +435,8 @@ def boilerplate(n: int) -> list[tuple]:
     return [(i, f"{shared} {parts[i]} {parts[i + 1]}", "s") for i in range(n)]
 
 
-def test_comparisons_of_a_hot_key_grow_in_proportion(spark):
+def test_comparisons_of_a_hot_key_grow_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(hyperminhash, "PLACE", 64)
     counted = {}
     for n in (500, 1000, 2000):
         docs = frame(spark, boilerplate(n))
@@ -447,8 +448,10 @@ def test_comparisons_of_a_hot_key_grow_in_proportion(spark):
     same(hyperminhash.near_dedup(docs).select("doc_id", "component_id"), [(i, i) for i in range(2000)])
 
 
-def test_near_dedup_of_texts_made_of_common_paragraphs(spark):
+@pytest.mark.parametrize("place", [64, 2048])
+def test_near_dedup_of_texts_made_of_common_paragraphs(spark, monkeypatch, place):
     """Documents of paragraphs that hundreds share, so that rare shingles don't split them all; links against all pairs."""
+    monkeypatch.setattr(hyperminhash, "PLACE", place)
     r = random.Random(17)
     pool = [" ".join(sentence(r, 12)) for _ in range(24)]
     rows = [(i, " ".join(pool[j] for j in sorted(r.sample(range(24), 16))), "s") for i in range(900)]
