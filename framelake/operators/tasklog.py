@@ -61,7 +61,8 @@ def _stepped(state: Column, x: Column, most: int) -> Column:
 
 
 def fold(rows: pd.DataFrame, most: int, state: tuple = (None, 0, None)) -> tuple:
-    for r in rows.drop_duplicates("seq").sort_values("seq").itertuples(index=False):
+    # Of transitions with one number, the first by operation and owner (without one before) counts, as in the batch.
+    for r in rows[rows["op"].isin(OPS)].sort_values(["seq", "op", "owner"], na_position="first").drop_duplicates("seq").itertuples(index=False):
         owner = None if pd.isna(r.owner) else r.owner
         state = step(state, r.op, owner, most)
     return state
