@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import ids
+from framelake.functions.canonical import canonical_json
 from framelake.functions.timecode import format_timecode
 
 #: Image modalities and the kind of frame image that shows each.
@@ -101,3 +102,9 @@ def packet_json(scenes: DataFrame, entities: DataFrame, events: DataFrame, total
     count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     body = F.struct((F.col("end_sec") - F.col("start_sec")).alias("duration_sec"), "end_sec", empty("entities"), empty("events"), count("faces_total"), "job_id", count("objects_total"), "scene_id", "start_sec", count("unique_labels"))
     return rows.select(*scene, F.to_json(body, {"ignoreNullFields": "false"}).alias("packet"))
+
+
+def packet_bytes(packets: DataFrame) -> DataFrame:
+    """Packets as bytes that don't depend on who wrote them, with their length and digest."""
+    out = packets.withColumn("packet", canonical_json(F.col("packet")))
+    return out.withColumns({"n_bytes": F.octet_length("packet").cast("long"), "packet_sha256": F.sha2("packet", 256)})

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import ids
@@ -212,3 +213,29 @@ def job_results(t: Tables, u: Understanding, states: DataFrame, job_id: str | No
         name = part.columns[1]
         out = out.join(part, "job_id", "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
     return out
+
+
+def result_items(w: Whole) -> DataFrame:
+    """(job_id, kind, pos, body) of everything whole jobs result in, one JSON text an item, for ``results.pages``."""
+    c, said = w.understanding.corpus, w.understanding.narratives
+    url = results.to_url(ids.scene_key(F.col("job_id"), "packet", F.col("scene_id"))).alias("packet_url")
+    in_scene = lambda id_: F.format_string("%012d/%s", F.col("scene_id").cast("long"), F.col(id_))
+    number = lambda n: F.format_string("%020d", F.col(n).cast("long"))
+
+    def kind(rows: DataFrame, name: str, pos: Column, *more: Column) -> DataFrame:
+        return rows.select("job_id", F.lit(name).alias("kind"), pos.alias("pos"), F.to_json(F.struct(*(x for x in rows.columns if x != "job_id"), *more), {"ignoreNullFields": "false"}).alias("body"))
+
+    parts = [
+        kind(w.documents, "frame", number("frame_id")),
+        kind(said, "narrative", number("scene_id"), url),
+        kind(w.understanding.packets.packets, "packet", number("scene_id")),
+        kind(w.understanding.synopses, "synopsis", F.lit("")),
+        kind(c.entities, "entity", in_scene("entity_id")),
+        kind(c.events, "event", in_scene("event_id")),
+        kind(c.relations, "relation", in_scene("relation_id")),
+        kind(c.chunks, "chunk", F.col("chunk_id")),
+        kind(w.identities, "identity", F.col("video_person_id")),
+        kind(w.person_tracks, "person_track", F.col("person_track_id")),
+        kind(w.artifacts.select("job_id", "key"), "artifact", F.col("key")),
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import ids
+from framelake.operators import contracts
 
 SCENE = ["job_id", "scene_id"]
 
@@ -73,7 +74,7 @@ def synopsis_by(narratives: DataFrame, refine: Callable[[str, dict], str], text:
 def narratives_by(packets: DataFrame, generate: Callable[[str], dict], retries: int = 2) -> DataFrame:
     """Narratives of (job_id, scene_id, packet, allowed_entities, allowed_events) by any client.
 
-    Output that isn't valid or claims what the packet lacks is generated again, up
+    Output that breaks its contract or claims what the packet lacks is generated again, up
     to ``retries`` times; then the row has the error instead of text.
     """
 
@@ -84,6 +85,9 @@ def narratives_by(packets: DataFrame, generate: Callable[[str], dict], retries:
             if not isinstance(out, dict) or not out.get("narrative_paragraph") or not out.get("key_moments"):
                 error = "incomplete output"
                 continue
+            if wrong := contracts.found(out, contracts.NARRATIVE):
+                error = "; ".join(f"{path}: {reason}" for path, reason in wrong)
+                continue
             extra = [x for x in out.get("mentioned_entities", []) if x not in row["allowed_entities"]]
             extra += [x for x in out.get("mentioned_events", []) if x not in row["allowed_events"]]
             if not extra:

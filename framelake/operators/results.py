@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import ids
 from framelake.functions.timecode import format_timecode
+from framelake.operators import sequences
 from framelake.operators.firsts import first_k
+from framelake.shared import written
 
 
 def is_object_key(value: Column) -> Column:
@@ -181,3 +183,57 @@ def readable_results(states: DataFrame, view: DataFrame, job_id: str | None = No
     error = F.when(F.col("status") == "failed", F.coalesce("error", F.lit("Unknown error")))
     coded = jobs.select("job_id", F.when(done, 200).otherwise(409).alias("code"), detail.alias("detail"), error.alias("error"))
     return coded.where("code = 200").join(view, "job_id", "left").unionByName(coded.where("code <> 200"), allowMissingColumns=True)
+
+
+def document_rules() -> dict[str, Column]:
+    """What is wrong with a frame's document, as rules of its columns."""
+    flat = lambda b: (F.size(b) != 4) | (b[0] >= b[2]) | (b[1] >= b[3])
+    faces, seen = F.col("analysis.face_recognition"), F.col("analysis.object_detection")
+    ids_of = F.transform(faces, lambda x: x["face_id"])
+    anchored = F.size(seen) + F.size(faces) + F.size("analysis.enrichment.ocr_blocks")
+    outside = lambda c: F.coalesce((c < 0) | (c > 1), F.lit(False))
+    return {
+        "no timestamp": F.coalesce(F.length("timestamp"), F.lit(0)) == 0,
+        "no JSON object": F.coalesce(F.length("analysis_artifacts.json"), F.lit(0)) == 0,
+        "empty box": F.exists(seen, lambda x: flat(x["box"])),
+        "empty face box": F.exists(faces, lambda x: flat(x["coordinates"])),
+        "confidence out of range": F.exists(seen, lambda x: outside(x["confidence"])),
+        "repeated face": F.size(F.array_distinct(ids_of)) != F.size(ids_of),
+        "anchors missing": F.size("metadata.evidence_anchors") != anchored,
+    }
+
+
+def pages(items: DataFrame, most_bytes: int = 1 << 20) -> DataFrame:
+    """(job_id, page, next_page, n_items, bytes, items) of items (job_id, kind, pos, body), in order of kind and pos.
+
+    kind and pos name an item of a job; pos is anything that sorts. A page has the
+    items whose first byte lies in its window of half of ``most_bytes``, so with
+    items of at most half a page no page is above ``most_bytes``; a longer item is
+    at most half a page less than its page. Where windows are is a running sum
+    over ranges of all items, so no task or row holds a job. Pages count from 0
+    without gaps, and next_page is null for a job's last one.
+    """
+    window = max(1, most_bytes // 2)
+    sized = items.select("job_id", "kind", "pos", "body", F.octet_length("body").cast("long").alias("size"))
+    ranges = sequences.in_ranges(sized, ["job_id"], ["kind", "pos"])
+    upto = sequences.running(ranges, ["job_id"], ["kind", "pos"], F.col("size"), "upto")
+    cut = upto.withColumn("window", F.floor((F.col("upto") - F.col("size")) / window))
+    listed = F.array_sort(F.collect_list(F.struct("kind", "pos", "body")))
+    made = written(cut.groupBy("job_id", "window").agg(F.count(F.lit(1)).alias("n_items"), F.sum("size").alias("bytes"), listed.alias("items")), "pages")
+    in_order = Window.partitionBy("job_id").orderBy("window")
+    numbers = made.select("job_id", "window", (F.row_number().over(in_order) - 1).cast("long").alias("page"), F.lead("window").over(in_order).isNotNull().alias("more"))
+    following = F.when(F.col("more"), F.col("page") + 1).alias("next_page")
+    return made.join(numbers, ["job_id", "window"]).select("job_id", "page", following, "n_items", "bytes", "items")
+
+
+def page(paged: DataFrame, job_id: str, token: int | None = None) -> DataFrame:
+    """One page of a job: its first, or that which a page before named as next; a read that prunes."""
+    return paged.where((F.col("job_id") == job_id) & (F.col("page") == (token or 0)))
+
+
+def page_summary(paged: DataFrame) -> DataFrame:
+    """(job_id, n_pages, n_items, bytes, kinds: items of each kind) for the head of a job's results."""
+    kinds = paged.select("job_id", F.explode("items.kind").alias("kind")).groupBy("job_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    by_kind = kinds.groupBy("job_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("kinds"))
+    sums = paged.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("n_items").alias("n_items"), F.sum("bytes").alias("bytes"))
+    return sums.join(by_kind, "job_id")

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import geometry, ids, timecode
-from framelake.operators import corpus, evidence, fusion, identity, jobs, narrative, normalize, plugins, results, retention, scenes, tasklog, tracking
-from framelake.sources import ingest, sinks
+from framelake.operators import contracts, corpus, evidence, fusion, identity, jobs, narrative, normalize, plugins, results, retention, scenes, tasklog, tracking
+from framelake.sources import checked, ingest, sinks
 from framelake.shared import written
 from framelake.sources.media import MEDIA_SQL, Media
 
@@ -947,6 +947,18 @@ def packet_json_fields(m: Media) -> DataFrame:
     return p.select("p.job_id", "p.scene_id", "p.start_sec", "p.end_sec", F.array_join(happened, ",").alias("events"), F.array_join(named, ",").alias("entities"))
 
 
+@query(PACKET_SQL.format(k=8) + """,
+e as (select job_id, scene_id, list({'count': n, 'entity_type': entity_type, 'name': name} order by rank) as entities from entities group by all),
+v as (select job_id, scene_id, list({'count': n, 'event': event, 'evidence': evidence} order by rank) as events from events_ranked where rank <= 8 group by all),
+p as (select job_id, scene_id, cast(to_json({'duration_sec': end_sec - start_sec, 'end_sec': end_sec, 'entities': coalesce(entities, []), 'events': coalesce(events, []), 'faces_total': coalesce(faces_total, 0),
+ 'job_id': job_id, 'objects_total': coalesce(objects_total, 0), 'scene_id': scene_id, 'start_sec': start_sec, 'unique_labels': coalesce(unique_labels, 0)}) as varchar) as packet
+ from media_scenes left join e using (job_id, scene_id) left join v using (job_id, scene_id) left join totals using (job_id, scene_id))
+select job_id, scene_id, packet, cast(octet_length(encode(packet)) as bigint) as n_bytes, sha256(packet) as packet_sha256 from p""")
+def packet_bytes(m: Media) -> DataFrame:
+    e = _packets(m, 8)
+    return evidence.packet_bytes(evidence.packet_json(m.scenes, e, scenes.event_counts(e), scenes.scene_totals(e)))
+
+
 @query(EVIDENCE_SQL + """, o as (select *, row_number() over (partition by job_id, scene_id order by frame_id, modality) as rn, count(*) over (partition by job_id, scene_id) as n from named)
 select s.job_id, s.scene_id, 1 + 2 * coalesce(max(n), 0) as n_messages, concat('You describe one scene of a recording.\n\nUse only what the packet and its evidence show.\n\nWrite one short paragraph in order of time.\n\nAnswer with JSON: narrative_paragraph, key_moments, mentioned_entities, mentioned_events.\n\nProfile v2. Packet:\n{"scene": ', s.scene_id, '}') as head,
  max(case when rn = 1 then concat('Evidence ', evidence_id, ' ', json_artifact_key) end) as first_text, max(case when rn = n then image_uri end) as last_image
@@ -981,6 +993,29 @@ def narratives_by_client(m: Media) -> DataFrame:
     return narrative.narratives_by(packets, client).withColumn("key_moments", F.array_join("key_moments", ","))
 
 
+def _list_problems(f: str, least: int, missing: str) -> str:
+    return f"""case when json_extract(a, '$.{f}') is null then {missing} when json_type(a, '$.{f}') <> 'ARRAY' then '{f}: not a list' when json_array_length(a, '$.{f}') < {least} then '{f}: fewer than {least}'
+ else nullif(array_to_string(list_filter(list_transform(json_extract(a, '$.{f}[*]'), lambda x, i: case when json_type(x) <> 'VARCHAR' then concat('{f}[', i - 1, ']: not a text') end), lambda x: x is not null), '; '), '') end"""
+
+
+#: Answers of a model, whole and malformed, made of a scene's first entities; the same text in both dialects.
+ANSWER = """concat(case when scene_id % 13 = 0 then '[' else '' end, '{"narrative_paragraph": ', case when scene_id % 4 = 0 then 'null' when scene_id % 4 = 1 then '12' else concat('"', name, '"') end,
+ case when n % 5 = 0 then '' when n % 5 = 1 then ', "key_moments": []' when n % 5 = 2 then ', "key_moments": "later"' when n % 5 = 3 then concat(', "key_moments": ["', name, '", ', n, ', null]') else concat(', "key_moments": ["', name, '"]') end,
+ case when (scene_id + frames) % 3 = 0 then ', "mentioned_entities": null' when (scene_id + frames) % 3 = 1 then concat(', "mentioned_entities": ["', name, '", {"n": 1}]') else '' end, case when scene_id % 11 = 0 then '' else '}' end, case when scene_id % 13 = 0 then ']' else '' end)"""
+
+
+@query(PACKET_SQL.format(k=1) + f""", f as (select job_id, scene_id, count(distinct frame_id) as frames from media_base group by all),
+x as (select job_id, scene_id, {ANSWER} as a from entities join f using (job_id, scene_id))
+select job_id, scene_id, case when not json_valid(a) then '$: not JSON' when json_type(a) <> 'OBJECT' then '$: not an object' else nullif(concat_ws('; ',
+ case json_type(a, '$.narrative_paragraph') when 'VARCHAR' then null else 'narrative_paragraph: not a text' end,
+ {_list_problems("key_moments", 1, "'key_moments: missing'")}, {_list_problems("mentioned_entities", 0, "null")}), '') end as problems from x""")
+def narrative_contract(m: Media) -> DataFrame:
+    """What is wrong with models' answers, by the path of each fault."""
+    frames = m.base.groupBy("job_id", "scene_id").agg(F.countDistinct("frame_id").alias("frames"))
+    answers = _packets(m, 1).join(frames, ["job_id", "scene_id"]).select("job_id", "scene_id", F.expr(ANSWER).alias("answer"))
+    return answers.select("job_id", "scene_id", contracts.told(contracts.problems(F.col("answer"), contracts.NARRATIVE)).alias("problems"))
+
+
 @query("""select event_id, concat('said ', event_type) as text, case when event_id % 2 = 0 then true end as is_blurry, 0 as n_actions from events""", media=False)
 def enrichment_gather(m: Media) -> DataFrame:
     # Two of the five enrichers are registered, here as plain expressions.
@@ -1067,3 +1102,32 @@ def readable_results(m: Media) -> DataFrame:
     status = F.element_at(F.array(*map(F.lit, ("completed", "processing", "failed"))), (u % 3 + 1).cast("int"))
     states = known.select("job_id", status.alias("status"), F.when(u % 2 == 0, "lost").alias("error"))
     return results.readable_results(states, known.where("user_id % 2 = 0").select("job_id", u.alias("frames")))
+
+
+@query("""select f.job_id, f.frame_id, concat_ws(',', case when count(d.event_id) filter (where d.event_id % 9 = 0) > 0 then 'empty box' end, case when count(d.event_id) filter (where d.event_id % 7 = 0) > 0 then 'confidence out of range' end) as broken,
+case when count(d.event_id) filter (where d.event_id % 9 = 0 or d.event_id % 7 = 0) > 0 then 'quarantine/' else '' end || concat('jobs/', f.job_id, '/analysis/json/frame_', f.frame_id, '.json') as key
+from media_frames f left join media_detections d on d.job_id = f.job_id and d.frame_id = f.frame_id group by f.job_id, f.frame_id""")
+def frames_set_aside(m: Media) -> DataFrame:
+    """Documents of frames with boxes turned over and confidences in percent, sorted out as they would be written."""
+    e = F.col("event_id")
+    faulty = m.detections.withColumns({"x2": F.when(e % 9 == 0, F.col("x1")).otherwise(F.col("x2")), "confidence": F.when(e % 7 == 0, 100 * F.col("confidence")).otherwise(F.col("confidence"))})
+    documents = results.frame_documents(m.frames, faulty, m.faces, m.segments)
+    keyed = documents.withColumns({"key": ids.analysis_key(F.col("job_id"), F.col("frame_id")), "content": F.to_json("analysis")})
+    out = checked.sorted_out(keyed, results.document_rules())
+    part = lambda i: F.regexp_extract("key", r"jobs/([^/]+)/.*?(\d+)\.json$", i)
+    return out.select(part(1).alias("job_id"), part(2).cast("long").alias("frame_id"), F.array_join("broken", ",").alias("broken"), "key")
+
+
+@query(""",
+items as (select job_id, 'detection' as kind, event_id as pos, concat(label, ' ', x1, ',', y1, ' ', track_id) as body from media_detections
+ union all select job_id, 'face', event_id, identity_id from media_faces),
+run as (select *, strlen(body) as size, sum(strlen(body)) over (partition by job_id order by kind, pos rows unbounded preceding) as upto from items),
+cut as (select *, (upto - size) // 100 as win from run),
+num as (select *, dense_rank() over (partition by job_id order by win) - 1 as page from cut)
+select job_id, page, case when page < max(page) over (partition by job_id) then page + 1 end as next_page, count(*) as n_items, cast(sum(size) as bigint) as bytes, string_agg(body, '|' order by kind, pos) as items
+from num group by job_id, page""")
+def result_pages(m: Media) -> DataFrame:
+    label = F.concat("label", F.lit(" "), "x1", F.lit(","), "y1", F.lit(" "), "track_id")
+    of = lambda rows, kind, body: rows.select("job_id", F.lit(kind).alias("kind"), F.col("event_id").alias("pos"), body.alias("body"))
+    items = of(m.detections, "detection", label).unionByName(of(m.faces, "face", F.col("identity_id")))
+    return results.pages(items, 200).withColumn("items", F.array_join("items.body", "|"))
