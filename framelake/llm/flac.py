@@ -4,17 +4,18 @@
 every frame; ``decode`` parses streams, undoes Rice coding and linear prediction
 (constant, verbatim, fixed and LPC subframes, partitioned residuals, escape
 codes, wasted bits), verifies each frame's CRC-8 and CRC-16 and the stream's MD5,
-and returns PCM with the sample and byte offset of each block. All frames of a
-chunk are coded in step: one array operation handles the same bit field or
-sample of all frames, so no Python code runs for each sample.
+and returns PCM with the sample and byte offset of each block. Frames are coded
+in step, a chunk at a time, also within a stream: one array operation handles the
+same bit field or sample of all frames of the chunk, so no Python code runs for
+each sample, and the arrays don't grow with the stream.
 
 Defined cases: a null payload counts as empty; a stream of no samples has no
 frames; null media decode to null; a stream that is cut or fails a checksum
-raises ValueError. Repeated rows and null doc_ids pass through. A payload of n
-bytes takes about 60 n of memory in a worker; a seek table has room for 932,067
-frames (1 GB of samples), and longer streams have none and are decoded frame by
-frame. An empty table gives no rows. Other columns, whatever their names, are not
-looked at.
+raises ValueError. Repeated rows and null doc_ids pass through. Beside its arrays
+for a chunk a worker holds a payload or stream whole, a few times; a seek table
+has room for 932,067 frames (1 GB of samples), and longer streams have none and
+are decoded frame by frame, which takes about ten times their bytes. An empty
+table gives no rows. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ BLOCK = 1152
 RATE = 8000
 ORDER = 4
 PRECISION = 12
-#: Payload bytes coded together; the arrays of a chunk take about sixty times as much.
+#: Samples coded together; the arrays of a chunk take about ninety times as many bytes.
 CHUNK_BYTES = 2 << 20
 #: Fixed values of the format: block sizes by code, and predictors of order 0 to 4.
 BLOCK_SIZES = [0, 192, 576, 1152, 2304, 4608, 0, 0, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768]
@@ -170,13 +173,13 @@ def encode_batch(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     number = np.arange(len(stream)) - np.repeat(np.cumsum(counts) - counts, counts)
     begin = offsets[:-1][stream] + number * BLOCK
     length = np.minimum(offsets[1:][stream] - begin, BLOCK)
-    samples = data.astype(np.int64) - 128
     out: list[bytes] = [b""] * len(stream)
-    for n in np.unique(length):
-        own = np.flatnonzero(length == n)
+    for own in _chunks(length):
+        n = int(length[own[0]])
         if n <= ORDER:
             raise ValueError("blocks of so few samples aren't written; pad the payload")
-        values, bits = _frames(samples[begin[own][:, None] + np.arange(n)], number[own])
+        samples = data[begin[own][:, None] + np.arange(n)].astype(np.int64) - 128
+        values, bits = _frames(samples, number[own])
         ends = np.cumsum(bits, axis=1)
         frame_bytes = -(-ends[:, -1] // 8)
         starts = np.cumsum(frame_bytes) - frame_bytes
@@ -188,13 +191,21 @@ def encode_batch(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         for i, s, b, c in zip(own.tolist(), starts.tolist(), frame_bytes.tolist(), crc.tolist()):
             out[i] = raw[s : s + b] + struct.pack(">H", c)
     streams, at = [], 0
-    sampled = samples.astype(np.int8).tobytes()
     for i, n_frames in enumerate(counts.tolist()):
         frames, at = out[at : at + n_frames], at + n_frames
-        streams.append(_stream(frames, sampled[offsets[i] : offsets[i + 1]]))
+        # Flipping the top bit is taking 128 away, in two's complement.
+        streams.append(_stream(frames, (data[offsets[i] : offsets[i + 1]] ^ np.uint8(128)).tobytes()))
     return streams
 
 
+def _chunks(length: np.ndarray) -> Iterator[np.ndarray]:
+    """Frames of one length that are coded together."""
+    for n in np.unique(length).tolist():
+        own, step = np.flatnonzero(length == n), max(1, CHUNK_BYTES // n)
+        for i in range(0, len(own), step):
+            yield own[i : i + step]
+
+
 def _stream(frames: list[bytes], samples: bytes) -> bytes:
     lengths = [len(x) for x in frames]
     info = struct.pack(">HH", BLOCK, BLOCK) + min(lengths, default=0).to_bytes(3, "big") + max(lengths, default=0).to_bytes(3, "big")
@@ -396,40 +407,89 @@ def _metadata(media: bytes) -> tuple[int, int, bytes, list[int], int]:
     return (packed >> 36 & 31) + 1, total, info[18:34], every, at
 
 
+def _kinds(depth: int) -> tuple[str, str]:
+    """The type that samples are stored in, and the next wider one, in which they are handed on."""
+    return ("<i1", "<i2") if depth <= 8 else ("<i2", "<i4") if depth <= 16 else ("<i4", "<i8")
+
+
+def _spans(meta: list[tuple], sizes: list[int]) -> Iterator[list[tuple[int, int, int]]]:
+    """Frames with seek points, (stream, first byte, end), in lists of about CHUNK_BYTES samples."""
+    group, samples = [], 0
+    for i, (_, total, _, points, at) in enumerate(meta):
+        each = -(-total // max(1, len(points)))
+        for p, end in zip(points, [*(at + p for p in points[1:]), sizes[i]]):
+            group.append((i, at + p, end))
+            samples += each
+            if samples >= CHUNK_BYTES:
+                yield group
+                group, samples = [], 0
+    if group:
+        yield group
+
+
+def _cut(media: list[bytes], spans: list[tuple[int, int, int]]) -> tuple[_Bits, dict[int, int]]:
+    """The bytes of these spans in one buffer, and where in it each stream's first byte would be."""
+    pieces, base, size = [], {}, 0
+    for i, own in groupby(spans, key=itemgetter(0)):
+        own = list(own)
+        piece = media[i][own[0][1] : own[-1][2]]
+        base[i], size = size - own[0][1], size + len(piece)
+        pieces.append(piece)
+    return _Bits(np.frombuffer(b"".join(pieces), np.uint8)), base
+
+
 def decode_batch(media: list[bytes]) -> list[tuple[np.ndarray, list[tuple[int, int, int]]]]:
     """(samples, blocks) of each stream; a block is (first sample, samples, byte offset).
 
-    With a seek point for every frame, all frames of all streams are decoded in
-    step; else the first frames of all streams, then the second ones, and so on.
+    With a seek point for every frame, frames are decoded in step, a chunk at a
+    time; else the first frames of all such streams, then the second ones, and so on.
+    Samples have two, four or eight bytes, by the stream's depth.
     """
-    if not media:
-        return []
     meta = [_metadata(m) for m in media]
-    base = np.cumsum([0, *map(len, media)])
-    bits = _Bits(np.frombuffer(b"".join(media), np.uint8))
     got: list[list] = [[] for _ in media]
-    due = [(i, base[i] + m[4] + p) for i, m in enumerate(meta) for p in (m[3] or [0]) if m[1]]
-    while due:
-        stream = np.array([i for i, _ in due])
-        start = np.array([p for _, p in due], dtype=np.int64)
-        samples, _, ends = _decode_frames(bits, start, np.array([meta[i][0] for i in stream]))
-        for i, s, x in zip(stream.tolist(), start.tolist(), samples):
-            got[i].append((s - base[i], x))
-        done = [sum(len(x) for _, x in g) for g in got]
-        due = [(i, e) for i, e in zip(stream.tolist(), ends.tolist()) if not meta[i][3] and done[i] < meta[i][1]]
+
+    def step(bits: _Bits, base: dict[int, int], frames: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        start = np.array([base[i] + a for i, a in frames], dtype=np.int64)
+        samples, _, ends = _decode_frames(bits, start, np.array([meta[i][0] for i, _ in frames]))
+        for (i, a), x in zip(frames, samples):
+            got[i].append((a, x.astype(_kinds(meta[i][0])[1])))
+        return [(i, int(e) - base[i]) for (i, _), e in zip(frames, ends)]
+
+    for spans in _spans(meta, [len(m) for m in media]):
+        step(*_cut(media, spans), [(i, a) for i, a, _ in spans])
+    due = [(i, m[4]) for i, m in enumerate(meta) if m[1] and not m[3]]
+    if due:
+        bits, base = _cut(media, [(i, a, len(media[i])) for i, a in due])
+        done = dict.fromkeys(base, 0)
+        while due:
+            after = step(bits, base, due)
+            for i, _ in due:
+                done[i] += len(got[i][-1][1])
+            due = [(i, e) for i, e in after if done[i] < meta[i][1]]
     out = []
-    for (depth, total, md5, _, _), frames in zip(meta, got):
-        samples = np.concatenate([x for _, x in frames]) if frames else np.zeros(0, np.int64)
+    for i, (depth, total, md5, _, _) in enumerate(meta):
+        frames, got[i] = got[i], []
+        samples = np.concatenate([x for _, x in frames]) if frames else np.zeros(0, _kinds(depth)[1])
         if len(samples) != total:
             raise ValueError("samples are missing")
-        raw = samples.astype("<i1" if depth <= 8 else "<i2" if depth <= 16 else "<i4")
-        if depth in (8, 16, 32) and any(md5) and hashlib.md5(raw.tobytes()).digest() != md5:
+        if depth in (8, 16, 32) and any(md5) and hashlib.md5(samples.astype(_kinds(depth)[0])).digest() != md5:
             raise ValueError("the samples' checksum is wrong")
         firsts = np.cumsum([0, *(len(x) for _, x in frames)]).tolist()
         out.append((samples, [(f, len(x), int(s)) for f, (s, x) in zip(firsts, frames)]))
     return out
 
 
+def features(samples: np.ndarray) -> tuple[int, int, int]:
+    """The largest magnitude, how often the signal turns, and its energy; wide numbers are made a chunk at a time."""
+    turns = energy = 0
+    for a in range(0, len(samples), CHUNK_BYTES):
+        part = samples[a : a + CHUNK_BYTES + 2].astype(np.int64)
+        falls = np.diff(part) < 0
+        turns += int((falls[1:] != falls[:-1]).sum())
+        energy += int((part[:CHUNK_BYTES] ** 2).sum())
+    return max(int(samples.max(initial=0)), -int(samples.min(initial=0))), turns, energy
+
+
 # --- columns --------------------------------------------------------------
 
 
@@ -481,12 +541,10 @@ def decode(media: DataFrame, media_col: str = "media", id_col: str = "doc_id") -
                             values.append(None)
                         continue
                     samples, blocks = next(found)
-                    out["pcm"].append((samples + 128).astype(np.uint8).tobytes())
+                    out["pcm"].append((samples.astype(np.uint8) + np.uint8(128)).tobytes())
                     out["blocks"].append([dict(zip(("first_sample", "n_samples", "byte_offset"), t)) for t in blocks])
-                    out["peak"].append(int(np.abs(samples).max(initial=0)))
-                    steps = np.diff(samples)
-                    out["crossings"].append(int(((steps[1:] < 0) != (steps[:-1] < 0)).sum()))
-                    out["energy"].append(int((samples * samples).sum()))
+                    for name, value in zip(("peak", "crossings", "energy"), features(samples)):
+                        out[name].append(value)
                 kinds = [pa.binary(), pa.list_(fields), pa.int32(), pa.int64(), pa.int64()]
                 columns = [pa.array(v, t) for v, t in zip(out.values(), kinds)]
                 columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *columns]

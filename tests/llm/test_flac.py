@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -48,6 +50,42 @@ def test_streams_without_seek_table_decode_frame_by_frame():
     assert back(bytes(bare)) == raw
 
 
+def test_chunks_within_a_stream_give_the_same_bytes(monkeypatch):
+    raws = [payload("some words of a long text " * 9000), *cases(), payload("a" * 300_000)]
+    whole = encoded(raws)
+    monkeypatch.setattr(flac, "CHUNK_BYTES", 7000)
+    assert encoded(raws) == whole
+    for raw, (samples, blocks), media in zip(raws, flac.decode_batch(whole), whole, strict=True):
+        assert (samples + 128).astype(np.uint8).tobytes() == raw
+        assert blocks == [(i, min(flac.BLOCK, len(raw) - i), at) for (_, _, at), i in zip(blocks, range(0, len(raw), flac.BLOCK), strict=True)]
+        x = samples.astype(np.int64)
+        steps = np.diff(x)
+        turns = int(((steps[1:] < 0) != (steps[:-1] < 0)).sum())
+        assert flac.features(samples) == (int(np.abs(x).max(initial=0)), turns, int((x * x).sum()))
+
+
+LONG = """
+import hashlib, resource, sys
+import numpy as np
+from framelake.llm import flac
+n = 64 << 20
+rng = np.random.default_rng(1)
+data = np.resize(rng.integers(97, 123, 1 << 20, dtype=np.uint8), n)
+media = flac.encode_batch(data, np.array([0, n]))
+digest = hashlib.sha256(data).digest()
+del data
+(samples, blocks), = flac.decode_batch(media)
+flac.features(samples)
+assert hashlib.sha256((samples.astype(np.uint8) + np.uint8(128))).digest() == digest and len(blocks) == -(-n // flac.BLOCK)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
+"""
+
+
+def test_a_text_of_64_mb_takes_less_than_1_gb():
+    done = subprocess.run([sys.executable, "-c", LONG], capture_output=True, text=True, timeout=600, check=True)
+    assert int(done.stdout) < 1024
+
+
 def test_checksums():
     media = encoded([payload("some words " * 700)])[0]
     for at in (50, len(media) - 1, len(media) // 2):
