@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import geometry, ids, timecode
-from framelake.operators import contracts, corpus, evidence, fusion, identity, jobs, narrative, normalize, plugins, results, retention, scenes, tasklog, tracking
+from framelake.operators import contracts, corpus, evidence, fusion, identity, intervals, jobs, narrative, normalize, plugins, results, retention, scenes, tasklog, tracking
 from framelake.sources import checked, ingest, sinks
 from framelake.shared import written
 from framelake.sources.media import MEDIA_SQL, Media
@@ -108,6 +108,13 @@ def scene_frame_membership(m: Media) -> DataFrame:
     return scenes.in_scenes(m.frames, shifted).select("job_id", "scene_id", "frame_id")
 
 
+@query("select f.job_id, s.scene_id, f.frame_id, f.ts_sec - s.start_sec as into_sec from media_frames f join media_scenes s on f.job_id = s.job_id and f.ts_sec between s.start_sec and s.end_sec + 300")
+def overlapping_scene_frames(m: Media) -> DataFrame:
+    # Scenes that last five minutes longer overlap, so that a frame is in several.
+    longer = m.scenes.withColumn("end_sec", F.col("end_sec") + 300)
+    return intervals.in_intervals(m.frames, longer).select("job_id", "scene_id", "frame_id", (F.col("ts_sec") - F.col("start_sec")).alias("into_sec"))
+
+
 PACKET_SQL = """,
 seen as (select job_id, scene_id, label as name, 'object' as entity_type from media_detections
          union all select job_id, scene_id, class_name, 'object' from media_segments

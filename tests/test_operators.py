@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from framelake.config import Settings, model_id
 from framelake.functions import geometry, ids, timecode
-from framelake.operators import corpus, fusion, identity, narrative, normalize, results, retention, scenes, tasklog, tracking
+from framelake.operators import corpus, fusion, identity, intervals, narrative, normalize, results, retention, scenes, sequences, tasklog, tracking
 from framelake.sources import sinks
 from framelake.sources.media import Media
 
@@ -268,6 +269,39 @@ def test_rows_meet_their_scenes_across_time_buckets(spark):
     assert got.columns == ["job_id", "frame_id", "ts_sec", "scene_id", "start_sec", "end_sec"]
 
 
+BOUNDS = "job_id string, scene_id long, start_sec double, end_sec double"
+
+
+def test_sweep_pairs_rows_with_all_their_scenes(spark):
+    r = random.Random(8)
+    times = [0.0, 60.0, 60.0, 120.0] + [round(r.uniform(0, 400), 1) for _ in range(300)]
+    rows = [(j, i, t, f"{j}{i}", 9) for j in ("a", "b", "d") for i, t in enumerate(times)] + [("a", 900, None, "x", 9), (None, 901, 5.0, "y", 9), ("a", 902, math.nan, "z", 9)]
+    bounds = [(j, k, a, a + r.choice([0.0, 5.0, 90.0, 400.0])) for j in ("a", "b", "c") for k, a in enumerate(round(r.uniform(-20, 400), 1) for _ in range(40))]
+    bounds += [("a", 90, 0.0, 60.0), ("a", 90, 0.0, 60.0), ("a", 91, 60.0, 60.0), ("b", 92, 70.0, 65.0), ("b", 93, None, 5.0), (None, 94, 0.0, 9.0)]
+    frames = spark.createDataFrame(rows, "job_id string, frame_id long, ts_sec double, name string, scene_id int")
+    want = sorted((j, s, i, n) for j, i, t, n, _ in rows for k, s, a, z in bounds if j == k and None not in (j, t, a) and a <= t <= z)
+    for parts, pairs in ((7, 1 << 16), (1, 10)):
+        got = intervals.in_intervals(frames, spark.createDataFrame(bounds, BOUNDS), parts, pairs)
+        assert sorted((x.job_id, x.scene_id, x.frame_id, x.name) for x in got.collect()) == want
+    assert got.columns == ["job_id", "frame_id", "ts_sec", "name", "scene_id", "start_sec", "end_sec"]
+    assert intervals.in_intervals(frames.limit(0), spark.createDataFrame(bounds, BOUNDS)).count() == 0
+    assert intervals.in_intervals(frames, spark.createDataFrame([], BOUNDS)).count() == 0
+
+
+def test_sweep_of_a_million_frames_and_a_scene_of_three_hours(spark):
+    n, hours = 1_000_000, 3 * 3600.0
+    frames = spark.range(n).select(F.lit("j").alias("job_id"), F.col("id").alias("frame_id"), (F.col("id") * hours / n).alias("ts_sec"))
+    bounds = [("j", 0, 0.0, hours)] + [("j", k, 5.0 * k, 5.0 * k + 7) for k in range(1, 2000)]
+    scenes_ = spark.createDataFrame(bounds, BOUNDS)
+    got = {x.scene_id: (x.n, x.s) for x in intervals.in_intervals(frames, scenes_, 16).groupBy("scene_id").agg(F.count("*").alias("n"), F.sum("frame_id").alias("s")).collect()}
+    at = np.arange(n) * hours / n
+    runs = {k: (int(np.searchsorted(at, a)), int(np.searchsorted(at, z, side="right"))) for _, k, a, z in bounds}
+    assert got == {k: (b - a, (a + b - 1) * (b - a) // 2) for k, (a, b) in runs.items()}
+    met = intervals.crossing(sequences.in_ranges(frames, ["job_id"], ["ts_sec"], 16), scenes_)
+    per = {x.scene_id: x["count"] for x in met.groupBy("scene.scene_id").count().collect()}
+    assert per[0] <= 16 and sum(per.values()) <= len(bounds) + 3 * 16
+
+
 def test_first_rows_of_groups(spark):
     from framelake.operators.firsts import first_k
 
