@@ -14,7 +14,8 @@ the same bytes under the same names.
 Of records with equal payloads of at least ``revisit_bytes`` bytes, the one with
 the largest page_id is a response; the others are revisits that refer to it and
 carry no payload. Which ones these are travels to the shards as short rows in
-front of their pages, so that each page is shuffled once.
+front of their pages, so that each page is shuffled once. Record ids are unique,
+also among rows that share a page_id, and a revisit names its response's.
 
 Defined cases: a null payload is empty; a null URL is written as ``urn:null``;
 rows that repeat both page_id and payload are responses all; a null page_id is
@@ -63,18 +64,25 @@ def _block(fields: list[tuple[str, str]], body: bytes) -> bytes:
     return head.encode() + body + b"\r\n\r\n"
 
 
-def _id(page: int | None) -> str:
-    return f"<urn:page:{'null' if page is None else page}>"
+def _id(page: int | None, url: str | None, payload_digest: str, nth: int) -> str:
+    """A record's own id: rows of one page differ by URL, payload or, if they repeat both, by their number."""
+    told = hashlib.sha1(f"{'' if url is None else '+' + url}\n{payload_digest}".encode()).hexdigest()[:16]
+    return f"<urn:page:{'null' if page is None else page}:{told}:{nth}>"
 
 
-def record(page: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
+def _uri(url: str | None) -> str:
+    return quote(url, safe="!#$%&'()*+,/:;=?@[]~-._") if url is not None else "urn:null"
+
+
+def record(page: int | None, url: str | None, payload: bytes, refers_to: tuple[int, str | None] | None, date: str, nth: int = 0) -> bytes:
+    """A response, or a revisit of the first row with this payload, page and URL."""
+    told = digest(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http if refers_to is not None else http + payload
-    uri = quote(url, safe="!#$%&'()*+,/:;=?@[]~-._") if url is not None else "urn:null"
-    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", _id(page)), ("WARC-Date", date)]
-    fields += [("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("WARC-Block-Digest", f"sha1:{digest(body)}")]
+    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", _id(page, url, told, nth)), ("WARC-Date", date)]
+    fields += [("WARC-Target-URI", _uri(url)), ("WARC-Payload-Digest", f"sha1:{told}"), ("WARC-Block-Digest", f"sha1:{digest(body)}")]
     if refers_to is not None:
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _id(refers_to))]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _id(*refers_to, told, 0)), ("WARC-Refers-To-Target-URI", _uri(refers_to[1]))]
     return _block([*fields, ("Content-Type", "application/http; msgtype=response")], body)
 
 
@@ -148,10 +156,10 @@ def write(pages: DataFrame, out: str, shards: int | None = None, roll_bytes: int
     rows = pages.select(F.col("page_id").cast("long"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("html"))
     narrow = written(rows.select("page_id", "url", F.sha1("html").alias("sha"), F.octet_length("html").alias("n")), "warc-digests")
     large = narrow.where(F.col("n") >= revisit_bytes)
-    groups = written(large.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("c")).where("c > 1"), "warc-groups")
-    revisits = joined_by_key(large, groups, ["sha"], "c").where("not page_id <=> refers_to")
-    revisits = revisits.select("page_id", "url", F.lit(0).alias("kind"), F.unhex("sha").alias("html"), "refers_to").distinct()
-    full = rows.select("page_id", "url", F.lit(1).alias("kind"), "html", F.lit(None).cast("long").alias("refers_to"))
+    groups = written(large.groupBy("sha").agg(F.max(F.struct("page_id", "url")).alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1"), "warc-groups")
+    revisits = joined_by_key(large, groups, ["sha"], "c").where("not page_id <=> top.page_id")
+    revisits = revisits.select("page_id", "url", F.lit(0).alias("kind"), F.unhex("sha").alias("html"), F.col("top.page_id").alias("refers_to"), F.col("top.url").alias("refers_url")).distinct()
+    full = rows.select("page_id", "url", F.lit(1).alias("kind"), "html", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url"))
     starts = bounds(narrow.select("url", "page_id"), shards)
 
     @F.pandas_udf("int")
@@ -165,10 +173,10 @@ def write(pages: DataFrame, out: str, shards: int | None = None, roll_bytes: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def lines() -> Iterator[tuple]:
-            shard, known = None, {}
+            shard, known, before, nth = None, {}, None, 0
             for b in batches:
                 for i in range(b.num_rows):
-                    number, page, url, kind, html, refers = (c[i].as_py() for c in b.columns)
+                    number, page, url, kind, html, *refers = (c[i].as_py() for c in b.columns)
                     if shard is None or shard.shard != number:
                         if shard is not None and shard.stream is not None:
                             yield shard.close()
@@ -176,10 +184,12 @@ def write(pages: DataFrame, out: str, shards: int | None = None, roll_bytes: int
                     key = (url, page)
                     if kind == 0:
                         known = known if known.get("key") == key else {"key": key}
-                        known[html] = refers
+                        known[html] = tuple(refers)
                     else:
-                        to = known.get(hashlib.sha1(html).digest()) if known.get("key") == key else None
-                        yield from shard.add(record(page, url, html, to, date))
+                        sha = hashlib.sha1(html).digest()
+                        nth, before = nth + 1 if before == (*key, sha) else 0, (*key, sha)
+                        to = known.get(sha) if known.get("key") == key else None
+                        yield from shard.add(record(page, url, html, to, date, nth))
             if shard is not None and shard.stream is not None:
                 yield shard.close()
 
@@ -188,7 +198,7 @@ def write(pages: DataFrame, out: str, shards: int | None = None, roll_bytes: int
         for line in lines():
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(line, kinds)], names)
 
-    manifest = sorted_rows.select("shard", "page_id", "url", "kind", "html", "refers_to").mapInArrow(run, MANIFEST)
+    manifest = sorted_rows.select("shard", "page_id", "url", "kind", "html", "refers_to", "refers_url").mapInArrow(run, MANIFEST)
     manifest.write.parquet(f"{out}/_manifest")
     return spark.read.parquet(f"{out}/_manifest")
 
@@ -212,7 +222,7 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _page(uri: str | None) -> int | None:
-    found = re.fullmatch(r"<urn:page:(-?\d+)>", uri or "")
+    found = re.fullmatch(r"<urn:page:(-?\d+):[0-9a-f]{16}:\d+>", uri or "")
     return int(found[1]) if found else None
 
 

@@ -95,3 +95,22 @@ def test_extreme_keys(spark):
     out = shared_dir(spark, "warc-test")
     warc.write(pages, out, shards=3)
     assert {(r.page_id, r.payload_bytes) for r in warc.read(spark, out).collect()} == {(top, 1), (top - 1, 1), (None, 0), (-top, 300_000)}
+
+
+def test_record_ids_are_unique_and_revisits_name_their_response(spark):
+    repeated = [(7, "http://x/1", "twice", 0), (7, "http://x/2", "twice", 0), (7, "http://x/1", "twice", 0), (7, "http://x/1", "other", 0), (6, "http://x/1", "twice", 0), (8, None, "last", 0), (None, "http://x/1", "twice", 0), (None, None, "last", 0), (None, "", "last", 0), (None, None, None, 0), (None, None, None, 0)]
+    pages = spark.createDataFrame(ROWS + repeated, "page_id long, url string, html string, refers_to int").repartition(5)
+    out = shared_dir(spark, "warc-test")
+    manifest = warc.write(pages, out, shards=3).collect()
+    store, base = fs.FileSystem.from_uri(out)
+    found = []
+    for m in manifest:
+        with gzip.open(url2pathname(f"{base}/{m.file}")) as stream:
+            found += [f for f, _ in warc.records(stream)]
+    assert len({f["warc-record-id"] for f in found}) == len(found) == len(ROWS + repeated) + len(manifest)
+    responses = {f["warc-record-id"]: f for f in found if f["warc-type"] == "response"}
+    revisits = [f for f in found if f["warc-type"] == "revisit"]
+    assert len(revisits) >= 6
+    for f in revisits:
+        to = responses[f["warc-refers-to"]]
+        assert to["warc-payload-digest"] == f["warc-payload-digest"] and to["warc-target-uri"] == f["warc-refers-to-target-uri"]
