@@ -60,12 +60,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, purpose: str, kept: bool = False) -> DataFrame:
+def written(df: DataFrame, purpose: str, kept: bool = False, **options: str) -> DataFrame:
     """Writes the rows to shared storage once and reads them back.
 
     This cuts the lineage without depending on any one executor; the shuffle
     files of the write can go as soon as it is done. A kept table outlives the
-    scope it is written in.
+    scope it is written in. Options are the writer's.
     """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
@@ -76,7 +76,7 @@ def written(df: DataFrame, purpose: str, kept: bool = False) -> DataFrame:
     before = spark.conf.get(key, None)
     spark.conf.set(key, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)

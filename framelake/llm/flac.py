@@ -40,6 +40,8 @@ ORDER = 4
 PRECISION = 12
 #: Samples coded together; the arrays of a chunk take about ninety times as many bytes.
 CHUNK_BYTES = 2 << 20
+#: How tables of media are packed, as Rice codes of text leave some redundancy.
+PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
 #: Fixed values of the format: block sizes by code, and predictors of order 0 to 4.
 BLOCK_SIZES = [0, 192, 576, 1152, 2304, 4608, 0, 0, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768]
 SAMPLE_BITS = [8, 8, 12, 0, 16, 20, 24, 32]
@@ -576,7 +578,7 @@ def digest(docs: DataFrame) -> DataFrame:
     """Stores every text of documents as FLAC, reads the streams back and describes them."""
     payload = docs.select("doc_id", padded(F.col("text")).alias("payload"), F.octet_length(F.coalesce("text", F.lit(""))).alias("n"))
     key = F.struct(F.col("doc_id"), F.col("n").cast("long").alias("n_bytes"))
-    stored = written(encode(payload.select(key.alias("key"), "payload"), "payload", "key"), "flac-media")
+    stored = written(encode(payload.select(key.alias("key"), "payload"), "payload", "key"), "flac-media", **PACKED)
     d = decode(stored)
     shown = F.format_string("blocks=%d;peak=%d;turns=%d;energy=%d", F.size("blocks"), "peak", "crossings", "energy")
     return d.select(
