@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from framelake.llm.common import written
 from framelake.llm.tokens import text_bytes
 
-BLOCK = 4608
+BLOCK = 1152
 RATE = 8000
 ORDER = 4
 PRECISION = 12
@@ -126,7 +126,7 @@ def _frames(x: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     f, n = x.shape
     whole = lambda v: np.full(f, v)
     head = [(whole(0xFF), whole(8)), (whole(0xF8), whole(8))]
-    head += [(whole((BLOCK_SIZES.index(BLOCK) if n == BLOCK else 7) << 4 | 4), whole(8)), (whole(0x02), whole(8)), *_utf8_number(number)]
+    head += [(whole((3 if n == BLOCK else 7) << 4 | 4), whole(8)), (whole(0x02), whole(8)), *_utf8_number(number)]
     if n != BLOCK:
         head += [(whole((n - 1) >> 8), whole(8)), (whole((n - 1) & 255), whole(8))]
     crc = np.zeros(f, dtype=np.uint16)
