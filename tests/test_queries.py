@@ -7,7 +7,7 @@ import pytest
 from framelake.operators import fusion, scenes
 from framelake.plans.queries import ORACLE_SQL, QUERIES
 from framelake.sources.media import Media
-from tests.oracle import compare
+from tests.oracle import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +35,24 @@ def test_plan_shapes(spark):
 def test_view_sizes(spark):
     m = Media(spark, SF)
     assert [getattr(m, t).count() for t in ("base", "scenes", "detections", "faces", "segments")] == [1000, 90, 801, 199, 408]
+
+
+IDENTIFIED = ["faces_identified", "scene_identities_exact", "scene_identity_summary", "video_identities_exact", "video_identity_summary", "whole_job"]
+
+
+@pytest.fixture(scope="module")
+def copied_vectors(spark, tmp_path_factory):
+    """The smallest tables with embeddings that are copies of one another, null, not finite, zero or absent."""
+    folder = tmp_path_factory.mktemp("copied")
+    for t in TABLES:
+        if t != "embeddings":
+            (folder / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    odd = {0: None, 1: [float("nan")] * 64, 2: [float("inf")] * 64, 3: [0.0] * 64}
+    rows = [(i, odd.get(i % 29, [1.0, float(i % 2)] * 32), 0) for i in range(500) if i % 31]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", IDENTIFIED)
+def test_people_stay_apart_when_vectors_are_copies(spark, copied_vectors, name):
+    assert compare(spark, copied_vectors, QUERIES[name], ORACLE_SQL[name]) == ""
