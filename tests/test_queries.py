@@ -32,6 +32,12 @@ def test_plan_shapes(spark):
     assert "props" not in read and "value" not in read
 
 
+def test_references_are_checked_in_small_parts(spark):
+    """Joins and counts of references are dealt over at least 256 parts, so a task's sorts are small."""
+    joined = plan(QUERIES["evidence_violations"](spark, SF))
+    assert joined.count("256), REPARTITION_BY_NUM") >= 5
+
+
 def test_view_sizes(spark):
     m = Media(spark, SF)
     assert [getattr(m, t).count() for t in ("base", "scenes", "detections", "faces", "segments")] == [1000, 90, 801, 199, 408]
