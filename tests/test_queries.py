@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-from framelake.operators import fusion, scenes
-from framelake.plans.queries import ORACLE_SQL, QUERIES
+from framelake.operators import fusion, jobs, scenes
+from framelake.plans.queries import ORACLE_SQL, QUERIES, _tables
 from framelake.sources.media import Media
 from tests.oracle import TABLES, compare
 
@@ -38,6 +38,12 @@ def test_references_are_checked_in_small_parts(spark):
     assert joined.count("256), REPARTITION_BY_NUM") >= 5
 
 
+def test_entities_are_counted_once(spark):
+    """What is made of a packet's entities reads them, and doesn't count them again."""
+    p = jobs.scene_packets(_tables(Media(spark, SF)))
+    assert "Window" not in plan(p.totals) and plan(p.events).count("Union") == 1
+
+
 def test_view_sizes(spark):
     m = Media(spark, SF)
     assert [getattr(m, t).count() for t in ("base", "scenes", "detections", "faces", "segments")] == [1000, 90, 801, 199, 408]
