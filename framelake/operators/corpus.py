@@ -9,6 +9,7 @@ from framelake.functions import ids
 from framelake.functions.timecode import format_timecode
 from framelake.operators.firsts import first_k
 from framelake.operators.scenes import SCENE
+from framelake.shared import written
 
 
 def _filled(c: str) -> Column:
@@ -74,7 +75,7 @@ def relations(seen: DataFrame, found: DataFrame) -> DataFrame:
     """Entities seen in the same frame, as pairs of ids in order; counts frames.
 
     Within a frame a self-join pairs its distinct entities, so rows grow with what
-    single frames hold, not with scenes or jobs.
+    single frames hold, not with scenes or jobs. Pairs are read twice, so written once.
     """
     key = F.coalesce("track_id", "identity_id")
     names = found.select(*SCENE, "entity_type", key.alias("key"), "entity_id")
@@ -82,7 +83,7 @@ def relations(seen: DataFrame, found: DataFrame) -> DataFrame:
     left, right = here.alias("a"), here.select("job_id", "scene_id", "frame_id", F.col("entity_id").alias("target_id")).alias("b")
     pairs = left.join(right, ["job_id", "scene_id", "frame_id"]).where("entity_id < target_id")
     anchor = F.struct("ts_sec", "frame_id", _anchor(F.lit("co_occurs_with"), False).alias("evidence"))
-    pairs = pairs.withColumnsRenamed({"entity_id": "source_entity_id", "target_id": "target_entity_id"})
+    pairs = written(pairs.withColumnsRenamed({"entity_id": "source_entity_id", "target_id": "target_entity_id"}), "corpus-pairs")
     key = [*SCENE, "start_sec", "end_sec", "source_entity_id", "target_entity_id"]
     proof = first_k(pairs, key, anchor, anchor["evidence"], 5, "evidence")
     groups = pairs.groupBy(*key).agg(

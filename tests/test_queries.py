@@ -44,6 +44,14 @@ def test_entities_are_counted_once(spark):
     assert "Window" not in plan(p.totals) and plan(p.events).count("Union") == 1
 
 
+def test_corpus_stages_are_written_once(spark):
+    """Relations, events and chunks read what the stage before them wrote, not the tables."""
+    t = _tables(Media(spark, SF))
+    c = jobs.corpus_of(t)
+    for rows in (c.entities, c.events, c.relations, c.scene_chunks):
+        assert not [f for f in rows.inputFiles() if "events.parquet" in f]
+
+
 def test_view_sizes(spark):
     m = Media(spark, SF)
     assert [getattr(m, t).count() for t in ("base", "scenes", "detections", "faces", "segments")] == [1000, 90, 801, 199, 408]
