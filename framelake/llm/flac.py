@@ -25,6 +25,7 @@ import struct
 from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,11 @@ BLOCK = 1152
 RATE = 8000
 ORDER = 4
 PRECISION = 12
+#: Predictors that a frame may have, plainest first: (order, bits of a coefficient).
+TRIED = [(1, 4), (2, 4), (ORDER, 6), (ORDER, PRECISION)]
+#: A plainer predictor is taken if it takes at most one bit in so many more than the best: repeated words then have
+#: the same codes more often, also across frames, and packing finds them.
+HARDLY = 100
 #: Samples coded together; the arrays of a chunk take about ninety times as many bytes.
 CHUNK_BYTES = 2 << 20
 #: How tables of media are packed, as Rice codes of text leave some redundancy.
@@ -83,12 +89,13 @@ def crc16(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 # --- encoding -------------------------------------------------------------
 
 
-def _predictors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Quantised coefficients (frames, ORDER) and shifts, by autocorrelation and Levinson's recursion."""
+def _predictors(x: np.ndarray) -> list[np.ndarray]:
+    """Coefficients (order, frames) for orders 1 to ORDER, by autocorrelation and Levinson's recursion."""
     f, n = x.shape[0], x.shape[1]
     real = x.astype(np.float64)
     r = np.stack([np.einsum("ij,ij->i", real[:, : n - k], real[:, k:]) for k in range(ORDER + 1)])
     a, err = np.zeros((ORDER, f)), r[0] * (1 + 1e-9) + 1e-9
+    found = []
     for i in range(ORDER):
         k = (r[i + 1] - sum(a[j] * r[i - j] for j in range(i))) / err
         b = a.copy()
@@ -96,12 +103,48 @@ def _predictors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for j in range(i):
             b[j] = a[j] - k * a[i - 1 - j]
         a, err = b, np.maximum(err * (1 - k * k), 1e-9)
+        found.append(a[: i + 1])
+    return found
+
+
+def _quantised(a: np.ndarray, precision: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients of so many bits (frames, order), and shifts."""
     most = np.maximum(np.abs(a).max(axis=0), 1e-6)
-    shift = np.clip(PRECISION - 2 - np.floor(np.log2(most)).astype(np.int64), 0, 15)
-    limit = 1 << (PRECISION - 1)
+    shift = np.clip(precision - 2 - np.floor(np.log2(most)).astype(np.int64), 0, 15)
+    limit = 1 << (precision - 1)
     return np.clip(np.rint(a * 2.0**shift), -limit, limit - 1).astype(np.int64).T, shift
 
 
+class _Subframes(NamedTuple):
+    """Frames by linear prediction: coefficients (frames, ORDER), Rice codes from ``order`` on, and bits in all."""
+
+    order: np.ndarray
+    precision: np.ndarray
+    shift: np.ndarray
+    coefs: np.ndarray
+    k: np.ndarray
+    z: np.ndarray
+    cost: np.ndarray
+
+
+def _predicted(x: np.ndarray) -> _Subframes:
+    """Each frame by the plainest predictor of TRIED that takes hardly more bits than the best."""
+    f, n = x.shape
+    found, tried = _predictors(x), []
+    for order, precision in TRIED:
+        own, shift = _quantised(found[order - 1], precision)
+        guess = sum(own[:, j, None] * x[:, order - 1 - j : n - 1 - j] for j in range(order)) >> shift[:, None]
+        z, coefs = np.zeros((f, n), np.int32), np.zeros((f, ORDER), np.int64)
+        z[:, order:], coefs[:, :order] = _zigzag(x[:, order:] - guess), own
+        k = np.clip(np.floor(np.log2(np.maximum(z.sum(axis=1) / (n - order) * 0.75, 1))).astype(np.int64), 0, 14)
+        cost = (z >> k[:, None]).sum(axis=1) + (k + 1) * (n - order) + 8 * order + 9 + order * precision + 10
+        tried.append(_Subframes(np.full(f, order), np.full(f, precision), shift, coefs, k, z, cost))
+    costs = np.stack([t.cost for t in tried])
+    least = costs.min(axis=0)
+    taken = (costs <= least + least // HARDLY).argmax(axis=0)
+    return _Subframes(*(np.stack(v)[taken, np.arange(f)] for v in zip(*tried)))
+
+
 def _zigzag(r: np.ndarray) -> np.ndarray:
     return np.where(r < 0, -2 * r - 1, 2 * r)
 
@@ -133,26 +176,23 @@ def _frames(x: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for v, bits in head:
         crc = np.where(bits > 0, CRC8[crc ^ v.astype(np.uint16)], crc)
     head.append((crc, whole(8)))
-    coefs, shift = _predictors(x)
-    guess = sum(coefs[:, j, None] * x[:, ORDER - 1 - j : n - 1 - j] for j in range(ORDER)) >> shift[:, None]
-    z = _zigzag(x[:, ORDER:] - guess)
-    k = np.clip(np.floor(np.log2(np.maximum(z.mean(axis=1) * 0.75, 1))).astype(np.int64), 0, 14)
-    q = z >> k[:, None]
-    cost = q.sum(axis=1) + (k + 1) * (n - ORDER) + 8 * ORDER + 9 + ORDER * PRECISION + 10
-    kind = np.where((x == x[:, :1]).all(axis=1), 0, np.where(cost < 8 * n, 2, 1))
-    head.append((np.choose(kind, [0x00, 0x02, (0x20 | (ORDER - 1)) << 1]), whole(8)))
+    p = _predicted(x)
+    kind = np.where((x == x[:, :1]).all(axis=1), 0, np.where(p.cost < 8 * n, 2, 1))
+    head.append((np.choose(kind, [0x00, 0x02, (0x20 | (p.order - 1)) << 1]), whole(8)))
     lpc = kind == 2
-    bits8 = np.where(lpc, 8, 0)
-    head += [(x[:, j] & 255, np.where(kind == 0, 8 if j == 0 else 0, bits8)) for j in range(ORDER)]
-    head += [(whole(PRECISION - 1), np.where(lpc, 4, 0)), (shift, np.where(lpc, 5, 0))]
-    head += [(coefs[:, j] & ((1 << PRECISION) - 1), np.where(lpc, PRECISION, 0)) for j in range(ORDER)]
-    head += [(k, np.where(lpc, 10, 0))]
-    # A constant frame has no codes here, a verbatim one all samples, others all but ORDER.
+    used = [lpc & (j < p.order) for j in range(ORDER)]
+    head += [(x[:, j] & 255, np.where(used[j] | (kind == 0) & (j == 0), 8, 0)) for j in range(ORDER)]
+    head += [(p.precision - 1, np.where(lpc, 4, 0)), (p.shift, np.where(lpc, 5, 0))]
+    head += [(p.coefs[:, j] & ((1 << p.precision) - 1), np.where(used[j], p.precision, 0)) for j in range(ORDER)]
+    head += [(p.k, np.where(lpc, 10, 0))]
+    # A constant frame has no codes here, a verbatim one all samples, others all but the first ``order``.
     values, bits = np.zeros((f, n), np.int64), np.zeros((f, n), np.int64)
     raw = kind == 1
     values[raw], bits[raw] = x[raw] & 255, 8
-    kl = k[lpc, None]
-    values[lpc, ORDER:], bits[lpc, ORDER:] = z[lpc] & ((1 << kl) - 1) | 1 << kl, q[lpc] + 1 + kl
+    k, z = p.k[lpc, None], p.z[lpc].astype(np.int64)
+    values[lpc], bits[lpc] = z & ((1 << k) - 1) | 1 << k, (z >> k) + 1 + k
+    for j in range(ORDER):
+        bits[lpc & (j < p.order), j] = 0
     return np.concatenate([np.stack([v for v, _ in head], 1), values], 1), np.concatenate([np.stack([b for _, b in head], 1), bits], 1)
 
 

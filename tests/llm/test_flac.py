@@ -7,6 +7,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from framelake.llm import flac
@@ -98,6 +99,39 @@ def test_checksums():
         flac.decode_batch([media[:-40]])
 
 
+def predictors(media: bytes) -> set[tuple[int, int]]:
+    """(order, bits of a coefficient) of the frames of a stream; (0, 0) for those without prediction."""
+    _, _, _, points, at = flac._metadata(media)
+    found = set()
+    for p in points:
+        frame = media[at + p :]
+        head = 6 + 2 * (frame[2] >> 4 == 7)  # frames numbered below 128
+        order = (frame[head] >> 1 & 31) + 1 if frame[head] >= 0x40 else 0
+        found.add((order, (frame[head + 1 + order] >> 4) + 1 if order else 0))
+    return found
+
+
+def test_streams_of_repeated_words_pack_well():
+    rng = np.random.default_rng(3)
+    words = ["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(2, 11, 400)]
+    texts = [payload(" ".join(words[int(i)] for i in np.minimum(rng.zipf(1.3, 400) - 1, 399))) for _ in range(200)]
+    media = encoded(texts)
+    assert [back(m) for m in media] == texts
+    size = sum(map(len, texts))
+    packed = pa.Codec("zstd", compression_level=9).compress(b"".join(media)).size
+    assert sum(map(len, media)) < 0.93 * size
+    assert packed < 0.5 * size
+    assert all(order for m in media for order, _ in predictors(m))
+
+
+def test_frames_take_the_fine_predictor_where_it_pays():
+    t = np.arange(1152 * 4)
+    smooth = np.rint(128 + 60 * np.sin(t / 9) + 50 * np.sin(t / 23)).astype(np.uint8).tobytes()
+    (media,) = encoded([smooth])
+    assert back(media) == smooth
+    assert predictors(media) == {(flac.ORDER, flac.PRECISION)}
+
+
 class Writer:
     def __init__(self):
         self.bits = ""
