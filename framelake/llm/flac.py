@@ -131,12 +131,13 @@ def _predicted(x: np.ndarray) -> _Subframes:
     """Each frame by the plainest predictor of TRIED that takes hardly more bits than the best."""
     f, n = x.shape
     found, tried = _predictors(x), []
+    x = x.astype(np.int32)
     for order, precision in TRIED:
-        own, shift = _quantised(found[order - 1], precision)
+        own, shift = (v.astype(np.int32) for v in _quantised(found[order - 1], precision))
         guess = sum(own[:, j, None] * x[:, order - 1 - j : n - 1 - j] for j in range(order)) >> shift[:, None]
         z, coefs = np.zeros((f, n), np.int32), np.zeros((f, ORDER), np.int64)
         z[:, order:], coefs[:, :order] = _zigzag(x[:, order:] - guess), own
-        k = np.clip(np.floor(np.log2(np.maximum(z.sum(axis=1) / (n - order) * 0.75, 1))).astype(np.int64), 0, 14)
+        k = np.clip(np.floor(np.log2(np.maximum(z.sum(axis=1) / (n - order) * 0.75, 1))), 0, 14).astype(np.int32)
         cost = (z >> k[:, None]).sum(axis=1) + (k + 1) * (n - order) + 8 * order + 9 + order * precision + 10
         tried.append(_Subframes(np.full(f, order), np.full(f, precision), shift, coefs, k, z, cost))
     costs = np.stack([t.cost for t in tried])
@@ -146,7 +147,7 @@ def _predicted(x: np.ndarray) -> _Subframes:
 
 
 def _zigzag(r: np.ndarray) -> np.ndarray:
-    return np.where(r < 0, -2 * r - 1, 2 * r)
+    return r << 1 ^ r >> 8 * r.itemsize - 1
 
 
 def _utf8_number(n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
